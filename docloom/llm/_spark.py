@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -64,6 +65,22 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, mask: Callable[[pa.RecordBatch], Iterable[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``mask`` of their batch holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def hinted(ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """A written id table with a broadcast hint if it has at most ``limit`` rows (some 100 MB); beyond, joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     simple = {
         T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.DoubleType: pa.float64(),

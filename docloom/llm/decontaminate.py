@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _words
-from docloom.llm._spark import Workspace, boolean, field, long, map_batches, string
+from docloom.llm._spark import Workspace, boolean, field, filter_batches, long, map_batches, string
 
 #: Windows that may be broadcast: about 120 bytes each, so some 120 MB.
 MAX_WINDOWS = 1_000_000
@@ -112,13 +112,9 @@ def decontaminate(
     Null and empty texts have no words and no hits; items with null id or without words have no windows; repeated
     documents and items count like others (``n_items`` counts distinct ids); an empty benchmark contaminates nothing.
     """
-    spark = docs.sparkSession
-    found = item_windows(benchmark, n, item_col, item_text_col)
-    rows = found.limit(max_windows + 1).collect()
-    if len(rows) > max_windows:
-        work = Workspace(spark, "decontaminate")
-        return _distributed(docs, work.write(found, "windows"), work, id_col, text_col, with_clean_text)
-    shared = spark.sparkContext.broadcast(window_set(rows))
+    shared, work, found = _windows(docs, benchmark, n, max_windows, item_col, item_text_col)
+    if shared is None:
+        return _distributed(docs, found, work, id_col, text_col, with_clean_text)
     source = docs.select(id_col, text_col)
     out = _fields(docs, id_col, with_clean_text)
 
@@ -130,6 +126,37 @@ def decontaminate(
     return map_batches(source, out, each)
 
 
+def keep(
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without contaminated ones; otherwise as ``decontaminate``."""
+    shared, work, found = _windows(docs, benchmark, n, max_windows, item_col, item_text_col)
+    if shared is None:
+        keyed = work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+        return keyed.join(_hits(keyed, found, text_col), "_row", "left_anti").drop("_row")
+
+    def mask(batch: pa.RecordBatch) -> list[bool]:
+        out = []
+        for _, _, text in _words.batch_words(batch, text_col):
+            hit, _ = _scan(text, shared.value)
+            totals = np.concatenate([[0], np.cumsum(hit)])
+            out += (totals[text.first[1:]] == totals[text.first[:-1]]).tolist()
+        return out
+
+    return filter_batches(docs, mask)
+
+
+def _windows(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int, item_col: str, item_text_col: str) -> tuple:
+    """(broadcast window set, -, -) within the bound, else (None, workspace, written windows)."""
+    spark = docs.sparkSession
+    found = item_windows(benchmark, n, item_col, item_text_col)
+    rows = found.limit(max_windows + 1).collect()
+    if len(rows) > max_windows:
+        work = Workspace(spark, "decontaminate")
+        return None, work, work.write(found, "windows")
+    return spark.sparkContext.broadcast(window_set(rows)), None, None
+
+
 def _fields(docs: DataFrame, id_col: str, with_clean_text: bool) -> list:
     out = [field(docs, id_col), long("n_words"), long("n_hit"), long("n_items"), string("item_ids"), string("items_sha256"), boolean("contaminated")]
     return [*out, string("clean_text")] if with_clean_text else out
@@ -176,20 +203,7 @@ def _distributed(docs: DataFrame, found: DataFrame, work: Workspace, id_col: str
     Each document row gets a row number key; only (key, item, place) hits come back to it.
     """
     keyed = work.write(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "docs")
-    sizes = [r["size"] for r in found.select("size").distinct().collect()]  # at most n values
-
-    def grams(batch: pa.RecordBatch):
-        rows = batch.column(0)
-        for a, _, w in _words.batch_words(batch, text_col):
-            h = w.hashes()
-            for size in sizes:
-                ix, doc = _words.window_starts(w.first, size)
-                keys = _words.windows(h, size)[ix]
-                words = [b" ".join(w.word(j) for j in range(i, i + size)).decode("utf-8", "replace") for i in ix.tolist()]
-                yield {"_row": rows.slice(a).take(pa.array(doc)), "size": np.full(len(ix), size), "key": keys.view(np.int64), "words": words, "at": ix - w.first[:-1][doc]}
-
-    seen = map_batches(keyed.select("_row", text_col), [long("_row"), long("size"), long("key"), string("words"), long("at")], grams)
-    hits = seen.join(found, ["size", "key", "words"]).groupBy("_row").agg(F.collect_set(F.struct("at", "size", "item")).alias("hits"))
+    hits = _hits(keyed, found, text_col)
     joined = keyed.join(hits, "_row", "left").select(id_col, text_col, F.col("hits.at").alias("at"), F.col("hits.size").alias("size"), F.col("hits.item").alias("item"))
 
     def each(batch: pa.RecordBatch):
@@ -205,3 +219,21 @@ def _distributed(docs: DataFrame, found: DataFrame, work: Workspace, id_col: str
             yield _columns(batch, a, b, text, np.cumsum(marks)[:-1] > 0, items, id_col, with_clean_text)
 
     return map_batches(joined, _fields(docs, id_col, with_clean_text), each)
+
+
+def _hits(keyed: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """(_row, hits): the windows that stand in each row's text."""
+    sizes = [r["size"] for r in found.select("size").distinct().collect()]  # at most n values
+
+    def grams(batch: pa.RecordBatch):
+        rows = batch.column(0)
+        for a, _, w in _words.batch_words(batch, text_col):
+            h = w.hashes()
+            for size in sizes:
+                ix, doc = _words.window_starts(w.first, size)
+                keys = _words.windows(h, size)[ix]
+                words = [b" ".join(w.word(j) for j in range(i, i + size)).decode("utf-8", "replace") for i in ix.tolist()]
+                yield {"_row": rows.slice(a).take(pa.array(doc)), "size": np.full(len(ix), size), "key": keys.view(np.int64), "words": words, "at": ix - w.first[:-1][doc]}
+
+    seen = map_batches(keyed.select("_row", text_col), [long("_row"), long("size"), long("key"), string("words"), long("at")], grams)
+    return seen.join(found, ["size", "key", "words"]).groupBy("_row").agg(F.collect_set(F.struct("at", "size", "item")).alias("hits"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import _training, _words
-from docloom.llm._spark import double, field, integer, map_batches
+from docloom.llm._spark import double, field, filter_batches, integer, map_batches
 
 BITS = 18
 #: Bound of the learning sample.
@@ -113,9 +113,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id
 
     def each(batch: pa.RecordBatch):
         for a, b, text in _words.batch_words(batch, text_col, _words.WORDS_AND_SIGNS):
-            start, key, value = bags(text, bits)
-            owner = np.repeat(np.arange(b - a), np.diff(start))
-            dots = np.bincount(owner, shared.value[key] * value, b - a)
-            yield {id_col: batch.column(0).slice(a, b - a), name: 1 / (1 + np.exp(-np.clip(dots + bias, -35, 35)))}
+            yield {id_col: batch.column(0).slice(a, b - a), name: scores(text, shared.value, bias, bits)}
 
     return map_batches(docs.select(id_col, text_col), [field(docs, id_col), double(name)], each)
+
+
+def scores(text: _words.Words, weights: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
+    start, key, value = bags(text, bits)
+    n = len(text.first) - 1
+    dots = np.bincount(np.repeat(np.arange(n), np.diff(start)), weights[key] * value, n)
+    return 1 / (1 + np.exp(-np.clip(dots + bias, -35, 35)))
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``; otherwise as ``score``."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def mask(batch: pa.RecordBatch) -> list[bool]:
+        return [x >= threshold for _, _, text in _words.batch_words(batch, text_col, _words.WORDS_AND_SIGNS) for x in scores(text, shared.value, bias, bits).tolist()]
+
+    return filter_batches(docs, mask)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import _training, _words
-from docloom.llm._spark import double, field, integer, map_batches
+from docloom.llm._spark import double, field, filter_batches, integer, map_batches
 
 BITS, DIM = 17, 8
 #: Bound of the learning sample.
@@ -140,3 +140,14 @@ def scores(text: _words.Words, values: np.ndarray, bias: float, bits: int = BITS
     n = len(text.first) - 1
     total, many = np.bincount(doc, sums[word], n), np.bincount(doc, sizes[word], n)
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(many, 1) + bias, -35, 35)))
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, bits: int = BITS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; otherwise as ``score``."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def mask(batch: pa.RecordBatch) -> list[bool]:
+        return [x < threshold for _, _, text in _words.batch_words(batch, text_col, _words.ALNUM) for x in scores(text, shared.value, bias, bits).tolist()]
+
+    return filter_batches(docs, mask)
