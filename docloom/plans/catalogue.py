@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from docloom.plans.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("relational",)
+for _name in MODULES:
+    importlib.import_module(f"docloom.plans.{_name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
