@@ -6,7 +6,7 @@ import importlib
 
 from docloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("relational", "retrieval")
+MODULES = ("relational", "retrieval", "scoring")
 for _name in MODULES:
     importlib.import_module(f"docloom.plans.{_name}")
 
