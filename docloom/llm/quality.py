@@ -56,12 +56,12 @@ class Ftrl:
     """FTRL-proximal logistic regression; ``bias`` is a feature of its own with value 1 and no L1."""
 
     bits: int = BITS
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.01
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, seed: int = 7) -> tuple[np.ndarray, float]:
         size = 1 << self.bits
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         rng = np.random.default_rng(seed)

@@ -1,9 +1,11 @@
 """Toxicity by averaged subword embeddings and a linear softmax (operator 7).
 
 A word is the bag of its character 3- to 5-grams (with word borders) and itself, each hashed to a row of an
-embedding matrix; a document is the average over its distinct words' subwords, and a linear softmax over the two
-classes reads that average.  Embeddings and softmax are learnt jointly in numpy (Adagrad) on a bounded sample
-(``max_rows``), so misspelt and inflected words never seen in learning still share n-gram vectors with known ones.
+embedding matrix; a passage (``WIDTH`` successive distinct words of a document) is the average over its subwords, and
+a linear softmax over the two classes reads that average.  A document scores as its worst passage, so a few bad words
+weigh as much in a long text as in a short one.  Embeddings and softmax are learnt jointly in numpy (Adagrad) on a
+bounded sample (``max_rows``), so misspelt and inflected words never seen in learning still share n-gram vectors with
+known ones.
 
 For scoring, the softmax of two classes over an average is linear in the rows of the embedding matrix: each row
 shrinks to one number, which is broadcast (4 * 2 ** bits bytes), and every distinct word of a batch is summed up once.
@@ -21,6 +23,8 @@ from docloom.llm import _training, _words
 from docloom.llm._spark import double, field, filter_batches, integer, map_batches
 
 BITS, DIM = 17, 8
+#: Distinct words of a passage.
+WIDTH = 2
 #: Bound of the learning sample.
 MAX_ROWS = 6000
 GRAMS = (3, 4, 5)
@@ -45,56 +49,87 @@ def subwords(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 
 
 def distinct_words(text: _words.Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Distinct (document, word) pairs of some documents, and the distinct words."""
+    """Each document's distinct words in order of first occurrence: (start of each document, word, the words' texts)."""
     _, at, word = np.unique(text.hashes(), return_index=True, return_inverse=True)
-    both = np.unique(text.doc_of() * max(len(at), 1) + word)
-    return both // max(len(at), 1), both % max(len(at), 1), [text.word(i).decode("utf-8", "replace") for i in at.tolist()]
+    doc = text.doc_of()
+    _, where = np.unique(doc * max(len(at), 1) + word, return_index=True)
+    where.sort()
+    first = np.searchsorted(doc[where], np.arange(len(text.first)))
+    return first, word[where], [text.word(i).decode("utf-8", "replace") for i in at.tolist()]
 
 
-def bags(text: _words.Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents' averages as (start of each document, embedding rows, weights that add up to 1)."""
-    doc, word, words = distinct_words(text)
+def passages(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, document) of every stretch of ``width`` distinct words; the last of a document may be shorter."""
+    many = -(-np.diff(first) // width)
+    doc = np.repeat(np.arange(len(many)), many)
+    return first[:-1][doc] + width * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)), doc
+
+
+def averages(sums: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Average over the subwords of each passage, given its words' sums and numbers of subwords."""
+    return np.add.reduceat(sums, starts) / np.add.reduceat(sizes, starts) if len(starts) else np.zeros(0)
+
+
+def bags(text: _words.Words, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(embedding rows, rows of each word) of every document's distinct words."""
+    first, word, words = distinct_words(text)
     owner, row = subwords(words, bits)
-    first = np.searchsorted(owner_sorted := np.sort(owner, kind="stable"), np.arange(len(words) + 1))
-    row = row[np.argsort(owner, kind="stable")]
-    sizes = np.diff(first)
-    n = len(text.first) - 1
-    reps = sizes[word]
-    docs = np.repeat(doc, reps)
-    at = np.arange(len(docs)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[:-1][word], reps)
-    both, counts = np.unique((docs << bits) | row[at], return_counts=True)
-    del owner_sorted
-    owner = both >> bits
-    totals = np.bincount(docs, minlength=n)
-    return np.searchsorted(owner, np.arange(n + 1)), both & ((1 << bits) - 1), counts / totals[owner]
-
-
-def fit_softmax(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Learns embeddings and softmax jointly; returns each row's part of the class-1 logit, and the bias."""
+    row = row[np.argsort(owner, kind="stable")].astype(np.int32)
+    cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = word[a:b].tolist()
+        sizes = np.diff(cut)[own].astype(np.int32)
+        out.append((np.concatenate([row[cut[k] : cut[k + 1]] for k in own]) if own else row[:0], sizes))
+    return out
+
+
+def fit_softmax(
+    docs: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, width: int = WIDTH, epochs: int = 10, rate: float = 0.2, seed: int = 7
+) -> tuple[np.ndarray, float]:
+    """Learns embeddings and softmax jointly from (rows, rows of each word, label); returns each row's part of the class-1 logit, and the bias.
+
+    A document stands for its worst passage under the model so far (in the first epoch, for a random one); documents
+    of label 0 also for a random one.
+    """
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1, 1, (1 << bits, dim)) / dim
     w, b = np.zeros((2, dim)), np.zeros(2)
     w[1, :], w[0, :] = rng.uniform(0.5, 1, dim), -rng.uniform(0.5, 1, dim)
     ge, gw, gb = np.full(1 << bits, 1e-8), np.full((2, dim), 1e-6), np.full(2, 1e-6)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)).tolist():
-            row, weight, y = rows[i]
-            v = weight @ e[row] if len(row) else np.zeros(dim)
-            logits = w @ v + b
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            d = p.copy()
-            d[y] -= 1
-            dv = d @ w
-            dw = np.outer(d, v)
-            gw += dw * dw
-            gb += d * d
-            w -= 0.1 * rate * dw / np.sqrt(gw)
-            b -= 0.1 * rate * d / np.sqrt(gb)
-            if len(row):
-                g = weight[:, None] * dv
-                ge[row] += (g * g).mean(1)
-                e[row] -= rate * g / np.sqrt(ge[row])[:, None]
+    if not docs:
+        return np.zeros(1 << bits, np.float32), 0.0
+    row = np.concatenate([d[0] for d in docs])
+    sizes = np.concatenate([d[1] for d in docs])
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.concatenate([[0], np.cumsum([len(d[1]) for d in docs])])
+    start, owner = passages(first, width)
+    end = cut[np.append(start[1:], len(sizes))]
+    begin, span = cut[start], np.searchsorted(owner, np.arange(len(docs) + 1))
+    for epoch in range(epochs):
+        worst = averages(np.add.reduceat((e @ (w[1] - w[0]))[row], cut[:-1]), sizes, start) if len(sizes) else np.zeros(0)
+        for i in rng.permutation(len(docs)).tolist():
+            lo, hi, y = span[i], span[i + 1], docs[i][2]
+            chosen = [lo + int(np.argmax(worst[lo:hi])) if epoch else int(rng.integers(lo, hi))] if hi > lo else [-1]
+            if not y and hi > lo:
+                chosen.append(int(rng.integers(lo, hi)))
+            for p in chosen:
+                rows = row[begin[p] : end[p]] if p >= 0 else row[:0]
+                v = e[rows].mean(0) if len(rows) else np.zeros(dim)
+                logits = w @ v + b
+                d = np.exp(logits - logits.max())
+                d /= d.sum()
+                d[y] -= 1
+                dv, dw = d @ w, np.outer(d, v)
+                gw += dw * dw
+                gb += d * d
+                w -= 0.1 * rate * dw / np.sqrt(gw)
+                b -= 0.1 * rate * d / np.sqrt(gb)
+                if len(rows):
+                    own, counts = np.unique(rows, return_counts=True)
+                    g = (counts / len(rows))[:, None] * dv
+                    ge[own] += (g * g).mean(1)
+                    e[own] -= rate * g / np.sqrt(ge[own])[:, None]
     return (e @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0])
 
 
@@ -103,18 +138,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     def each(batch: pa.RecordBatch):
         for a, b, text in _words.batch_words(batch, "text"):
-            start, row, weight = bags(text, bits)
-            cuts = start.astype(np.int32)
+            made = bags(text, bits)
             yield {
                 "_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a),
-                "row": pa.ListArray.from_arrays(pa.array(cuts), pa.array(row.astype(np.int32))), "weight": pa.ListArray.from_arrays(pa.array(cuts), pa.array(weight.astype(np.float32))),
+                "row": pa.array([x for x, _ in made], pa.list_(pa.int32())), "size": pa.array([x for _, x in made], pa.list_(pa.int32())),
             }
 
     chosen = _training.sample(docs, labels, label, max_rows, id_col, text_col)
-    out = [field(chosen, "_id"), integer("y"), T.StructField("row", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))]
-    made = map_batches(chosen, out, each).orderBy(F.xxhash64("_id"), "_id", "row")
-    rows = [(np.array(r["row"], np.int64), np.array(r["weight"], np.float64), r["y"]) for r in made.toLocalIterator()]  # at most max_rows
-    return fit_softmax(rows, bits)
+    out = [field(chosen, "_id"), integer("y"), T.StructField("row", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType()))]
+    made = map_batches(chosen, out, each).orderBy(F.xxhash64("_id"), "_id", "row").select("row", "size", "y").toArrow()  # at most max_rows
+    values = lambda name: (x.values.to_numpy(zero_copy_only=False) for x in made.column(name))
+    return fit_softmax(list(zip(values("row"), values("size"), made.column("y").to_pylist(), strict=True)), bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
@@ -133,13 +167,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id
     return map_batches(docs.select(id_col, text_col), [field(docs, id_col), double(name)], each)
 
 
-def scores(text: _words.Words, values: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
-    doc, word, words = distinct_words(text)
+def scores(text: _words.Words, values: np.ndarray, bias: float, bits: int = BITS, width: int = WIDTH) -> np.ndarray:
+    first, word, words = distinct_words(text)
     owner, row = subwords(words, bits)
     sums, sizes = np.bincount(owner, values[row], len(words)), np.bincount(owner, minlength=len(words))
-    n = len(text.first) - 1
-    total, many = np.bincount(doc, sums[word], n), np.bincount(doc, sizes[word], n)
-    return 1 / (1 + np.exp(-np.clip(total / np.maximum(many, 1) + bias, -35, 35)))
+    start, doc = passages(first, width)
+    logits = np.full(len(first) - 1, -np.inf)
+    np.maximum.at(logits, doc, averages(sums[word], sizes[word], start))
+    return 1 / (1 + np.exp(-np.clip(np.where(np.isinf(logits), 0.0, logits) + bias, -35, 35)))
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, bits: int = BITS, text_col: str = "text") -> DataFrame:
