@@ -11,8 +11,9 @@ Documents become sets of distinct word shingles; two are linked where ``100 * |A
    probability (uniform prior) that its similarity reaches the threshold is below ``miss``.  Survivors are verified
    on their full shingle sets (64-bit shingle hashes).
 4. Links make components.  A bucket whose members lie in several components still hides untried pairs: its members
-   outside the bucket's main component meet the others, in blocks of bounded size, under the same Bayesian test and
-   exact check; only pairs from different components count.  So no pair of a bucket stays untried that could still
+   outside the bucket's main component meet the others, in blocks of bounded size, under the same Bayesian test, then
+   under a bound on their common shingles (16 bits of each shingle hash: never below the true number), and the few
+   pairs left are verified on full sets; only pairs from different components count.  So no pair of a bucket stays untried that could still
    join two components, and no step lists all pairs within a group.
 
 With 32 bands of 5 hashes a pair at similarity 0.8 misses all buckets with probability 3e-6.
@@ -172,11 +173,12 @@ def near_duplicates(
     links = work.write(_verified(work, texts, likely, key, n, percent, "first").unionByName(same_id), "links")
     components = work.write(connected_components(work, links, "cc1"), "components1")
 
-    more = work.write(_untried(work, buckets, components, sigs, width, tests, key).join(likely, ["x", "y"], "left_anti").distinct(), "likely2")
+    untried = _untried(work, buckets, components, sigs, texts, width, tests, key, n, percent)
+    more = work.write(untried.join(likely, ["x", "y"], "left_anti").distinct(), "likely2")
     links2 = work.write(_verified(work, texts, more, key, n, percent, "second"), "links2")
     if not links2.isEmpty():
         components = work.write(connected_components(work, links.unionByName(links2), "cc2"), "components2")
-    work.drop("sketches", "buckets", "leaders", "sigs", "pairs", "likely", "likely2", "links", "links2", "copies", "same-id")
+    work.drop("placed", "mixed", "spread", "ids-mixed", "short", "sketches", "buckets", "leaders", "sigs", "pairs", "likely", "likely2", "links", "links2", "copies", "same-id")
     own = F.coalesce("component", "rep", F.col("id"))
     out = members.join(components, members["rep"] == components["node"], "left").select(
         F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept")
@@ -184,7 +186,9 @@ def near_duplicates(
     return out
 
 
-def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, sigs: DataFrame, width: int, tests: list[tuple[int, int]], key: T.StructField) -> DataFrame:
+def _untried(
+    work: Workspace, buckets: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, tests: list[tuple[int, int]], key: T.StructField, n: int, percent: int
+) -> DataFrame:
     """Likely pairs (x, y) of one bucket and different components: members outside the main component against all, in blocks."""
     placed = work.write(buckets.join(components, buckets["id"] == components["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
     counts = placed.groupBy("key", "c").agg(F.count("*").alias("members"))
@@ -204,17 +208,30 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, sigs: D
         )
     )
     spread = rows.select("key", "id", "c", F.explode(F.array_distinct(cells)).alias("cell")).select("key", F.col("cell.r").alias("r"), F.col("cell.o").alias("o"), "id", "c")
-    spread = work.write(spread, "spread").join(sigs, "id").select("key", "r", "o", "id", "c", "sig")
+    spread = work.write(spread, "spread")
+    ids = work.write(spread.select("id").distinct(), "ids-mixed")
+
+    def to_short(batch: pa.RecordBatch):
+        for s, e, text in _words.batch_words(batch, "text", _words.NONSPACE):
+            yield {"id": batch.column(0).slice(s, e - s), "short": pa.array([(x >> np.uint64(48)).astype("<u2").tobytes() for x in shingle_sets(text, n)], pa.binary())}
+
+    short = map_batches(texts.join(hinted(ids), "id", "left_semi"), [key, binary("short")], to_short).dropDuplicates()
+    known = work.write(sigs.join(short, "id"), "short")
+    spread = spread.join(known, "id").select("key", "r", "o", "id", "c", "sig", "short")
 
     def cell(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
         sig = _matrix(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"), width)
+        parts = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column("short")]
+        sizes = np.array([len(x) for x in parts])
+        flat, first = np.concatenate(parts), np.cumsum(sizes) - sizes
         i, j = np.nonzero(np.triu(c[:, None] != c[None, :], 1))
         out = []
         for k in range(0, len(i), 1 << 15):
             a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
             alive = plausible_at(sig, a, b, tests)
+            alive = alive[enough_common(flat, first, sizes, a[alive], b[alive], percent)]
             out.append((ids[a[alive]], ids[b[alive]]))
         x = np.concatenate([o[0] for o in out]) if out else ids[:0]
         y = np.concatenate([o[1] for o in out]) if out else ids[:0]
@@ -223,6 +240,21 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, sigs: D
     return spread.groupBy("key", "r", "o").applyInArrow(cell, T.StructType([T.StructField(c, key.dataType, True) for c in ("x", "y")])).distinct()
 
 
+def enough_common(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether row pairs (i, j; i ascending) may reach the similarity: the elements of ``j`` whose 16 bits ``i`` has are no fewer than the common ones."""
+    out = np.zeros(len(i), bool)
+    if not len(i):
+        return out
+    seen = np.zeros(1 << 16, np.int32)
+    rows, cuts = np.unique(i, return_index=True)
+    for row, a, b in zip(rows.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
+        seen[flat[first[row] : first[row] + sizes[row]]] = 1
+        common = np.add.reduceat(seen[flat], first)[j[a:b]]
+        out[a:b] = common * (100 + percent) >= percent * (sizes[row] + sizes[j[a:b]])
+        seen[:] = 0
+    return out
+
+
 def plausible_at(sig: np.ndarray, i: np.ndarray, j: np.ndarray, tests: list[tuple[int, int]]) -> np.ndarray:
     """As ``plausible``, for row pairs (i, j) of one matrix."""
     alive, matches, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
