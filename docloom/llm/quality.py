@@ -93,13 +93,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             cuts = start.astype(np.int32)
             yield {
                 "_id": ids.slice(a, b - a), "y": y.slice(a, b - a),
-                "key": pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int64))), "value": pa.ListArray.from_arrays(pa.array(cuts), pa.array(value)),
+                "key": pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int32))), "value": pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.astype(np.float32))),
             }
 
     chosen = _training.sample(docs, labels, label, max_rows, id_col, text_col)
-    out = [field(chosen, "_id"), integer("y"), T.StructField("key", T.ArrayType(T.LongType())), T.StructField("value", T.ArrayType(T.DoubleType()))]
-    rows = map_batches(chosen, out, each).orderBy(F.xxhash64("_id"), "_id", "key").collect()  # at most max_rows
-    return Ftrl(bits).fit([(np.array(r["key"], np.int64), np.array(r["value"]), r["y"]) for r in rows])
+    out = [field(chosen, "_id"), integer("y"), T.StructField("key", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]
+    rows = map_batches(chosen, out, each).orderBy(F.xxhash64("_id"), "_id", "key").select("key", "value", "y").toArrow()  # at most max_rows
+    values = lambda name: (x.values.to_numpy(zero_copy_only=False) for x in rows.column(name))
+    return Ftrl(bits).fit(list(zip(values("key"), values("value"), rows.column("y").to_pylist(), strict=True)))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm import _training, _words
-from docloom.llm._spark import double, field, filter_batches, integer, map_batches
+from docloom.llm._spark import double, field, filter_batches, integer, map_batches, string
 
 BITS, DIM = 17, 8
 #: Distinct words of a passage.
@@ -70,24 +69,20 @@ def averages(sums: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndar
     return np.add.reduceat(sums, starts) / np.add.reduceat(sizes, starts) if len(starts) else np.zeros(0)
 
 
-def bags(text: _words.Words, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(embedding rows, rows of each word) of every document's distinct words."""
-    first, word, words = distinct_words(text)
-    owner, row = subwords(words, bits)
-    row = row[np.argsort(owner, kind="stable")].astype(np.int32)
-    cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        own = word[a:b].tolist()
-        sizes = np.diff(cut)[own].astype(np.int32)
-        out.append((np.concatenate([row[cut[k] : cut[k + 1]] for k in own]) if own else row[:0], sizes))
-    return out
+def vocabulary_rows(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(embedding rows of all words one after the other, where each word's rows begin), a bounded stretch of words at a time."""
+    rows, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), 1 << 14):
+        owner, row = subwords(words[k : k + (1 << 14)], bits)
+        rows.append(row[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner))
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
 def fit_softmax(
-    docs: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, width: int = WIDTH, epochs: int = 10, rate: float = 0.2, seed: int = 7
+    docs: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, width: int = WIDTH, epochs: int = 10, rate: float = 0.2, seed: int = 7
 ) -> tuple[np.ndarray, float]:
-    """Learns embeddings and softmax jointly from (rows, rows of each word, label); returns each row's part of the class-1 logit, and the bias.
+    """Learns embeddings and softmax jointly from (distinct words joined by a space, label); returns each row's part of the class-1 logit, and the bias.
 
     A document stands for its worst passage under the model so far (in the first epoch, for a random one); documents
     of label 0 also for a random one.
@@ -99,22 +94,23 @@ def fit_softmax(
     ge, gw, gb = np.full(1 << bits, 1e-8), np.full((2, dim), 1e-6), np.full(2, 1e-6)
     if not docs:
         return np.zeros(1 << bits, np.float32), 0.0
-    row = np.concatenate([d[0] for d in docs])
-    sizes = np.concatenate([d[1] for d in docs])
-    cut = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.concatenate([[0], np.cumsum([len(d[1]) for d in docs])])
+    ids: dict[str, int] = {}
+    own_words = [np.array([ids.setdefault(x, len(ids)) for x in words.split(" ")] if words else [], np.int32) for words, _ in docs]
+    word = np.concatenate(own_words)
+    row, cut = vocabulary_rows(list(ids), bits)
+    sizes = np.diff(cut)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in own_words])])
     start, owner = passages(first, width)
-    end = cut[np.append(start[1:], len(sizes))]
-    begin, span = cut[start], np.searchsorted(owner, np.arange(len(docs) + 1))
+    end, span = np.append(start[1:], len(word)), np.searchsorted(owner, np.arange(len(docs) + 1))
     for epoch in range(epochs):
-        worst = averages(np.add.reduceat((e @ (w[1] - w[0]))[row], cut[:-1]), sizes, start) if len(sizes) else np.zeros(0)
+        worst = averages(np.add.reduceat((e @ (w[1] - w[0]))[row], cut[:-1])[word], sizes[word], start) if len(word) else np.zeros(0)
         for i in rng.permutation(len(docs)).tolist():
-            lo, hi, y = span[i], span[i + 1], docs[i][2]
+            lo, hi, y = span[i], span[i + 1], docs[i][1]
             chosen = [lo + int(np.argmax(worst[lo:hi])) if epoch else int(rng.integers(lo, hi))] if hi > lo else [-1]
             if not y and hi > lo:
                 chosen.append(int(rng.integers(lo, hi)))
             for p in chosen:
-                rows = row[begin[p] : end[p]] if p >= 0 else row[:0]
+                rows = np.concatenate([row[cut[k] : cut[k + 1]] for k in word[start[p] : end[p]]]) if p >= 0 else row[:0]
                 v = e[rows].mean(0) if len(rows) else np.zeros(dim)
                 logits = w @ v + b
                 d = np.exp(logits - logits.max())
@@ -134,21 +130,20 @@ def fit_softmax(
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """The model, learnt from at most ``max_rows`` labelled documents outside the held-out fold; their bags are made on the executors."""
+    """The model, learnt from at most ``max_rows`` labelled documents outside the held-out fold; their distinct words are listed on the executors."""
 
     def each(batch: pa.RecordBatch):
         for a, b, text in _words.batch_words(batch, "text"):
-            made = bags(text, bits)
+            first, word, words = distinct_words(text)
             yield {
                 "_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a),
-                "row": pa.array([x for x, _ in made], pa.list_(pa.int32())), "size": pa.array([x for _, x in made], pa.list_(pa.int32())),
+                "words": pa.array([" ".join(words[k] for k in word[s:e].tolist()) for s, e in zip(first[:-1], first[1:], strict=True)], pa.string()),
             }
 
     chosen = _training.sample(docs, labels, label, max_rows, id_col, text_col)
-    out = [field(chosen, "_id"), integer("y"), T.StructField("row", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType()))]
-    made = map_batches(chosen, out, each).orderBy(F.xxhash64("_id"), "_id", "row").select("row", "size", "y").toArrow()  # at most max_rows
-    values = lambda name: (x.values.to_numpy(zero_copy_only=False) for x in made.column(name))
-    return fit_softmax(list(zip(values("row"), values("size"), made.column("y").to_pylist(), strict=True)), bits)
+    made = map_batches(chosen, [field(chosen, "_id"), integer("y"), string("words")], each).orderBy(F.xxhash64("_id"), "_id", "words").select("words", "y")
+    rows = made.toArrow()  # at most max_rows
+    return fit_softmax(list(zip(rows.column("words").to_pylist(), rows.column("y").to_pylist(), strict=True)), bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
