@@ -15,17 +15,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, y): at most ``max_rows`` labelled documents outside the held-out fold, half of them of each label if there are as many.
+    """(text, y): at most ``max_rows`` labelled documents outside the held-out fold, in the labels' own mix.
 
-    The rows with the smallest hash of their id are taken, so the sample does not depend on partitions, and its size
-    does not grow with the tables; rows with null id or label take no part, of an id labelled twice the largest label counts.
+    The rows with the smallest hash of their id are taken whatever their label, so the sample does not depend on
+    partitions, its size does not grow with the tables, and the prior that a model learns from it is that of all
+    labels at every size; rows with null id or label take no part, of an id labelled twice the largest label counts.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
         .groupBy("_id").agg(F.max("y").alias("y"))
     )
-    order = [F.xxhash64("_id"), F.col("_id")]
-    few = [known.where(F.col("y") == y).orderBy(*order).limit(max_rows // 2) for y in (0, 1)]
-    chosen = F.broadcast(few[0].unionByName(few[1]))  # at most max_rows ids
+    chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))  # at most max_rows ids
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id").select("_id", "text", "y")

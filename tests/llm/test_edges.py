@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, licenses, neardup, packing, quality, tokencount, topk, toxicity, urlfilter
+from docloom.llm import _training, chat, decontaminate, licenses, neardup, packing, quality, tokencount, topk, toxicity, urlfilter
 from docloom.llm._spark import Workspace
 from tests.llm import brute
 
@@ -116,6 +116,13 @@ def test_classifiers(spark, docs, nothing):
         assert module.score(docs, module.fit(nothing, labels.limit(0), label)).first()["score"] == 0.5
 
 
+def test_learning_sample_keeps_the_mix_at_every_size(spark):
+    for n in (1000, 20000):
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+        got = [r["y"] for r in _training.sample(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), "toxic", 2000).collect()]
+        assert 700 < len(got) <= 2000 and 0.15 < sum(got) / len(got) < 0.25, (n, len(got), sum(got))
+
+
 def test_packing(spark, docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack(docs, path, with_ids=True).collect()
