@@ -36,8 +36,8 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     return top(scored, k, "similarity", "chunk_id")
 
 
-def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, text_rank, rank): chunks that hold all lexemes of a query (query_id, query).
+def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query (query_id, query), unranked.
 
     ``chunks`` (chunk_id, chunk_text) become postings (term, chunk, frequency) that queries join by term; rank is the
     sum of the frequencies over ``1 + ln(length)``.
@@ -47,8 +47,12 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l"))
     asked = asked.select("query_id", F.size("l").alias("need"), F.explode("l").alias("term"))
     found = posting.join(asked, "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
-    scored = found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
-    return top(scored, k, "text_rank", "chunk_id")
+    return found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
+
+
+def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, text_rank, rank): the k best of ``text_matches``."""
+    return top(text_matches(chunks, queries), k, "text_rank", "chunk_id")
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int, weights: tuple[float, float]) -> DataFrame:

@@ -168,7 +168,7 @@ TEXT_HITS = f"""(SELECT query_id, chunk_id, tf / (1 + ln(n)) AS text_rank FROM (
 
 @query(f"SELECT query_id, count(*) AS matches FROM {TEXT_HITS} GROUP BY query_id")
 def text_match_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return search.text_hits(chunks(spark, sf), asked(spark, sf), 1_000_000).groupBy("query_id").agg(F.count("*").alias("matches"))
+    return search.text_matches(chunks(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
 @query(f"SELECT query_id, chunk_id, round(text_rank, 6) AS text_rank, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS INT) AS rank FROM {TEXT_HITS}) WHERE rank <= 10")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scores, vectors
 from docloom.operators import feedback, relations, tables
+from docloom.plans import catalogue
 from docloom.streaming import limits
 
 
@@ -15,6 +16,13 @@ def test_cosine_of_odd_vectors(spark):
     assert [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, -1.0, 0.0, 0.0, None]
 
 
+def test_every_text_match_counts(spark, tmp_path):
+    n = 1_000_001
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("Alpha, beta").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "beta alpha gamma"), (2, "gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in catalogue.queries()["text_match_all_terms"](spark, str(tmp_path)).collect()] == [(1, n)]
+
+
 def test_feedback_confidence_and_priority(spark):
     one = spark.createDataFrame([("citation_accuracy", 4)], "category string, rating int")
     assert feedback.feedback_confidence(one).first()["confidence"] == pytest.approx(0.305)
