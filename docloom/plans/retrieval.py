@@ -242,3 +242,12 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
 def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("see page "), F.col("doc_id").cast("string"), F.lit(" and Page 7, page 99999"))
     return table(spark, sf, "documents").select("doc_id", t.pages_light(text).alias("pages"))
+
+
+@query(r"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)---\s*Page\s+(\d+)\s*---', 1), list_concat(regexp_extract_all(text, '(?i)page\s+(\d+)', 1),
+  regexp_extract_all(text, '(?i)p\.\s*(\d+)', 1))), lambda x: TRY_CAST(x AS INT)), lambda n: n BETWEEN 1 AND 1000))) AS pages
+  FROM (SELECT doc_id, text || ' see page ' || CAST(doc_id AS VARCHAR) || ' and Page 7, page 99999' AS text FROM documents)""")
+def page_numbers_text(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``page_numbers``, over whole texts with its sentence at their end."""
+    text = F.concat("text", F.lit(" see page "), F.col("doc_id").cast("string"), F.lit(" and Page 7, page 99999"))
+    return table(spark, sf, "documents").select("doc_id", t.pages_light(text).alias("pages"))

@@ -23,6 +23,13 @@ def test_every_text_match_counts(spark, tmp_path):
     assert [tuple(r) for r in catalogue.queries()["text_match_all_terms"](spark, str(tmp_path)).collect()] == [(1, n)]
 
 
+def test_pages_are_read_from_whole_texts(spark, tmp_path):
+    text = "--- Page 3 --- " + "word " * 50_000 + "see p. 12 or page 5"
+    spark.createDataFrame([(2000, text), (1, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["page_numbers_text"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["pages"] for r in got} == {2000: [3, 5, 7, 12], 1: [1, 7]}
+
+
 def test_feedback_confidence_and_priority(spark):
     one = spark.createDataFrame([("citation_accuracy", 4)], "category string, rating int")
     assert feedback.feedback_confidence(one).first()["confidence"] == pytest.approx(0.305)
