@@ -13,6 +13,8 @@ _ALL = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(text),
 _TERMS = f"(SELECT * FROM {_ALL} WHERE length(term) > 3)"
 _TOPICS = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(text[1:60]), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE source IS NOT NULL)"
 
+_TITLES = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE source IS NOT NULL)"
+
 
 def _overlap(terms: str) -> str:
     return f"""(SELECT a, b, common, common / (x.n + y.n - common) AS score FROM (SELECT p.doc AS a, q.doc AS b, count(*) AS common FROM {terms} p JOIN {terms} q USING (term) WHERE p.doc < q.doc GROUP BY 1, 2) t
@@ -32,6 +34,13 @@ def terms(spark: SparkSession, sf: str, chars: int | None = None, longer_than: i
     return each.where(F.length("term") > longer_than).distinct()
 
 
+def title_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (doc, term) of the sources, of their texts' whole first lines."""
+    d = tables.table(spark, sf, "documents").where("source is not null")
+    title = F.lower(F.substring_index("text", "\n", 1))
+    return d.select(F.col("source").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term")).distinct()
+
+
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     d = tables.table(spark, sf, "documents").where("source is not null")
     return d.groupBy(F.col("source").alias("doc")).agg(F.avg("n_chars").alias("mean_size"), F.collect_set("lang").alias("titles"))
@@ -42,6 +51,11 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rel.overlaps(terms(spark, sf, 60)).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT a, b, common, round(score, 6) AS score FROM {_overlap(_TITLES)}")
+def jaccard_pairs_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return rel.overlaps(title_terms(spark, sf)).withColumn("score", F.round("score", 6))
+
+
 @query(f"SELECT a, b, round(score, 6) AS score FROM {_STRUCTURE}")
 def structural_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rel.structural(stats(spark, sf)).withColumn("score", F.round("score", 6))
@@ -51,8 +65,11 @@ _RELATED = f"""(SELECT a, b, CASE WHEN c > 0.7 THEN 'similar' WHEN t > 0.7 AND c
   FROM (SELECT z.a, z.b, coalesce(x.score, 0) AS c, coalesce(y.score, 0) AS t, z.score AS s FROM {_STRUCTURE} z LEFT JOIN {_overlap(_TERMS)} x USING (a, b) LEFT JOIN {_overlap(_TOPICS)} y USING (a, b)))"""
 
 
-def _related(spark: SparkSession, sf: str) -> DataFrame:
-    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, None, 3), "content"), (terms(spark, sf, 60), "topic")))
+_RELATED_TITLES = _RELATED.replace(_TOPICS, _TITLES)
+
+
+def _related(spark: SparkSession, sf: str, topics: DataFrame | None = None) -> DataFrame:
+    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, None, 3), "content"), (terms(spark, sf, 60) if topics is None else topics, "topic")))
     pairs = rel.structural(stats(spark, sf)).withColumnRenamed("score", "structure").join(content, ["a", "b"], "left").join(topic, ["a", "b"], "left")
     return rel.relationships(pairs.fillna(0.0, ["content", "topic"]))
 
@@ -62,11 +79,21 @@ def relationship_types(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"SELECT a, b, kind, round(confidence, 6) AS confidence FROM {_RELATED_TITLES} WHERE confidence >= 0.3")
+def relationship_types_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return _related(spark, sf, title_terms(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED} WHERE confidence > 0.5")
 def relationship_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED_TITLES} WHERE confidence > 0.5")
+def relationship_graph_edges_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return _related(spark, sf, title_terms(spark, sf)).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
+
+
 @query(f"""SELECT term, count(*) AS docs, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS importance, CASE WHEN count(*) > 3 THEN 'comprehensive' ELSE 'partial' END AS coverage
   FROM {_TERMS} GROUP BY term ORDER BY docs DESC, term LIMIT 20""")
 def topic_df_top20(spark: SparkSession, sf: str) -> DataFrame:
