@@ -36,6 +36,8 @@ from docloom.llm.tokencount import byte_letters
 
 #: Token places of one dynamic program.
 BLOCK = 1 << 18
+#: White space in a row that the rank table's pattern takes: it steps back over a run sign by sign and runs out of stack at some 700,000.
+LONGEST_RUN = 100_000
 #: How byte-level vocabularies cut text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,7 +46,8 @@ class Encoder:
     """Ids of texts as the ``tokenizers`` file gives them.
 
     Where the file is a plain byte-level BPE whose ids are in merge order, the same vocabulary runs as a rank table
-    (several times faster, equal ids); texts that hold a special string, and other files, go through the library.
+    (several times faster, equal ids); texts that hold a special string or white space of more than ``LONGEST_RUN`` signs
+    in a row, and other files, go through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,11 +78,16 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in x): k for x, k in model["vocab"].items()}, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and not (self.special and "<" in text and self.special.search(text)):
+        if self.fast and not (self.special and "<" in text and self.special.search(text)) and not _long_run(text):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+def _long_run(text: str) -> bool:
+    return len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _SPACES.finditer(text))
+
+
+_SPACES = re.compile(r"\s+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -189,7 +197,9 @@ def pack(
     tokens, of a cut at a sentence end and of one inside a sentence.
 
     A null or empty text is its end id alone; repeated rows and null ids are packed like any other row; a document
-    longer than a sequence is cut; an empty table gives an empty result; other columns are not read.
+    longer than a sequence is cut; an empty table gives an empty result; other columns are not read.  Texts of any
+    length are encoded whole, one at a time (white space, words or numbers of millions of signs too), in memory that
+    grows with the longest text; cuts of equal cost are chosen alike at every run.
     """
     schema = [field(docs, id_col), long("start"), long("length"), long("ids_crc32"), long("doc_tokens"), long("sequence_id"), long("offset")]
     if with_ids:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +138,60 @@ def test_packing(spark, docs, nothing):
     assert whole[1] == whole[2] == 1 and whole[4] == 4 and packing.pack(nothing, path).count() == 0
 
 
+def test_packing_of_endless_runs(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, n = Tokenizer.from_file(path), packing.LONGEST_RUN
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "7" * 2_000_000, " " * n, " " * (n + 1), " \n\t" * n]
+    texts = [x for r in runs for x in (f"a{r}b", r)]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).select("doc_id", "start", "ids").toArrow()
+    for k, text in enumerate(texts):
+        own = pieces.filter(pa.compute.equal(pieces["doc_id"], k)).sort_by("start")
+        got = np.concatenate([x.values.to_numpy() for x in own["ids"]])
+        assert np.array_equal(got, [*library.encode(text, add_special_tokens=False).ids, 0]), (k, text[:3])
+
+
+def test_encoder_equals_library_on_odd_strings():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    library, encode = Tokenizer.from_file(path), packing.encoder(path)
+    counted, count = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), tokencount.counter(public_tokenizers.path("word_bpe_49k.json")).count
+    signs = ["a", "B", "é", "e\u0301", "7", " ", "  ", "\n", "\t", "'s", "'LL", "\u0130", "\x85", "\u200b", "\u3000", "😀", "\0", "<|endoftext|>", "<|startoftext|>", "<|", "the", "ing", ".", "!?", "漢字", "\x1c"]
+    for _ in range(2000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(24)))
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert count(text) == len(counted.encode(text, add_special_tokens=False).ids), text
+
+
+def test_cuts_are_the_cheapest():
+    """Against a plain quadratic dynamic program."""
+    rng = np.random.default_rng(2)
+    for length in (7, 8, 16):
+        for _ in range(60):
+            ends = np.cumsum(rng.integers(1, 3 * length, rng.integers(1, 12)))
+            soft = rng.integers(1, ends[-1] + 1, rng.integers(0, 12))
+            x, cost = packing.places(ends, soft, length, (2.0, 5.0))
+            paid = lambda n: 0 if n & (n - 1) == 0 else length - n
+            best = [0.0]
+            for j in range(1, len(x)):
+                best.append(cost[j] + min(best[i] + paid(int(x[j] - x[i])) for i in range(j) if x[j] - x[i] <= length))
+            cuts = packing.choose_cuts(x, cost, length)
+            total = sum(cost[b] + paid(int(x[b] - x[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            assert cuts[0] == 0 and cuts[-1] == len(x) - 1 and total == pytest.approx(best[-1])
+
+
+def test_token_count_of_endless_words(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a" * 50_000, "7" * 20_000, "é" * 20_000, " " * 2_000_000, "<|endoftext|>" * 3 + "x<|startoftext|>y"]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    library = Tokenizer.from_file(path)
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
 def test_token_counts(docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs, path).collect()}
