@@ -10,11 +10,15 @@ Documents become sets of distinct word shingles; two are linked where ``100 * |A
 3. Candidates are verified in batches of signature values: after each batch a pair is dropped if the posterior
    probability (uniform prior) that its similarity reaches the threshold is below ``miss``.  Survivors are verified
    on their full shingle sets (64-bit shingle hashes).
-4. Links make components.  A bucket whose members lie in several components still hides untried pairs: its members
-   outside the bucket's main component meet the others, in blocks of bounded size, under the same Bayesian test, then
-   under a bound on their common shingles (16 bits of each shingle hash: never below the true number), and the few
-   pairs left are verified on full sets; only pairs from different components count.  So no pair of a bucket stays untried that could still
-   join two components, and no step lists all pairs within a group.
+4. Links make components.  A bucket whose members lie in several components still hides untried pairs.  Their texts meet
+   at rare shingles: in an order of all shingles, rarest first, two sets that reach the similarity share one of the
+   first few, how many depends on both sizes.  Pairs that meet there, of different components, with enough shingles
+   left to reach the similarity, go through the same Bayesian test and are verified on full sets.  So every pair of a
+   bucket that could still join two components is tried, and texts that have only frequent shingles in common (pages
+   of one template) do not meet.
+
+Work grows with the bands and shingles of the documents and with the pairs that meet.  Pairs within one component are
+never listed; what meets at one rare shingle without belonging together is compared in cells of bounded size.
 
 With 32 bands of 5 hashes a pair at similarity 0.8 misses all buckets with probability 3e-6.
 """
@@ -39,6 +43,10 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 #: Members of one side of a block.
 BLOCK = 256
+#: Ratio of neighbouring size classes of the prefix filter.
+CLASS = 1.02
+#: Bound of the shingles that are sent everywhere as frequent ones (some 30 bytes each).
+HOT = 50_000
 
 
 def shingle_sets(text: _words.Words, n: int) -> list[np.ndarray]:
@@ -164,21 +172,26 @@ def near_duplicates(
         alive = pa.array(plausible(_matrix(batch.column(2), width), _matrix(batch.column(3), width), tests))
         yield {"x": batch.column(0).take(alive), "y": batch.column(1).take(alive)}
 
-    with_sigs = (
-        work.write(pairs, "pairs").join(sigs.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x")
-        .join(sigs.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y").select("x", "y", "sx", "sy")
-    )
     pair_fields = [T.StructField(c, key.dataType, True) for c in ("x", "y")]
-    likely = work.write(map_batches(with_sigs, pair_fields, pass_test), "likely")
+
+    def tested(found: DataFrame) -> DataFrame:
+        """The pairs that pass the Bayesian test."""
+        with_sigs = (
+            found.join(sigs.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x")
+            .join(sigs.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y").select("x", "y", "sx", "sy")
+        )
+        return map_batches(with_sigs, pair_fields, pass_test)
+
+    likely = work.write(tested(work.write(pairs, "pairs")), "likely")
     links = work.write(_verified(work, texts, likely, key, n, percent, "first").unionByName(same_id), "links")
     components = work.write(connected_components(work, links, "cc1"), "components1")
 
-    untried = _untried(work, buckets, components, sigs, texts, width, tests, key, n, percent)
-    more = work.write(untried.join(likely, ["x", "y"], "left_anti").distinct(), "likely2")
+    untried = _untried(work, buckets, components, texts, key, n, percent)
+    more = work.write(tested(untried.join(likely, ["x", "y"], "left_anti")).distinct(), "likely2")
     links2 = work.write(_verified(work, texts, more, key, n, percent, "second"), "links2")
     if not links2.isEmpty():
         components = work.write(connected_components(work, links.unionByName(links2), "cc2"), "components2")
-    work.drop("placed", "mixed", "spread", "ids-mixed", "short", "sketches", "buckets", "leaders", "sigs", "pairs", "likely", "likely2", "links", "links2", "copies", "same-id")
+    work.drop("placed", "mixed", "ids-mixed", "sets-mixed", "freq", "meets", "parts", "untried", "sketches", "buckets", "leaders", "sigs", "pairs", "likely", "likely2", "links", "links2", "copies", "same-id")
     own = F.coalesce("component", "rep", F.col("id"))
     out = members.join(components, members["rep"] == components["node"], "left").select(
         F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept")
@@ -186,19 +199,95 @@ def near_duplicates(
     return out
 
 
-def _untried(
-    work: Workspace, buckets: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, tests: list[tuple[int, int]], key: T.StructField, n: int, percent: int
-) -> DataFrame:
-    """Likely pairs (x, y) of one bucket and different components: members outside the main component against all, in blocks."""
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(sizes, 1)) / math.log(CLASS)).astype(np.int64)
+
+
+def prefixes(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(own size class, other class, tokens) for a set of ``size`` shingles: where it may reach the similarity with a set of the other class, both share one of their first ``tokens`` shingles in any common order.
+
+    A pair of sizes x, y needs ``c = ceil(percent * (x + y) / (100 + percent))`` common shingles, so the first of them
+    stands among the first ``x - c + 1`` of either side; ``c`` is taken for the smallest size that the other may have.
+    """
+    own = int(size_class(np.array([size]))[0])
+    least, most = -(-percent * size // 100), size * 100 // percent
+    first, last = (int(k) for k in size_class(np.array([least, most])))
+    out = []
+    for k in range(first, last + 1):
+        other = max(least, math.ceil(CLASS**k - 1e-6))
+        tokens = size + (-percent * (size + other) // (100 + percent)) + 1
+        if tokens > 0:
+            out.append((own, k, tokens))
+    return out
+
+
+def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, texts: DataFrame, key: T.StructField, n: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components, of texts that share a bucket with another component, that agree in a rare prefix and in size.
+
+    The shingles of these texts are put in one order, rarest first.  A pair that reaches the similarity shares one of the
+    first few shingles of this order (``prefixes``), so texts meet at such a shingle and size class only; shingles whose
+    holders all lie in one component bring nobody together.  Pages of one template share its frequent shingles alone and
+    do not meet at all.  A group that is still large is dealt into cells of bounded size.
+    """
     placed = work.write(buckets.join(components, buckets["id"] == components["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
-    counts = placed.groupBy("key", "c").agg(F.count("*").alias("members"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("size"), F.max("members").alias("most"), F.max_by("c", F.struct("members", "c")).alias("main")).where("parts > 1")
-    mixed = work.write(
-        mixed.select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("n_rest")), "mixed"
-    )
-    rows = placed.join(mixed, "key").withColumn("inside", F.col("c") == F.col("main"))
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
-    rows = rows.withColumn("b", block)
+    mixed = work.write(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    ids = work.write(placed.join(hinted(mixed), "key", "left_semi").select("id", "c").distinct(), "ids-mixed")
+
+    def to_sets(batch: pa.RecordBatch):
+        for s, e, text in _words.batch_words(batch, "text", _words.NONSPACE):
+            yield {"id": batch.column(0).slice(s, e - s), "c": batch.column(2).slice(s, e - s), "shingles": pa.array([x.view(np.int64) for x in shingle_sets(text, n)], pa.list_(pa.int64()))}
+
+    fields = [key, T.StructField("c", key.dataType, True), longs("shingles")]
+    sets = work.write(map_batches(texts.join(hinted(ids), "id").select("id", "text", "c"), fields, to_sets), "sets-mixed")
+    held = sets.select("id", "c", F.explode("shingles").alias("shingle"))
+    freq = held.groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).where("df > 1")
+    freq = work.write(freq.select("shingle", "df", (F.col("low") < F.col("high")).alias("apart")), "freq")
+    # at most HOT shingles have more than one in HOT of all places, so the hot ones can be sent everywhere
+    line = (freq.agg(F.sum("df")).first()[0] or 0) // HOT
+    hot, cold = F.broadcast(freq.where(F.col("df") > line)), freq.where(F.col("df") <= line)
+    some = held.select("id", "c", "shingle")
+    known = some.join(hot, "shingle").unionByName(some.join(hot, "shingle", "left_anti").join(cold, "shingle", "left").fillna({"df": 1, "apart": False}))
+    ranked = known.groupBy("id", "c").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "apart"))).alias("order"))
+
+    def to_keys(batch: pa.RecordBatch):
+        owners, rows = [], []
+        order = batch.column(2)
+        values = order.values.slice(order.offsets[0].as_py(), order.offsets[-1].as_py() - order.offsets[0].as_py())
+        shingles, apart = values.field("shingle").to_numpy().view(np.uint64), values.field("apart").to_numpy(zero_copy_only=False)
+        cuts = np.asarray(order.offsets) - order.offsets[0].as_py()
+        for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            at = np.flatnonzero(apart[s:e])
+            for own, other, tokens in prefixes(e - s, percent) if len(at) else ():
+                use = at[: np.searchsorted(at, tokens)]
+                pair = np.uint64(min(own, other) << 32 | max(own, other))
+                meet = _words.mix(shingles[s + use] ^ _words.mix(np.array([pair + np.uint64(1)]))).view(np.int64)
+                rows.append(np.stack([meet, use, np.full(len(use), e - s), np.full(len(use), own), np.full(len(use), other)]))
+                owners.append(np.full(len(use), i))
+        who = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
+        cols = np.concatenate(rows, 1) if rows else np.zeros((5, 0), np.int64)
+        yield {"id": batch.column(0).take(who), "c": batch.column(1).take(who), "meet": cols[0], "left": cols[2] - cols[1], "size": cols[2], "own": cols[3], "other": cols[4]}
+
+    fields = [key, T.StructField("c", key.dataType, True), *(long(x) for x in ("meet", "left", "size", "own", "other"))]
+    meets = work.write(map_batches(ranked, fields, to_keys), "meets")
+    cells = _cells(work, meets)
+    a, b = (cells.select("meet", "r", "o", *(F.col(x).alias(f"{x}_{side}") for x in ("id", "c", "left", "size", "own", "other"))) for side in "ab")
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    fits = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b")) & enough
+    found = a.join(b, ["meet", "r", "o"]).where(fits).select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).distinct()
+    return work.write(found, "untried")
+
+
+def _cells(work: Workspace, meets: DataFrame) -> DataFrame:
+    """Rows of the groups (``meet``) that hold several components, dealt into cells (r, o): those outside the group's main component meet all others."""
+    counts = meets.groupBy("meet", "c").agg(F.count("*").alias("members"), F.min("own").alias("low"), F.max("own").alias("high"), F.min("other").alias("other"))
+    parts = counts.groupBy("meet").agg(
+        F.count("*").alias("parts"), F.sum("members").alias("size"), F.max("members").alias("most"), F.max_by("c", F.struct("members", "c")).alias("main"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("other").alias("other"),
+    )
+    both_sizes = (F.col("low") < F.col("high")) | (F.col("low") == F.col("other"))
+    parts = parts.where((F.col("parts") > 1) & both_sizes).select("meet", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("n_rest"))
+    rows = meets.join(hinted(work.write(parts, "parts")), "meet").withColumn("inside", F.col("c") == F.col("main"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     # a cell is a pair of blocks: (rest block, main block) or (rest block, later or same rest block, as negative numbers)
     rest = F.col("n_rest") - 1
     cells = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), rest), lambda r: F.struct(r.alias("r"), F.col("b").alias("o")))).otherwise(
@@ -207,62 +296,7 @@ def _untried(
             F.transform(F.sequence(F.lit(0), rest), lambda r: F.struct(F.least(r, F.col("b")).alias("r"), (-1 - F.greatest(r, F.col("b"))).alias("o"))),
         )
     )
-    spread = rows.select("key", "id", "c", F.explode(F.array_distinct(cells)).alias("cell")).select("key", F.col("cell.r").alias("r"), F.col("cell.o").alias("o"), "id", "c")
-    spread = work.write(spread, "spread")
-    ids = work.write(spread.select("id").distinct(), "ids-mixed")
-
-    def to_short(batch: pa.RecordBatch):
-        for s, e, text in _words.batch_words(batch, "text", _words.NONSPACE):
-            yield {"id": batch.column(0).slice(s, e - s), "short": pa.array([(x >> np.uint64(48)).astype("<u2").tobytes() for x in shingle_sets(text, n)], pa.binary())}
-
-    short = map_batches(texts.join(hinted(ids), "id", "left_semi"), [key, binary("short")], to_short).dropDuplicates()
-    known = work.write(sigs.join(short, "id"), "short")
-    spread = spread.join(known, "id").select("key", "r", "o", "id", "c", "sig", "short")
-
-    def cell(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
-        sig = _matrix(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"), width)
-        parts = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column("short")]
-        sizes = np.array([len(x) for x in parts])
-        flat, first = np.concatenate(parts), np.cumsum(sizes) - sizes
-        i, j = np.nonzero(np.triu(c[:, None] != c[None, :], 1))
-        out = []
-        for k in range(0, len(i), 1 << 15):
-            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-            alive = plausible_at(sig, a, b, tests)
-            alive = alive[enough_common(flat, first, sizes, a[alive], b[alive], percent)]
-            out.append((ids[a[alive]], ids[b[alive]]))
-        x = np.concatenate([o[0] for o in out]) if out else ids[:0]
-        y = np.concatenate([o[1] for o in out]) if out else ids[:0]
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-    return spread.groupBy("key", "r", "o").applyInArrow(cell, T.StructType([T.StructField(c, key.dataType, True) for c in ("x", "y")])).distinct()
-
-
-def enough_common(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether row pairs (i, j; i ascending) may reach the similarity: the elements of ``j`` whose 16 bits ``i`` has are no fewer than the common ones."""
-    out = np.zeros(len(i), bool)
-    if not len(i):
-        return out
-    seen = np.zeros(1 << 16, np.int32)
-    rows, cuts = np.unique(i, return_index=True)
-    for row, a, b in zip(rows.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
-        seen[flat[first[row] : first[row] + sizes[row]]] = 1
-        common = np.add.reduceat(seen[flat], first)[j[a:b]]
-        out[a:b] = common * (100 + percent) >= percent * (sizes[row] + sizes[j[a:b]])
-        seen[:] = 0
-    return out
-
-
-def plausible_at(sig: np.ndarray, i: np.ndarray, j: np.ndarray, tests: list[tuple[int, int]]) -> np.ndarray:
-    """As ``plausible``, for row pairs (i, j) of one matrix."""
-    alive, matches, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
-    for n, least in tests:
-        matches = matches + (sig[i[alive], done:n] == sig[j[alive], done:n]).sum(1)
-        keep = matches >= least
-        alive, matches, done = alive[keep], matches[keep], n
-    return alive
+    return rows.select("meet", "id", "c", "left", "size", "own", "other", F.explode(F.array_distinct(cells)).alias("cell")).select("meet", F.col("cell.r").alias("r"), F.col("cell.o").alias("o"), "id", "c", "left", "size", "own", "other")
 
 
 def _verified(work: Workspace, texts: DataFrame, pairs: DataFrame, key: T.StructField, n: int, percent: int, name: str) -> DataFrame:

@@ -97,6 +97,39 @@ def test_near_duplicates(spark, docs, nothing):
     assert sorted(str(r["doc_id"]) for r in neardup.keep(docs).collect()) == ["1", "2", "3", "5", "None"] and neardup.keep(docs).columns == docs.columns
 
 
+def test_pages_of_one_template_meet_at_rare_shingles_only(spark):
+    """Groups that share most of their wording; the parts of one's own decide, with links inside and between groups."""
+    rng = random.Random(4)
+    shared = [f"t{i}" for i in range(121)]
+    rows = []
+    for k in range(150):
+        own = [f"w{k}-{j}" for j in range(rng.choice((13, 14, 15, 16, 17, 20, 25)))]
+        rows.append(shared + own)
+    for k in range(60):  # some links through other words in common
+        base = list(rows[rng.randrange(150)])
+        for j in rng.sample(range(len(base)), rng.randrange(1, 7)):
+            base[j] = f"x{k}-{j}"
+        rows.append(base)
+    rows = [" ".join(r) for r in rows]
+    for n in (2,):
+        expect = brute.components({i: brute.shingles(x, n) for i, x in enumerate(rows)})
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), n=n).collect()}
+        assert got == expect and len(set(got.values())) > 1, n
+
+
+def test_prefixes_hold_the_first_common_shingle():
+    rng = np.random.default_rng(6)
+    for percent in (50, 80, 95):
+        for _ in range(300):
+            x, y = (int(v) for v in rng.integers(1, 400, 2))
+            least = -(-percent * (x + y) // (100 + percent))
+            if least > min(x, y):
+                continue
+            mine = {(a, b): n for a, b, n in neardup.prefixes(x, percent)}
+            own, other = (int(k) for k in neardup.size_class(np.array([x, y])))
+            assert mine[own, other] >= x - least + 1, (x, y, percent)
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (2, "One!"), (None, "two"), (3, None), (4, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
