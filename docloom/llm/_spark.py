@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) a local folder is chosen and kept in the session.
+    Only where the setting is absent on a single machine (local master, as in tests) a local folder is chosen and kept
+    in the session; a cluster without the setting is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -43,6 +46,17 @@ class Workspace:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def write_bytes(self, data: bytes, name: str) -> str:
+        """Writes a small file and returns its path."""
+        at = self._path(f"{self.root}/{name}")
+        out = self._fs.create(at)
+        try:
+            for k in range(0, len(data), 1 << 22):
+                out.write(bytearray(data[k : k + (1 << 22)]))
+        finally:
+            out.close()
+        return at.toString()
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
@@ -88,6 +102,8 @@ def _arrow(t: T.DataType) -> pa.DataType:
     }
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow(t.elementType))
+    if isinstance(t, T.StructType):
+        return pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in t])
     if type(t) not in simple:
         raise TypeError(f"ids of type {t.simpleString()} are not supported")
     return simple[type(t)]

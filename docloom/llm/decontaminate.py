@@ -5,8 +5,8 @@ item of fewer words is one window.  The windows' hashes are broadcast as a sorte
 each window and the window's real words), documents are scanned with vectorised rolling window hashes, every hash
 hit is verified word by word, and the words inside verified windows are marked.
 
-The broadcast has a checked size: above ``max_windows`` the windows stay distributed and each document's window
-hashes are semi-joined with them instead (one shuffle; same results).
+The broadcast has a checked size: above ``max_windows`` windows or ``max_bytes`` of their words they stay distributed
+and each document's window hashes are joined with them instead (one shuffle; same results).
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm import _words
 from docloom.llm._spark import Workspace, boolean, field, filter_batches, long, map_batches, string
 
-#: Windows that may be broadcast: about 120 bytes each, so some 120 MB.
-MAX_WINDOWS = 1_000_000
+#: Windows that may be broadcast, and bytes of their words: with what Python adds some 60 MB in the driver and in each worker.
+MAX_WINDOWS, MAX_BYTES = 100_000, 16 << 20
 _SLOT = np.uint64(44)
 
 
@@ -99,7 +100,7 @@ def _scan(text: _words.Words, against: WindowSet) -> tuple[np.ndarray, list[set[
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS,
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_clean_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: what it shares with the benchmark.
@@ -111,8 +112,9 @@ def decontaminate(
 
     Null and empty texts have no words and no hits; items with null id or without words have no windows; repeated
     documents and items count like others (``n_items`` counts distinct ids); an empty benchmark contaminates nothing.
+    Texts of any length are scanned whole, a long one in a pass of its own; other columns are not read.
     """
-    shared, work, found = _windows(docs, benchmark, n, max_windows, item_col, item_text_col)
+    shared, work, found = _windows(docs, benchmark, n, max_windows, max_bytes, item_col, item_text_col)
     if shared is None:
         return _distributed(docs, found, work, id_col, text_col, with_clean_text)
     source = docs.select(id_col, text_col)
@@ -127,10 +129,10 @@ def decontaminate(
 
 
 def keep(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs``, all columns, without contaminated ones; otherwise as ``decontaminate``."""
-    shared, work, found = _windows(docs, benchmark, n, max_windows, item_col, item_text_col)
+    shared, work, found = _windows(docs, benchmark, n, max_windows, max_bytes, item_col, item_text_col)
     if shared is None:
         keyed = work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
         return keyed.join(_hits(keyed, found, text_col), "_row", "left_anti").drop("_row")
@@ -146,15 +148,15 @@ def keep(
     return filter_batches(docs, mask)
 
 
-def _windows(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int, item_col: str, item_text_col: str) -> tuple:
+def _windows(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int, max_bytes: int, item_col: str, item_text_col: str) -> tuple:
     """(broadcast window set, -, -) within the bound, else (None, workspace, written windows)."""
     spark = docs.sparkSession
     found = item_windows(benchmark, n, item_col, item_text_col)
-    rows = found.limit(max_windows + 1).collect()
-    if len(rows) > max_windows:
+    count, size = found.agg(F.count("*"), F.sum(F.octet_length("words"))).first()
+    if count > max_windows or (size or 0) > max_bytes:
         work = Workspace(spark, "decontaminate")
         return None, work, work.write(found, "windows")
-    return spark.sparkContext.broadcast(window_set(rows)), None, None
+    return spark.sparkContext.broadcast(window_set(found.toArrow().to_pylist())), None, None  # within the two bounds
 
 
 def _fields(docs: DataFrame, id_col: str, with_clean_text: bool) -> list:
@@ -222,7 +224,7 @@ def _distributed(docs: DataFrame, found: DataFrame, work: Workspace, id_col: str
 
 
 def _hits(keyed: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """(_row, hits): the windows that stand in each row's text."""
+    """(_row, hits): the windows that stand in each row's text; hashes meet in a join, what meets is checked word by word."""
     sizes = [r["size"] for r in found.select("size").distinct().collect()]  # at most n values
 
     def grams(batch: pa.RecordBatch):
@@ -231,9 +233,18 @@ def _hits(keyed: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
             h = w.hashes()
             for size in sizes:
                 ix, doc = _words.window_starts(w.first, size)
-                keys = _words.windows(h, size)[ix]
-                words = [b" ".join(w.word(j) for j in range(i, i + size)).decode("utf-8", "replace") for i in ix.tolist()]
-                yield {"_row": rows.slice(a).take(pa.array(doc)), "size": np.full(len(ix), size), "key": keys.view(np.int64), "words": words, "at": ix - w.first[:-1][doc]}
+                yield {"_row": rows.slice(a).take(pa.array(doc)), "size": np.full(len(ix), size), "key": _words.windows(h, size)[ix].view(np.int64), "at": ix - w.first[:-1][doc]}
 
-    seen = map_batches(keyed.select("_row", text_col), [long("_row"), long("size"), long("key"), string("words"), long("at")], grams)
-    return seen.join(found, ["size", "key", "words"]).groupBy("_row").agg(F.collect_set(F.struct("at", "size", "item")).alias("hits"))
+    seen = map_batches(keyed.select("_row", text_col), [long("_row"), long("size"), long("key"), long("at")], grams)
+    maybe = seen.join(found, ["size", "key"]).groupBy("_row").agg(F.collect_set(F.struct("at", "size", "item", "words")).alias("maybe"))
+    hit = T.StructField("hits", T.ArrayType(T.StructType([long("at"), long("size"), string("item")])))
+
+    def verify(batch: pa.RecordBatch):
+        for a, b, w in _words.batch_words(batch, text_col):
+            out = []
+            for k in range(a, b):
+                s = int(w.first[k - a])
+                out.append([{"at": m["at"], "size": m["size"], "item": m["item"]} for m in batch.column(2)[k].as_py() if b" ".join(w.word(s + m["at"] + i) for i in range(m["size"])) == m["words"].encode()])
+            yield {"_row": batch.column(0).slice(a, b - a), "hits": pa.array(out, pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("item", pa.string())])))}
+
+    return map_batches(keyed.join(maybe, "_row").select("_row", text_col, "maybe"), [long("_row"), hit], verify).where(F.size("hits") > 0)

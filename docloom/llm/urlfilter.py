@@ -2,21 +2,17 @@
 
 A rule is (host, path, verdict): it fits its host and all subdomains where the url's path starts with the rule's.
 Rules are kept as a file: 64-bit xxhash keys of ``host + path`` in ascending order, then the full strings.  The file
-is sent to every executor, memory-mapped by its Python workers (one copy per machine in the page cache) and probed
+lies in the shared folder, from which Spark hands a copy to every executor, and is memory-mapped by its Python workers (one copy per machine in the page cache) and probed
 with a vectorised binary search for all candidates (host suffixes x path prefixes of the lengths in use) of a
 batch; every key hit is confirmed against the stored string, so colliding keys cannot give a wrong verdict.
 
-The array has a checked size: rules above ``max_rules`` stay a table and the candidates are joined with it.
+The array has a checked size: a table of more than ``max_rules`` rules or ``max_bytes`` of their strings stays a table
+and the candidates are joined with it.
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -24,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm._spark import Workspace, field, map_batches, string
 
-#: Rules in one array file: with strings of some 40 bytes about 300 MB.
-MAX_RULES = 5_000_000
+#: Rules in one array file and bytes of their strings: on the driver, which sorts them, some 200 MB in all; the file itself has 21 bytes a rule more.
+MAX_RULES, MAX_BYTES = 500_000, 32 << 20
 _ASCII = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MAGIC = b"digests1"
 
@@ -42,7 +38,7 @@ class Rule:
     verdict: str
 
 
-def write_array(rules: Iterable[tuple[str, str, str]], path: str) -> None:
+def array_bytes(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """Digest file of distinct (host, path, verdict): header, keys, string offsets, host lengths, verdicts, strings.
 
     Of contradicting rules with the same host and path the blocking one counts.
@@ -56,13 +52,10 @@ def write_array(rules: Iterable[tuple[str, str, str]], path: str) -> None:
     order = sorted((xxhash.xxh64_intdigest(h + p), h + p, len(h), b) for (h, p), b in best.items())
     n = len(order)
     strings = [s for _, s, _, _ in order]
-    with open(path, "wb") as f:
-        f.write(_MAGIC + struct.pack("<q", n))
-        f.write(np.array([k for k, *_ in order], "<u8").tobytes())
-        f.write(np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype("<i8").tobytes())
-        f.write(np.array([h for _, _, h, _ in order], "<i4").tobytes())
-        f.write(np.array([b for *_, b in order], "u1").tobytes())
-        f.write(b"".join(strings) + b"\0")
+    return b"".join((
+        _MAGIC, struct.pack("<q", n), np.array([k for k, *_ in order], "<u8").tobytes(), np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype("<i8").tobytes(),
+        np.array([h for _, _, h, _ in order], "<i4").tobytes(), np.array([b for *_, b in order], "u1").tobytes(), *strings, b"\0",
+    ))
 
 
 class DigestArray:
@@ -129,30 +122,40 @@ def _array(name: str) -> DigestArray:
     return _ARRAYS[path]
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, data: bytes) -> str:
+    """Hands the file to all executors, once per application and content; returns its name."""
+    name = f"digests-{xxhash.xxh3_128_hexdigest(data)}.bin"
+    if (sent := (spark.sparkContext.applicationId, name)) not in _SENT:
+        spark.sparkContext.addFile(Workspace(spark, "urlfilter").write_bytes(data, name))
+        _SENT.add(sent)
+    return name
+
+
 def filter_urls(
-    pages: DataFrame, rules: Iterable[Rule] | DataFrame, default: str = "allow", max_rules: int = MAX_RULES, id_col: str = "page_id", url_col: str = "url"
-) -> DataFrame:
+    pages: DataFrame, rules: Iterable[Rule] | DataFrame, default: str = "allow", max_rules: int = MAX_RULES, max_bytes: int = MAX_BYTES, id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """One row per row of ``pages``: id, ``host``, ``path``, ``rule`` (host and path of the longest fitting rule, else null), ``verdict``.
 
     ``rules`` is a list or a table (host, path, verdict); null fields count as empty, a null verdict as block.  Longest
     means most UTF-8 bytes of host and path together, then the longer host.  Without a fitting rule the verdict is
     ``default``.  A null url, or one without ``://``, has an empty host and path, which no rule fits.  Repeated rows
-    and null ids are judged like others; empty tables give empty results; other columns are not read.
+    and null ids are judged like others; urls of any length are judged whole; an empty rule list leaves all to
+    ``default``; an empty table of pages gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
     if isinstance(rules, DataFrame):
         table = rules.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("host", "path")), F.coalesce("verdict", F.lit("block")).alias("verdict")).distinct()
-        rows = table.limit(max_rules + 1).collect()
-        if len(rows) > max_rules:
+        n, size = table.agg(F.count("*"), F.sum(F.octet_length("host") + F.octet_length("path"))).first()
+        if n > max_rules or (size or 0) > max_bytes:
             return _joined(pages, table, default, id_col, url_col)
-        listed = [(r["host"], r["path"], r["verdict"]) for r in rows]
+        found = table.toArrow()  # within the two bounds
+        listed = zip(*(found.column(c).to_pylist() for c in ("host", "path", "verdict")), strict=True)
     else:
-        listed = [(r.host, r.path, r.verdict) for r in rules]
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="docloom-"))  # on the driver, which serves the file to executors until it ends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    write_array(listed, os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+        listed = [(r.host or "", r.path or "", r.verdict or "block") for r in rules]
+    name = _send(spark, array_bytes(listed))
 
     def each(batch: pa.RecordBatch):
         array = _array(name)
@@ -183,7 +186,14 @@ def _joined(pages: DataFrame, table: DataFrame, default: str, id_col: str, url_c
     lengths = [r[0] for r in table.select(F.octet_length("path").alias("n")).distinct().collect()]  # path lengths, not rules
 
     def each(batch: pa.RecordBatch):
-        out = [(u, *parts(u), c[: n].decode(), c[n:].decode("utf-8", "replace")) for u in batch.column(0).to_pylist() for c, n in candidates(*parts(u), lengths)]
+        out = []
+        for u in batch.column(0).to_pylist():
+            for c, n in candidates(*parts(u), lengths):
+                try:  # a prefix that ends inside a character is no rule's path
+                    host, path = c[:n].decode(), c[n:].decode()
+                except UnicodeDecodeError:
+                    continue
+                out.append((u, *parts(u), host, path))
         cols = list(zip(*out, strict=True)) or [()] * 5
         yield {n: pa.array(c, pa.string()) for n, c in zip(("_url", "_h", "_p", "host", "path"), cols, strict=True)}
 
