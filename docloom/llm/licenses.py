@@ -52,6 +52,60 @@ NOTICES = (
     Template("copyright", "copyright <<beginOptional>>c<<endOptional>> <<var;name=holder;min=1;max=8>> all rights reserved"),
 )
 
+# Whole license texts and notices; what holders, projects and versions may fill in is marked.
+_NO_WARRANTY_BSD = (
+    "this software is provided by <<var;name=provider;min=1;max=12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose "
+    "are disclaimed in no event shall <<var;name=provider;min=1;max=12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods "
+    "or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of "
+    "the use of this software even if advised of the possibility of such damage"
+)
+_BSD_2 = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+TEXTS = (
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this <<var;name=kind;min=1;max=3>> and associated documentation files the <<var;name=kind;min=1;max=3>> to deal in the <<var;name=kind;min=1;max=3>> "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var;name=kind;min=1;max=3>> and to permit persons to whom the "
+        "<<var;name=kind;min=1;max=3>> is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all "
+        "copies or substantial portions of the <<var;name=kind;min=1;max=3>> the <<var;name=kind;min=1;max=3>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the <<var;name=holders;min=1;max=8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the <<var;name=kind;min=1;max=3>> or the use or other dealings in the <<var;name=kind;min=1;max=3>>",
+    ),
+    Template("bsd-2-clause", _BSD_2 + _NO_WARRANTY_BSD),
+    Template(
+        "bsd-3-clause",
+        _BSD_2 + "<<beginOptional>>3<<endOptional>> neither the name of <<var;name=holder;min=1;max=10>> nor the names of <<var;name=whose;min=1;max=3>> contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission " + _NO_WARRANTY_BSD,
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in "
+        "all copies the software is provided as is and <<var;name=author;min=1;max=8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall "
+        "<<var;name=author;min=1;max=8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this <<var;name=kind;min=1;max=3>> except in compliance with the license you may obtain a copy of the license at "
+        "<<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+        "as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    *(
+        Template(
+            label,
+            f"is free software you can redistribute it and or modify it under the terms of the gnu {kind} as published by the free software foundation either version <<var;name=version;min=1;max=2>> of the license or at your option "
+            "any later version <<var;name=program;min=1;max=8>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+            f"gnu {kind} for more details",
+        )
+        for label, kind in (("gpl-text", "general public license"), ("lgpl-text", "lesser general public license"), ("agpl-text", "affero general public license"))
+    ),
+    Template("cc", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> creative commons attribution <<beginOptional>>noncommercial<<endOptional>> <<beginOptional>>noderivatives<<endOptional>> "
+             "<<beginOptional>>sharealike<<endOptional>> <<var;name=version;min=2;max=2>> <<beginOptional>><<var;name=place;min=1;max=2>><<endOptional>> license"),
+)
+
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_ASCII))
@@ -176,7 +230,7 @@ class Scanner:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Iterable[Template] = BASE + NOTICES, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False
+    docs: DataFrame, templates: Iterable[Template] = BASE + NOTICES + TEXTS, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: what license wording its whole text holds.
 
@@ -185,8 +239,9 @@ def scan_licenses(
     without matches), ``score`` (0 without a match, else ``m / (m + 2)`` for the match with most mandatory words ``m``)
     and, with ``with_spans``, ``spans`` (``label:first word:end word``, comma-joined in order of place).
 
-    Null and empty texts have no words; null ids stay null; repeated rows are scanned each; an empty table gives an
-    empty result; other columns are not read.
+    Null and empty texts have no words; null ids stay null; repeated rows are scanned each; texts of any length are
+    scanned whole; of matches from one word the longest counts; an empty table gives an empty result; other columns are
+    not read.
     """
     templates = tuple(templates)
     out = [field(docs, id_col), long("n_words"), long("n_base"), long("first_word"), long("last_word"), string("base_labels"), string("labels"), double("score")]
