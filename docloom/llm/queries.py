@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -96,5 +97,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOW = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_NONSPACE = r"regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5"""
+
+
+def _op2_sql() -> str:
+    """Turns, loss and length of the format; an escape adds one sign."""
+    escapes = lambda c: " + ".join(f"len(regexp_extract_all({c}, '{re.escape(x)}\\\\*(?:{rest})'))" for x, rest in chat._tails(chat.CONTROL))
+    signs = len(chat.TURN) + len(chat.END) + 2
+    extra = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in EXTRA_TURNS)
+    role = "replace(replace(role, '\\', '\\b'), chr(10), '\\n')"
+    return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(role = 'assistant', false) AS said FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {extra})))
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (said), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (said), '')) AS loss_sha256,
+    CAST(sum({signs} + length({role}) + {escapes(role)} + length(text) + {escapes('text')}) AS BIGINT) AS formatted_chars
+  FROM r GROUP BY conv_id"""
+
+
+def _op3_sql() -> str:
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
+    return f"""WITH p AS (SELECT row_number() OVER () AS n, page_id, coalesce({_LOW.format(c="regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  b AS (SELECT n, arg_max(r.host || r.path, strlen(r.host || r.path)) AS rule, arg_max(r.verdict, strlen(r.host || r.path)) AS verdict FROM p
+    JOIN (VALUES {rules}) AS r(host, path, verdict) ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n)
+  SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (n)"""
+
+
+OP5_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_NONSPACE.format(c="coalesce(text, '')")} AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+  n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+  k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id AS id, doc_id AS other FROM n UNION SELECT r.id, k.b FROM r JOIN k ON k.a = r.other)
+  SELECT doc_id, n AS n_shingles, m AS component_id, doc_id = m AS kept FROM n JOIN (SELECT id, min(other) AS m FROM r GROUP BY id) ON id = doc_id"""
+
+OP6_SQL = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_ALNUM.format(c="coalesce(text, '')")} AS w FROM documents),
+  i AS (SELECT item_id, {_ALNUM.format(c="coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  j AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS size FROM i WHERE len(w) > 0),
+  k AS (SELECT DISTINCT item, size, array_to_string(w[s:s + size - 1], ' ') AS x FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM j)),
+  g AS (SELECT n, s, size, array_to_string(w[s:s + size - 1], ' ') AS x FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, (SELECT DISTINCT size FROM j) WHERE len(w) >= size)),
+  h AS (SELECT n, s, size, item FROM g JOIN k USING (size, x)),
+  p AS (SELECT n, count(DISTINCT place) AS n_hit FROM (SELECT n, unnest(range(s, s + size)) AS place FROM h) GROUP BY n),
+  t AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM h) GROUP BY n)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN p USING (n) LEFT JOIN t USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others (models, tokenizers, automata with labels of their own) are tested against plain re-statements."""
+    return {"op1_top_k": OP1_SQL, "op2_chat_format": _op2_sql(), "op3_url_filter": _op3_sql(), "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL}

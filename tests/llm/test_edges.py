@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +91,78 @@ def test_licenses(spark, docs, nothing):
     assert (got[1]["labels"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == ("mit,reserved", 2, 8, 11) and got[2]["labels"] == "" and got[2]["score"] == 0
 
 
+def test_whole_license_texts_and_one_wrong_word(spark):
+    def filled(template):
+        text = re.sub(r"<<beginOptional>>|<<endOptional>>", " ", template.text)
+        return licenses.words(re.sub(r"<<var;[^>]*min=(\d+);[^>]*>>", lambda m: " someone" * int(m[1]), text))
+
+    rows, expect = [], {}
+    for k, template in enumerate(licenses.TEXTS):
+        whole = filled(template)
+        wrong = list(whole)
+        wrong[max(i for i, w in enumerate(whole) if w != "someone")] = "otherwise1"
+        rows += [(2 * k, ", ".join(whole).upper()), (2 * k + 1, " ".join(wrong))]
+        expect[2 * k], expect[2 * k + 1] = template.label, None
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in expect.items():
+        assert (label or licenses.TEXTS[k // 2].label) in got[k] if label else licenses.TEXTS[k // 2].label not in got[k], (k, label, got[k])
+
+
+def test_nested_and_unbalanced_regions(spark):
+    nested = licenses.Template("n", "alpha <<beginOptional>>beta <<beginOptional>>gamma<<endOptional>> delta<<endOptional>> omega")
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(["alpha omega", "alpha beta delta omega", "alpha beta gamma delta omega", "alpha gamma omega", "alpha beta omega"])], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df, [nested]).collect()} == {0: "n", 1: "n", 2: "n", 3: "", 4: ""}
+    with pytest.raises(ValueError, match="does not end"):
+        licenses.Automaton(licenses.Template("x", "a <<beginOptional>>b"))
+    with pytest.raises(ValueError, match="no mandatory"):
+        licenses.Automaton(licenses.Template("x", "<<beginOptional>>b<<endOptional>>"))
+
+
+def test_urls_odd_rules(spark):
+    df = spark.createDataFrame([(1, "http://a.com/é/x"), (2, "http://a.com/\ufffd"), (3, "http://a.com/" + "y" * 500_000)], "page_id long, url string")
+    assert {r["verdict"] for r in urlfilter.filter_urls(df, []).collect()} == {"allow"} and {r["verdict"] for r in urlfilter.filter_urls(df, [], default="block").collect()} == {"block"}
+    table = spark.createDataFrame([("a.com", "/\ufffd", "block"), (None, None, None), ("a.com", "/" + "y" * 1000, None)], "host string, path string, verdict string")
+    for most in (urlfilter.MAX_RULES, 1):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(df, table, max_rules=most).collect()}
+        assert got == {1: (None, "allow"), 2: ("a.com/\ufffd", "block"), 3: ("a.com/" + "y" * 1000, "block")}, most
+    assert urlfilter.filter_urls(df, table, max_bytes=1).where("verdict = 'block'").count() == 2
+
+
+def test_colliding_keys_are_told_apart(tmp_path, monkeypatch):
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda s: 7)
+    (tmp_path / "d").write_bytes(urlfilter.array_bytes([("a.com", "/", "block"), ("b.com", "/", "allow")]))
+    array = urlfilter.DigestArray(str(tmp_path / "d"))
+    found = array.find([(b"a.com/", 5), (b"b.com/", 5), (b"c.com/", 5), (b"b.com/", 4)])
+    assert [bool(array.block[k]) if k >= 0 else None for k in found] == [True, False, None, None]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from docloom.llm._spark import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d: d)
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_topk_of_large_numbers_and_chunks(spark):
+    """Scores beyond 2 ** 52, several chunks and shards, equal vectors in one cell."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 19), 1 << 19, 4)]) for i in range(300)] + [(i, [1.0, 2.0, 3.0, float(1 << 19)]) for i in range(300, 500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(v, v.where("vec_id % 10 = 0"), k=5, shard_rows=50, chunk=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = {i: [int(256 * y) for y in x] for i, x in rows}
+    for q, best in got.items():
+        assert best == [(i, -t) for t, i in sorted((-sum(a * b for a, b in zip(x, whole[q], strict=True)), i) for i, x in whole.items() if i != q)[:5]]
+    assert len(got) == 50
+    with pytest.raises(Exception, match="differ in length"):
+        topk.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), v).count()
+
+
 def test_near_duplicates(spark, docs, nothing):
     got = sorted((tuple(r) for r in neardup.near_duplicates(docs, n=5).collect()), key=str)
     assert [(i, c, k) for i, _, c, k in got] == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (4, 3, False), (None, None, True), (5, 5, True), (6, 5, False)], key=lambda x: str((x[0],)))
