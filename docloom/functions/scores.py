@@ -75,44 +75,53 @@ def cap(c: Column, most: float = 1.0) -> Column:
     return F.least(c, F.lit(most))
 
 
+#: No letter, digit or underscore stands before, or after.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def _part_words(c: Column) -> Column:
     """Words of four or more a-z, none cut out of a longer word."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.rlike(w, F.lit("^[a-z]{4,}$"))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(_BEFORE + "[a-z]{4,}+" + _AFTER), F.lit(0)))
+
 
+def _az_count(low: Column) -> Column:
+    return F.regexp_count(low, F.lit(_BEFORE + "[a-z]++" + _AFTER))
 
-def _az_words(c: Column) -> Column:
-    return F.filter(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.rlike(w, F.lit("^[a-zA-Z]+$")))
+
+def part_count(c: Column) -> Column:
+    """How many parts there are between runs of sentence ends."""
+    return F.regexp_count(c, F.lit("[.!?]+")) + 1
 
 
 def semantic_coherence(c: Column) -> Column:
-    parts = t.parts(c)
-    first, last = _part_words(F.get(parts, 0)), _part_words(F.element_at(parts, -1))
-    some = (F.size(parts) > 1) & (F.size(first) > 0) & (F.size(last) > 0)
+    ends = F.translate(c, "!?", "..")
+    first, last = _part_words(F.substring_index(ends, ".", 1)), _part_words(F.substring_index(ends, ".", -1))
+    some = F.contains(ends, F.lit(".")) & (F.size(first) > 0) & (F.size(last) > 0)
     same = F.when(some, 0.4 * F.size(F.array_intersect(first, last)) / F.least(F.size(first), F.size(last))).otherwise(0.0)
     return cap(same + cap(t.hits(F.lower(c), CONNECTORS) * 0.1, 0.3) + F.when(F.contains(c, F.lit("\n\n")), 0.2).otherwise(0.0))
 
 
 def structural_integrity(c: Column) -> Column:
-    parts = t.parts(c)
-    whole = F.size(F.filter(parts, lambda s: F.length(t.strip(s)) > 10)) / F.size(parts) * 0.4
+    whole = F.size(F.filter(t.parts(c), lambda s: F.length(t.strip(s)) > 10)) / part_count(c) * 0.4
     marks = F.regexp_count(c, F.lit("[.!?]")) / F.greatest(F.lit(1), t.token_count(c))
     bullets = F.when(F.rlike(c, F.lit(r"(?m)^\s*[\-*•]\s+")), 0.1).otherwise(0.0)
     return cap(whole + cap(marks * 2, 0.3) + F.when(F.contains(c, F.lit("\n\n")), 0.2).otherwise(0.0) + bullets)
 
 
 def content_density(c: Column) -> Column:
-    words = _az_words(F.lower(c))
-    good = F.filter(words, lambda w: ~w.isin(*STOP) & (F.length(w) > 2))
-    share = F.size(good) / F.size(words)
-    return F.when(F.size(words) == 0, 0.0).when(F.size(words) < 20, share * 0.8).otherwise(share)
+    low = F.lower(c)
+    words = _az_count(low)
+    good = F.regexp_count(low, F.lit(_BEFORE + "(?!(?:" + "|".join(STOP) + ")" + _AFTER + ")[a-z]{3,}+" + _AFTER))
+    share = F.try_divide(good.cast("double"), words)
+    return F.when(words == 0, 0.0).when(words < 20, share * 0.8).otherwise(share)
 
 
 def readability(c: Column) -> Column:
-    parts, words = t.parts(c), _az_words(c)
-    mean = F.aggregate(F.transform(parts, t.token_count), F.lit(0), lambda a, x: a + x) / F.size(parts)
-    letters = F.aggregate(F.transform(words, F.length), F.lit(0), lambda a, x: a + x) / F.size(words)
+    words = F.regexp_extract_all(c, F.lit(_BEFORE + "[a-zA-Z]++" + _AFTER), F.lit(0))
+    mean = F.regexp_count(c, F.lit(r"[^\s.!?]+")) / part_count(c)
+    letters = F.try_divide(F.length(F.array_join(words, "")).cast("double"), F.size(words))
     paras = F.split(c, "\n\n")
-    rich = F.size(F.filter(paras, lambda p: F.size(F.split(t.strip(p), r"\.")) >= 2)) / F.size(paras)
+    rich = F.size(F.filter(paras, lambda p: F.contains(p, F.lit(".")))) / F.size(paras)
     sentence = F.when(mean.between(15, 25), 0.4).when(mean.between(10, 30), 0.2).otherwise(0.0)
     return cap(sentence + F.when(F.size(words) == 0, 0.0).when(letters <= 6, 0.3).when(letters <= 8, 0.2).otherwise(0.0) + rich * 0.3)
 
@@ -126,7 +135,7 @@ def context_preservation(c: Column, context: Column) -> Column:
 def boundary_quality(c: Column, kind: Column) -> Column:
     body = t.strip(c)
     upper = F.when(F.rlike(body, F.lit(r"^\p{Lu}")), 0.2).otherwise(0.0)
-    first = F.when(t.token_count(F.get(t.parts(c), 0)) >= 3, 0.2).otherwise(0.0)
+    first = F.when(t.token_count(F.substring_index(F.translate(c, "!?", ".."), ".", 1)) >= 3, 0.2).otherwise(0.0)
     academic = F.when((kind == "academic") & t.any_of(F.lower(c), ACADEMIC), 0.3).otherwise(0.0)
     return cap(upper + F.when(t.hits(body, HEADERS) > 0, 0.3).otherwise(0.0) + first + academic)
 

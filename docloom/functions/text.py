@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,9 +41,14 @@ STEPS = [
 NO_TITLE = ("http", "www.", "![", "img-")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it (inside lambdas, too)."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(c: Column) -> Column:
-    """Without white space at both ends (not only blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends (not only blanks); a long run of blanks inside costs nothing."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column) -> Column:
@@ -59,7 +65,8 @@ def parts(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return F.size(words(c))
+    """How many words, without listing them."""
+    return F.regexp_count(c, F.lit(r"\S+"))
 
 
 def any_of(c: Column, found: list[str]) -> Column:
@@ -68,8 +75,19 @@ def any_of(c: Column, found: list[str]) -> Column:
 
 
 def hits(c: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur."""
-    return reduce(lambda a, b: a + b, [F.coalesce(F.rlike(c, F.lit(p)).cast("int"), F.lit(0)) for p in patterns])
+    """How many of the patterns occur; a pattern is only tried where the plain words that it must hold occur."""
+    return reduce(lambda a, b: a + b, [F.coalesce((reduce(lambda x, y: x & y, [F.contains(c, F.lit(w)) for w in sure_words(p)], F.lit(True)) & _occurs(c, p)).cast("int"), F.lit(0)) for p in patterns])
+
+
+def sure_words(pattern: str) -> list[str]:
+    """The longest word that every match of a pattern of words, white space and digits holds (other patterns: none)."""
+    if not re.fullmatch(r"(?:[A-Za-z :]|\\s\+|\\d\+)+", pattern):
+        return []
+    return [max(re.split(r"\\s\+|\\d\+", pattern), key=len)]
+
+
+def _occurs(c: Column, pattern: str) -> Column:
+    return F.lit(True) if sure_words(pattern) == [pattern] else F.rlike(c, F.lit(pattern))
 
 
 def cascade(c: Column, table: list[tuple[str, list[str]]], other: str) -> Column:
@@ -194,11 +212,16 @@ def json_ints(c: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy in bits of the characters of a text."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.size(chars)
-    shares = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    """Shannon entropy in bits of the characters of a short text (a sample): they are sorted once, runs of equal ones counted."""
+
+    def bits(chars: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1))), lambda i: (i == F.size(chars)) | (F.get(chars, i) != F.get(chars, i - 1)))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0.0).cast("double").alias("h"))
+        runs = F.aggregate(ends, start, lambda s, e: F.struct(e.alias("at"), (s["h"] + (e - s["at"]) * F.log2((e - s["at"]).cast("double"))).alias("h")))
+        n = F.size(chars).cast("double")
+        return F.when(n > 0, F.log2(n) - runs["h"] / n).otherwise(0.0)
+
+    return let(F.array_sort(F.filter(F.split(c, ""), lambda x: x != "")), bits)
 
 
 def html_text(c: Column) -> Column:

@@ -47,16 +47,18 @@ def sections(chunks: DataFrame) -> DataFrame:
 def _flagged(docs: DataFrame, start: str, kind, title: str) -> DataFrame:
     """Lines grouped from each starting line on; lines before the first start are a group of their own.
 
-    A fold inside the row: no line is shuffled.
+    Inside the row: no line is shuffled.  The places of the starts are found first, groups are slices between them, so
+    work grows with the number of lines.
     """
     lines = F.filter(F.transform(t.lines(F.col("text")), t.strip), lambda x: x != "")
-    empty = F.array().cast("array<array<string>>")
-    last = lambda a: F.element_at(a, -1)
-    groups = F.aggregate(
-        F.col("l"), empty,
-        lambda a, x: F.when((F.size(a) == 0) | F.rlike(x, F.lit(start)), F.concat(a, F.array(F.array(x)))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last(a), F.array(x))))),
-    )
-    each = docs.select("doc_id", lines.alias("l")).select("doc_id", F.posexplode(groups).alias("chunk_index", "g"))
+    rows = docs.select("doc_id", lines.alias("l")).where(F.size("l") > 0)
+
+    def groups_of(l: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: (i == 0) | F.rlike(F.get(l, i), F.lit(start)))
+        return t.let(starts, lambda s: F.transform(s, lambda a, k: F.slice(l, a + 1, F.coalesce(F.get(s, k + 1), F.size(l)) - a)))
+
+    groups = t.let(F.col("l"), groups_of)
+    each = rows.select("doc_id", F.posexplode(groups).alias("chunk_index", "g"))
     text = each.select("doc_id", "chunk_index", F.array_join("g", " ").alias("chunk_text"))
     return text.select("doc_id", "chunk_index", "chunk_text", F.concat(F.lit(title), (F.col("chunk_index") + 1).cast("string")).alias("section_title"), kind(F.col("chunk_text")).alias("kind"))
 
@@ -71,9 +73,12 @@ def steps(docs: DataFrame) -> DataFrame:
     return _flagged(docs, STEP_START, t.step_type, "Step ")
 
 
-def semantic(docs: DataFrame, separator: str = "\n\n", size: int = SEMANTIC[0], overlap: int = SEMANTIC[1]) -> DataFrame:
-    """Paragraphs, numbered with gaps where empty ones drop out; those longer than ``size`` words in windows: paragraph, part, chunk_text, title."""
+def semantic(docs: DataFrame, separator: str = "\n\n", size: int | None = SEMANTIC[0], overlap: int = SEMANTIC[1]) -> DataFrame:
+    """Paragraphs, numbered with gaps where empty ones drop out; those longer than ``size`` words (None: none are) in windows: paragraph, part, chunk_text, title."""
     paras = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("paragraph", "p")).select("doc_id", "paragraph", t.strip(F.col("p")).alias("p")).where("p != ''")
+    if size is None:
+        number = F.concat(F.lit("Paragraph "), (F.col("paragraph") + 1).cast("string"))
+        return paras.select("doc_id", "paragraph", F.lit(0).alias("part"), F.col("p").alias("chunk_text"), number.alias("title"))
     words = t.words(F.col("p"))
     pieces = F.when(F.size(words) > size, F.transform(windows(words, size, overlap), lambda x: F.array_join(x["words"], " "))).otherwise(F.array("p"))
     each = paras.select("doc_id", "paragraph", (F.size(words) > size).alias("long"), F.posexplode(pieces).alias("part", "chunk_text"))
@@ -82,19 +87,25 @@ def semantic(docs: DataFrame, separator: str = "\n\n", size: int = SEMANTIC[0],
 
 
 def packed(pieces: Column, limit: int, joint: str) -> Column:
-    """Greedy packing of an array of strings: as many as fit into ``limit`` words, in order; a longer piece stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    """Greedy packing of an array of strings: as many as fit into ``limit`` words, in order; a longer piece stands alone.
 
-    def step(s: Column, x: Column) -> Column:
-        n = t.token_count(x)
+    The fold keeps only where chunks start and end (pieces without words before the first one drop out); texts are joined once.
+    """
+    cut = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    start = F.struct(F.array_remove(F.array(cut), cut).alias("done"), F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+
+    def step(s: Column, n: Column) -> Column:
         fits = s["n"] + n <= limit
         return F.struct(
-            F.when(fits | (s["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))).alias("done"),
-            F.when(s["n"] == 0, x).when(fits, F.concat(s["now"], F.lit(joint), x)).otherwise(x).alias("now"),
-            F.when(fits, s["n"] + n).otherwise(n).alias("n"),
+            F.when(fits | (s["n"] == 0), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["a"].alias("a"), s["i"].alias("b")))).alias("done"),
+            F.when((s["n"] == 0) | ~fits, s["i"]).otherwise(s["a"]).alias("a"), (s["i"] + 1).alias("i"), F.when(fits, s["n"] + n).otherwise(n).alias("n"),
         )
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    def join(p: Column) -> Column:
+        cuts = F.aggregate(F.transform(p, t.token_count), start, step, lambda s: F.when(s["n"] > 0, F.array_append(s["done"], F.struct(s["a"].alias("a"), s["i"].alias("b")))).otherwise(s["done"]))
+        return F.transform(cuts, lambda c: F.array_join(F.slice(p, c["a"] + 1, c["b"] - c["a"]), joint))
+
+    return t.let(pieces, join)
 
 
 def section_split(c: Column) -> Column:

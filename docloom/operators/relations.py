@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(terms: DataFrame) -> DataFrame:
+#: Documents of a set whose pairs may be listed.
+MOST = 2_000
+
+
+def bounded(documents: DataFrame, most: int = MOST) -> DataFrame:
+    """The documents of a set, which must be no more than ``most``."""
+    if documents.limit(most + 1).count() > most:
+        raise ValueError(f"relationships are listed for at most {most} documents; narrow the set")
+    return documents
+
+
+def overlaps(terms: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b, common, score) of the pairs a < b that share a term, by Jaccard, from distinct (doc, term).
 
-    Documents meet at their terms, so the join grows with shared terms only; ``doc`` must be few per term (a bounded
-    set of documents or sources).
+    Documents meet at their terms, so the join grows with shared terms only.  The set is checked: of more than ``most``
+    documents no pairs are listed (a term that all hold would list them all).
     """
-    sizes = terms.groupBy("doc").agg(F.count("*").alias("size"))
+    sizes = bounded(terms.groupBy("doc").agg(F.count("*").alias("size")), most)
     pairs = terms.select(F.col("doc").alias("a"), "term").join(terms.select(F.col("doc").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
     both = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("size").alias("nb")), "b")
     return both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("score"))
 
 
-def structural(stats: DataFrame) -> DataFrame:
-    """(a, b, score) from (doc, mean_size, titles): the mean of the sizes' and the titles' agreement."""
+def structural(stats: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b, score) from (doc, mean_size, titles) of at most ``most`` documents: the mean of the sizes' and the titles' agreement."""
+    stats = bounded(stats, most)
     a, b = (stats.select(*[F.col(c).alias(f"{c}_{s}") for c in ("doc", "mean_size", "titles")]) for s in "ab")
-    pairs = a.join(b, F.col("doc_a") < F.col("doc_b"))  # a bounded set of documents
+    pairs = a.join(F.broadcast(b), F.col("doc_a") < F.col("doc_b"))  # at most ``most`` documents
     size = F.coalesce(1 - F.try_divide(F.abs(F.col("mean_size_a") - F.col("mean_size_b")), F.greatest("mean_size_a", "mean_size_b")), F.lit(0.0))
     shared = F.coalesce(F.try_divide(F.size(F.array_intersect("titles_a", "titles_b")).cast("double"), F.greatest(F.size("titles_a"), F.size("titles_b"))), F.lit(0.0))
     return pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), ((size + shared) / 2).alias("score"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.functions.vectors import cosine
 
 # Weights (vector, text) and threshold of each kind of caller.
 DEFAULTS = {"service": (0.7, 0.3, 0.5), "config": (0.6, 0.4, 0.7), "history": (0.5, 0.5, None), "similar": (0.9, 0.1, 0.6)}
+#: Vectors of one block.
+BLOCK = 2048
 # English stop words of the text search.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
@@ -19,6 +22,11 @@ def lexemes(c: Column, stop: tuple[str, ...] = STOP) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: ~w.isin(*stop))
 
 
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table with a broadcast hint if it has at most ``limit`` short rows; beyond, joins shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id") -> DataFrame:
     """The k best rows of each query (partial top-k before the shuffle), with ``rank``."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)
@@ -28,25 +36,95 @@ def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id") -> Da
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
     """(query_id, chunk_id, similarity, rank) of ``queries`` (query_id, q) against ``vectors`` (chunk_id, embedding).
 
-    The stated queries meet all rows; the vectors are not shuffled.
+    The stated queries meet all rows block by block, and each pair of blocks keeps the k best of each query.
+    """
+    return top(block_scores(vectors, queries, k, threshold, inclusive), k, "similarity", "chunk_id")
+
+
+def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(keys, rows): a batch of vectors in one row; null vectors drop out."""
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.float64())))], ["keys", "rows"])
+
+    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("keys"), F.col(vector).cast("array<double>").alias("rows")).mapInArrow(pack, "keys array<long>, rows array<array<double>>")
+
+
+def unit_rows(rows: pa.Array) -> np.ndarray:
+    """The vectors of one block at length 1 (a zero vector stays zero, so its cosine is 0)."""
+    flat = rows.flatten() if hasattr(rows, "flatten") else rows
+    x = np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
+    """(query_id, chunk_id, similarity to nine places): of each query and block of vectors the k best (all with None) that pass the threshold.
+
+    Vectors and queries meet as packed blocks of at most ``BLOCK`` rows, all of one length.
     """
-    scored = vectors.crossJoin(queries).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    if threshold is not None:
-        scored = scored.where(F.col("similarity") >= threshold if inclusive else F.col("similarity") > threshold)
-    return top(scored, k, "similarity", "chunk_id")
+    asked = _packed(queries, "query_id", "q").toDF("query_keys", "query_rows")
+    pairs = _packed(vectors, "chunk_id", "embedding").crossJoin(small(asked, 64))  # blocks by blocks
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, rows, query_keys, query_rows = (batch.column(c)[i].values for c in range(4))
+                keys, query_keys = keys.to_numpy(), query_keys.to_numpy()
+                s = np.round(unit_rows(query_rows) @ unit_rows(rows).T, 9) + 0.0
+                out = []
+                for q in range(len(query_keys)):
+                    at = np.arange(len(keys)) if threshold is None else np.flatnonzero(s[q] >= threshold if inclusive else s[q] > threshold)
+                    if k is not None and len(at) > k:
+                        least = np.partition(s[q][at], len(at) - k)[len(at) - k]
+                        at = at[s[q][at] >= least]
+                        at = at[np.lexsort((keys[at], -s[q][at]))[:k]]
+                    out.append((np.full(len(at), query_keys[q]), keys[at], s[q][at]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "chunk_id", "similarity"])
+
+    return pairs.mapInArrow(score, "query_id long, chunk_id long, similarity double")
+
+
+def document_pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(d1, d2, similarity): the largest cosine (0 at least) between the vectors (document_id, embedding) of each stated pair (d1, d2) of documents, block by block."""
+    named = vectors.select("document_id", F.col("embedding").cast("array<double>").alias("embedding")).where("document_id is not null and embedding is not null")
+
+    def pack(batches):
+        for batch in batches:
+            docs = np.asarray(batch.column(0))
+            for d in np.unique(docs).tolist():
+                rows = batch.column(1).take(pa.array(np.flatnonzero(docs == d)))
+                for at in range(0, len(rows), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([rows.slice(at, BLOCK).to_pylist()], pa.list_(pa.list_(pa.float64())))], ["document_id", "rows"])
+
+    packed = named.mapInArrow(pack, "document_id long, rows array<array<double>>")
+    a, b = (packed.select(F.col("document_id").alias(d), F.col("rows").alias(r)) for d, r in (("d1", "rows1"), ("d2", "rows2")))
+    met = a.join(small(pairs.select("d1", "d2").distinct()), "d1").join(b, "d2").select("d1", "d2", "rows1", "rows2")
+
+    def best(batches):
+        for batch in batches:
+            most = [float((unit_rows(batch.column(2)[i].values) @ unit_rows(batch.column(3)[i].values).T).max()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(most, pa.float64())], ["d1", "d2", "s"])
+
+    return met.mapInArrow(best, "d1 long, d2 long, s double").groupBy("d1", "d2").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("similarity"))
 
 
 def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query (query_id, query), unranked.
 
     ``chunks`` (chunk_id, chunk_text) become postings (term, chunk, frequency) that queries join by term; rank is the
-    sum of the frequencies over ``1 + ln(length)``.
+    sum of the frequencies over ``1 + ln(length)``.  Only terms that some query asks for leave the scan.
     """
-    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("l"))
-    posting = terms.select("chunk_id", F.size("l").alias("n"), F.explode("l").alias("term")).groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
     asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l"))
     asked = asked.select("query_id", F.size("l").alias("need"), F.explode("l").alias("term"))
-    found = posting.join(asked, "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
+    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("l"))
+    posting = terms.select("chunk_id", F.size("l").alias("n"), F.explode("l").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    posting = posting.groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
+    found = posting.join(small(asked), "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
     return found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
 
 

@@ -11,8 +11,6 @@ from docloom.sources import tables
 
 _ALL = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE source IS NOT NULL)"
 _TERMS = f"(SELECT * FROM {_ALL} WHERE length(term) > 3)"
-_TOPICS = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(text[1:60]), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE source IS NOT NULL)"
-
 _TITLES = r"(SELECT DISTINCT source AS doc, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE source IS NOT NULL)"
 
 
@@ -26,9 +24,9 @@ _STRUCTURE = f"""(SELECT x.doc AS a, y.doc AS b, (1 - abs(x.mean_size - y.mean_s
   FROM {_STATS} x JOIN {_STATS} y ON x.doc < y.doc)"""
 
 
-def terms(spark: SparkSession, sf: str, chars: int | None = None, longer_than: int = 0) -> DataFrame:
-    """Distinct (doc, term) of the sources, of whole texts or of their titles (the first characters)."""
-    text = F.lower("text" if chars is None else F.substring("text", 1, chars))
+def terms(spark: SparkSession, sf: str, longer_than: int = 0) -> DataFrame:
+    """Distinct (doc, term) of the sources, of whole texts."""
+    text = F.lower("text")
     d = tables.table(spark, sf, "documents").where("source is not null")
     each = d.select(F.col("source").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term"))
     return each.where(F.length("term") > longer_than).distinct()
@@ -46,13 +44,8 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.col("source").alias("doc")).agg(F.avg("n_chars").alias("mean_size"), F.collect_set("lang").alias("titles"))
 
 
-@query(f"SELECT a, b, common, round(score, 6) AS score FROM {_overlap(_TOPICS)}")
-def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.overlaps(terms(spark, sf, 60)).withColumn("score", F.round("score", 6))
-
-
 @query(f"SELECT a, b, common, round(score, 6) AS score FROM {_overlap(_TITLES)}")
-def jaccard_pairs_titles(spark: SparkSession, sf: str) -> DataFrame:
+def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rel.overlaps(title_terms(spark, sf)).withColumn("score", F.round("score", 6))
 
 
@@ -62,14 +55,11 @@ def structural_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RELATED = f"""(SELECT a, b, CASE WHEN c > 0.7 THEN 'similar' WHEN t > 0.7 AND c < 0.3 THEN 'conflicting' WHEN t > 0.5 AND c < 0.3 THEN 'complementary' WHEN s > 0.6 THEN 'referential' ELSE 'similar' END AS kind, (c + t + s) / 3 AS confidence
-  FROM (SELECT z.a, z.b, coalesce(x.score, 0) AS c, coalesce(y.score, 0) AS t, z.score AS s FROM {_STRUCTURE} z LEFT JOIN {_overlap(_TERMS)} x USING (a, b) LEFT JOIN {_overlap(_TOPICS)} y USING (a, b)))"""
-
+  FROM (SELECT z.a, z.b, coalesce(x.score, 0) AS c, coalesce(y.score, 0) AS t, z.score AS s FROM {_STRUCTURE} z LEFT JOIN {_overlap(_TERMS)} x USING (a, b) LEFT JOIN {_overlap(_TITLES)} y USING (a, b)))"""
 
-_RELATED_TITLES = _RELATED.replace(_TOPICS, _TITLES)
 
-
-def _related(spark: SparkSession, sf: str, topics: DataFrame | None = None) -> DataFrame:
-    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, None, 3), "content"), (terms(spark, sf, 60) if topics is None else topics, "topic")))
+def _related(spark: SparkSession, sf: str) -> DataFrame:
+    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, 3), "content"), (title_terms(spark, sf), "topic")))
     pairs = rel.structural(stats(spark, sf)).withColumnRenamed("score", "structure").join(content, ["a", "b"], "left").join(topic, ["a", "b"], "left")
     return rel.relationships(pairs.fillna(0.0, ["content", "topic"]))
 
@@ -79,30 +69,20 @@ def relationship_types(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"SELECT a, b, kind, round(confidence, 6) AS confidence FROM {_RELATED_TITLES} WHERE confidence >= 0.3")
-def relationship_types_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return _related(spark, sf, title_terms(spark, sf)).withColumn("confidence", F.round("confidence", 6))
-
-
 @query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED} WHERE confidence > 0.5")
 def relationship_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED_TITLES} WHERE confidence > 0.5")
-def relationship_graph_edges_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return _related(spark, sf, title_terms(spark, sf)).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
-
-
 @query(f"""SELECT term, count(*) AS docs, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS importance, CASE WHEN count(*) > 3 THEN 'comprehensive' ELSE 'partial' END AS coverage
   FROM {_TERMS} GROUP BY term ORDER BY docs DESC, term LIMIT 20""")
 def topic_df_top20(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.topic_frequencies(terms(spark, sf, None, 3))
+    return rel.topic_frequencies(terms(spark, sf, 3))
 
 
 @query(f"""SELECT count(*) FILTER (n > 2) AS deep, count(*) FILTER (n = 2) AS moderate, count(*) FILTER (n = 1) AS shallow, round(count(*) FILTER (n > 1) / count(*), 6) AS score FROM (SELECT term, count(*) AS n FROM {_TERMS} GROUP BY term)""")
 def coverage_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.coverage_depth(terms(spark, sf, None, 3)).withColumn("score", F.round("score", 6))
+    return rel.coverage_depth(terms(spark, sf, 3)).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT lang AS doc, source AS term FROM (SELECT DISTINCT lang FROM documents), (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) EXCEPT SELECT lang, source FROM documents WHERE n_chars > 1000")

@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.functions.vectors import cosine, mean_pool
+from docloom.functions.vectors import mean_pool
 from docloom.operators import chunking, search
 from docloom.plans.registry import SEARCHES, VECTORS, query
 from docloom.sources.tables import embeddings, searches, table
 
+#: Chunk ids of one document.
+SPAN = 1_000_000_000
 #: The DuckDB forms of building blocks.
 WORDS = "list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')"
 FIXED_SQL = f"""SELECT doc_id, CAST(s / 80 AS INT) AS chunk_index, array_to_string(w[s + 1:s + 100], ' ') AS chunk_text, CAST(s AS INT) AS position,
   CAST(len(w[s + 1:s + 100]) AS INT) AS word_count, CASE WHEN s = 0 THEN 0 ELSE 20 END AS overlap_size
   FROM (SELECT doc_id, w, unnest(range(0, len(w), 80)) AS s FROM (SELECT doc_id, {WORDS.format(c="text")} AS w FROM documents) WHERE len(w) > 0)"""
-CHUNK_SQL = f"(SELECT doc_id * 100000 + chunk_index AS chunk_id, doc_id AS document_id, chunk_text, word_count FROM ({FIXED_SQL}))"
+CHUNK_SQL = f"(SELECT doc_id * 1000000000 + chunk_index AS chunk_id, doc_id AS document_id, chunk_text, word_count FROM ({FIXED_SQL}))"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in search.STOP) + "]"
 LEX = "list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(" + STOP_SQL + ", w))"
 COS = "coalesce(list_inner_product({a}, {b}) / nullif(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})), 0), 0)"
@@ -26,7 +28,7 @@ STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed windows of 100 words, 20 shared, with ids."""
     made = chunking.fixed(table(spark, sf, "documents"), 100, 20)
-    return made.select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_text", "word_count")
+    return made.select((F.col("doc_id") * F.lit(SPAN) + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_text", "word_count")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,12 +38,13 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return embeddings(spark, sf).where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    """The vectors whose id is divisible by 50, as queries."""
+    return embeddings(spark, sf).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 ASKED_SQL = f"(SELECT item_id AS query_id, array_to_string({LEX.format(c='text')}[1:2], ' ') AS query FROM benchmark)"
-ASKED_V = f"(SELECT chunk_id AS query_id, embedding AS q FROM {VECTORS} WHERE chunk_id < 5)"
-VSCORE = f"(SELECT q.query_id, v.chunk_id, v.document_id, {COS.format(a='v.embedding', b='q.q')} AS similarity FROM {VECTORS} v, {ASKED_V} q)"
+ASKED_V = f"(SELECT chunk_id AS query_id, embedding AS q FROM {VECTORS} WHERE chunk_id % 50 = 0)"
+VSCORE = f"(SELECT q.query_id, v.chunk_id, v.document_id, round({COS.format(a='v.embedding', b='q.q')}, 9) AS similarity FROM {VECTORS} v, {ASKED_V} q)"
 
 
 @query(FIXED_SQL)
@@ -110,7 +113,7 @@ _LINE_WORDS = f"""(SELECT doc_id, len({WORDS.format(c='p')}) AS n, p FROM (SELEC
   c AS (SELECT doc_id, chunks, avg_words, CASE WHEN chunks < 2 OR avg_words = 0 THEN 0 ELSE sd / avg_words END AS variation FROM m)
   SELECT doc_id, chunks, round(avg_words, 6) AS avg_words, round(variation, 6) AS variation, round(0.3 * least(avg_words / 800, 1) + 0.2 * greatest(0, 1 - variation) + 0.3 + 0.14, 6) AS overall FROM c""")
 def chunk_quality_cv(spark: SparkSession, sf: str) -> DataFrame:
-    paras = chunking.semantic(table(spark, sf, "documents"), "\n", 1_000_000, 0).select("doc_id", t.token_count(F.col("chunk_text")).alias("word_count"), F.lit(True).alias("boundary"))
+    paras = chunking.semantic(table(spark, sf, "documents"), "\n", None).select("doc_id", t.token_count(F.col("chunk_text")).alias("word_count"), F.lit(True).alias("boundary"))
     return chunking.quality(paras).select("doc_id", "chunks", *[F.round(c, 6).alias(c) for c in ("avg_words", "variation", "overall")])
 
 
@@ -140,12 +143,12 @@ def cosine_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_hits(embeddings(spark, sf), asked_vectors(spark, sf), 20, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH r AS (SELECT query_id, chunk_id, similarity - query_id * 0.2 AS similarity FROM {VSCORE}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INT) AS rank FROM r),
+@query(f"""WITH r AS (SELECT query_id, chunk_id, similarity - query_id // 50 % 5 * 0.2 AS similarity FROM {VSCORE}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INT) AS rank FROM r),
   p AS (SELECT *, max(similarity >= 0.3) OVER (PARTITION BY query_id) AS p FROM k WHERE rank <= 5)
   SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM p WHERE CASE WHEN p THEN similarity >= 0.3 ELSE rank <= 3 END""")
 def retrieve_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    scored = embeddings(spark, sf).crossJoin(F.broadcast(asked_vectors(spark, sf)))  # five stated queries
-    scored = scored.select("query_id", "chunk_id", (cosine(F.col("embedding"), F.col("q")) - F.col("query_id") * F.lit(0.2)).alias("similarity"))
+    scored = search.block_scores(embeddings(spark, sf), asked_vectors(spark, sf), 5)
+    scored = scored.withColumn("similarity", F.col("similarity") - F.floor(F.col("query_id") / 50) % 5 * F.lit(0.2))
     return search.retrieve(scored).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -154,11 +157,15 @@ def mean_pool_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return mean_pool(embeddings(spark, sf), "document_id").select("document_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("centroid"))
 
 
-@query(f"""SELECT a.document_id AS d1, b.document_id AS d2, round(greatest(max({COS.format(a='a.embedding', b='b.embedding')}), 0), 6) AS similarity FROM {VECTORS} a JOIN {VECTORS} b ON a.document_id < b.document_id GROUP BY 1, 2""")
+#: Pairs of documents that are compared by their vectors.
+COMPARED = ((0, 1), (2, 3), (4, 9), (5, 7))
+
+
+@query(f"""SELECT a.document_id AS d1, b.document_id AS d2, round(greatest(max({COS.format(a='a.embedding', b='b.embedding')}), 0), 6) AS similarity FROM {VECTORS} a JOIN {VECTORS} b
+  ON (a.document_id, b.document_id) IN ({', '.join(map(str, COMPARED))}) GROUP BY 1, 2""")
 def doc_pair_max_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    e = embeddings(spark, sf)
-    pairs = e.select(F.col("document_id").alias("d1"), F.col("embedding").alias("a")).join(e.select(F.col("document_id").alias("d2"), F.col("embedding").alias("b")), F.col("d1") < F.col("d2"))
-    return pairs.groupBy("d1", "d2").agg(F.round(F.greatest(F.max(cosine(F.col("a"), F.col("b"))), F.lit(0.0)), 6).alias("similarity"))
+    pairs = spark.createDataFrame(list(COMPARED), "d1 long, d2 long")
+    return search.document_pair_similarity(embeddings(spark, sf), pairs).withColumn("similarity", F.round("similarity", 6))
 
 
 POSTINGS = f"""(SELECT chunk_id, n, term, count(*) AS tf FROM (SELECT chunk_id, len(l) AS n, unnest(l) AS term FROM (SELECT chunk_id, {LEX.format(c="chunk_text")} AS l FROM {CHUNK_SQL})) GROUP BY 1, 2, 3)"""
@@ -176,16 +183,18 @@ def text_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.text_hits(chunks(spark, sf), asked(spark, sf), 10).withColumn("text_rank", F.round("text_rank", 6))
 
 
-_HALVES = f"""v AS (SELECT query_id, chunk_id % 97 AS chunk_id, max(similarity) AS similarity FROM {VSCORE} WHERE similarity > 0.2 GROUP BY 1, 2), vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM v) WHERE r <= 20),
-  x AS (SELECT query_id, chunk_id % 97 AS chunk_id, max(text_rank) AS text_rank FROM {TEXT_HITS} WHERE query_id < 5 GROUP BY 1, 2), xt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS r FROM x) WHERE r <= 20)"""
+_ITEM_VECTORS = f"(SELECT b.item_id AS query_id, e.embedding AS q FROM benchmark b JOIN {VECTORS} e ON e.chunk_id = b.item_id)"
+_HALVES = f"""v AS (SELECT * FROM (SELECT q.query_id, v.chunk_id, round({COS.format(a='v.embedding', b='q.q')}, 9) AS similarity FROM {VECTORS} v, {_ITEM_VECTORS} q) WHERE similarity > 0.2), vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM v) WHERE r <= 20),
+  x AS (SELECT query_id, chunk_id // 1000000000 AS chunk_id, max(text_rank) AS text_rank FROM {TEXT_HITS} GROUP BY 1, 2), xt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS r FROM x) WHERE r <= 20)"""
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Vector and text hits over ids made to overlap (the tables' chunks and vectors are unrelated)."""
-    scored = embeddings(spark, sf).crossJoin(F.broadcast(asked_vectors(spark, sf))).select("query_id", F.col("chunk_id") % 97, cosine(F.col("embedding"), F.col("q")).alias("similarity")).toDF("query_id", "chunk_id", "similarity")
-    v = search.top(scored.where("similarity > 0.2").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity")), 20, "similarity", "chunk_id")
-    x = search.text_hits(chunks(spark, sf), asked(spark, sf).where("query_id < 5"), 1_000_000).withColumn("chunk_id", F.col("chunk_id") % 97)
-    return v, search.top(x.groupBy("query_id", "chunk_id").agg(F.max("text_rank").alias("text_rank")), 20, "text_rank", "chunk_id")
+    """Vector and text hits of every benchmark item, by document: vector ``n`` stands for document ``n``, a document's best chunk for its text; item ``n`` asks with vector ``n`` and its own words."""
+    vectors, items = embeddings(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked_items = vectors.join(items, vectors["chunk_id"] == items["query_id"]).select("query_id", F.col("embedding").alias("q"))
+    v = search.vector_hits(vectors, asked_items, 20, 0.2)
+    x = search.text_matches(chunks(spark, sf), asked(spark, sf)).groupBy("query_id", F.floor(F.col("chunk_id") / SPAN).alias("chunk_id")).agg(F.max("text_rank").alias("text_rank"))
+    return v, search.top(x, 20, "text_rank", "chunk_id")
 
 
 @query(f"""WITH {_HALVES} SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(similarity, 0) * 0.7 + coalesce(text_rank, 0) * 0.3, 6) AS combined,
@@ -213,12 +222,12 @@ def similar_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS rank FROM {TEXT_HITS}),
-  h AS (SELECT k.query_id, k.rank, 'Document: ' || d.source || chr(10) || 'Section: ' || d.lang || chr(10) || 'Page(s): ' || CAST(c.chunk_id % 100000 + 1 AS VARCHAR) || chr(10) || 'Content: ' || c.chunk_text || chr(10) || '---' AS text
+  h AS (SELECT k.query_id, k.rank, 'Document: ' || d.source || chr(10) || 'Section: ' || d.lang || chr(10) || 'Page(s): ' || CAST(c.chunk_id % 1000000000 + 1 AS VARCHAR) || chr(10) || 'Content: ' || c.chunk_text || chr(10) || '---' AS text
   FROM k JOIN {CHUNK_SQL} c USING (chunk_id) JOIN documents d ON d.doc_id = c.document_id WHERE rank <= 3) SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id""")
 def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
     made, docs = chunks(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("lang").alias("section_title"))
     hits = search.text_hits(made, asked(spark, sf), 3).join(made, "chunk_id").join(docs, "document_id")
-    return search.context(hits.withColumn("page_numbers", F.array((F.col("chunk_id") % 100000 + 1).cast("int"))))
+    return search.context(hits.withColumn("page_numbers", F.array((F.col("chunk_id") % SPAN + 1).cast("int"))))
 
 
 @query(f"""SELECT query_id, count(*) AS documents, min(chunk_id) AS first_chunk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS r FROM {TEXT_HITS}) WHERE r <= 5 GROUP BY query_id""")
@@ -237,17 +246,10 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", t.html_text(F.col("html")).alias("content"))
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?i)page\\s+(\\d+)', 1), lambda x: CAST(x AS INT)), lambda n: n BETWEEN 1 AND 1000))) AS pages
-  FROM (SELECT doc_id, 'see page ' || CAST(doc_id AS VARCHAR) || ' and Page 7, page 99999' AS text FROM documents)""")
-def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("see page "), F.col("doc_id").cast("string"), F.lit(" and Page 7, page 99999"))
-    return table(spark, sf, "documents").select("doc_id", t.pages_light(text).alias("pages"))
-
-
 @query(r"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)---\s*Page\s+(\d+)\s*---', 1), list_concat(regexp_extract_all(text, '(?i)page\s+(\d+)', 1),
   regexp_extract_all(text, '(?i)p\.\s*(\d+)', 1))), lambda x: TRY_CAST(x AS INT)), lambda n: n BETWEEN 1 AND 1000))) AS pages
   FROM (SELECT doc_id, text || ' see page ' || CAST(doc_id AS VARCHAR) || ' and Page 7, page 99999' AS text FROM documents)""")
-def page_numbers_text(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``page_numbers``, over whole texts with its sentence at their end."""
+def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Page numbers that whole texts name, with a sentence of known ones at their end."""
     text = F.concat("text", F.lit(" see page "), F.col("doc_id").cast("string"), F.lit(" and Page 7, page 99999"))
     return table(spark, sf, "documents").select("doc_id", t.pages_light(text).alias("pages"))

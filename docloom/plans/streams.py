@@ -50,23 +50,36 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
     return limits.latest_state(log).select("job_id", "status")
 
 
-_CELLS = f"list_transform(string_split(regexp_replace(regexp_replace({STRIP.format(c='x')}, '^\\|', ''), '\\|$', ''), '|'), lambda y: {STRIP.format(c='y')})"
-_PARSED = f"""(SELECT doc_id, list_transform(l, lambda x: {_CELLS}) AS t FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') AND NOT contains(x, '---')) AS l FROM documents) WHERE len(l) >= 2)"""
+_CELLS = f"list_transform(string_split(trim({STRIP.format(c='x')}, '|'), '|'), lambda y: {STRIP.format(c='y')})"
+_BLOCKS = r"(SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS b, unnest(range(1, 1 + len(regexp_split_to_array(text, '\n\s*\n')))) AS i FROM documents)"
+_PARSED = f"""(SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS "table", list_transform(l, lambda x: {_CELLS}) AS t
+  FROM (SELECT doc_id, i, list_filter(string_split(b, chr(10)), lambda x: contains(x, '|') AND NOT contains(x, '---')) AS l FROM {_BLOCKS}) WHERE len(l) >= 2)"""
 
 
-@query(f"SELECT doc_id, CAST(len(t[1]) AS INT) AS columns, CAST(len(t) - 1 AS INT) AS rows, array_to_string(t[1], '|') AS header FROM {_PARSED}")
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return tb.parse(tables.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"""SELECT doc_id, "table", CAST(len(t[1]) AS INT) AS columns, CAST(len(t) - 1 AS INT) AS rows, array_to_string(t[1], '|') AS header FROM {_PARSED}""")
 def md_table_parse(spark: SparkSession, sf: str) -> DataFrame:
-    found = tb.parse(tables.table(spark, sf, "documents"), "doc_id", "text")
-    return found.select("doc_id", F.size("headers").alias("columns"), F.size("rows").alias("rows"), F.array_join("headers", "|").alias("header"))
+    return _parsed(spark, sf).select("doc_id", "table", F.size("headers").alias("columns"), F.size("rows").alias("rows"), F.array_join("headers", "|").alias("header"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN n <= 5 AND m <= 4 THEN 'complete' WHEN n > 10 THEN 'horizontal' WHEN m > 6 THEN 'vertical' ELSE 'semantic' END AS strategy,
-  CAST(CASE WHEN n <= 5 AND m <= 4 THEN 1 WHEN n > 10 THEN ceil(n / 10) WHEN m > 6 THEN ceil(m / 4) ELSE 1 END AS BIGINT) AS slices FROM (SELECT doc_id, len(t) - 1 AS n, len(t[1]) AS m FROM {_PARSED})""")
+@query(f"""WITH k AS (SELECT doc_id, "table", CASE WHEN n <= 5 AND m <= 4 THEN 'complete' WHEN n > 10 THEN 'horizontal' WHEN m > 6 THEN 'vertical' ELSE 'semantic' END AS strategy, n, m FROM (SELECT doc_id, "table", len(t) - 1 AS n, len(t[1]) AS m FROM {_PARSED})),
+  s AS (SELECT *, CASE strategy WHEN 'vertical' THEN m ELSE n END AS size, CASE strategy WHEN 'horizontal' THEN 10 WHEN 'vertical' THEN 4 ELSE n END AS step FROM k)
+  SELECT doc_id, "table", strategy, CAST(i AS INT) AS slice, CAST(i * step AS INT) AS first, CAST(least((i + 1) * step, size) - 1 AS INT) AS last FROM (SELECT *, unnest(range(0, CAST(ceil(size / step) AS BIGINT))) AS i FROM s)""")
 def table_slices(spark: SparkSession, sf: str) -> DataFrame:
-    return tb.slices(tb.parse(tables.table(spark, sf, "documents"), "doc_id", "text"), "doc_id").groupBy("doc_id", "strategy").agg(F.count("*").alias("slices"))
+    return tb.slices(_parsed(spark, sf), "doc_id", "table")
+
+
+_VALUE = """CASE WHEN regexp_matches(regexp_replace(v, '[,$%]', '', 'g'), '^-?\\d+(\\.\\d+)?$') THEN 1 WHEN contains(v, '%') THEN 2 WHEN contains(v, '$') OR contains(upper(v), 'USD') THEN 3
+  WHEN regexp_matches(v, '""" + "|".join(tb.DATES) + """') THEN 4 ELSE 5 END"""
 
 
-@query()
+@query(f"""SELECT doc_id, "table", round(greatest(0, 1 - coalesce(len(list_filter(flatten(t[2:]), lambda v: v = '')) / nullif(len(flatten(t[2:])), 0), 0) - 0.1 * len(list_filter(t[2:], lambda r: len(r) <> len(t[1])))), 6) AS quality,
+  CASE WHEN len(t) > 11 THEN 'very_complex' WHEN len(t) > 6 AND len(list_filter(t[2:], lambda r: len(r) > 5)) > 0 THEN 'complex' ELSE 'simple' END AS complexity,
+  list_transform(range(1, len(t[1]) + 1), lambda i: coalesce(['numerical', 'percentage', 'currency', 'date', 'text'][list_min(list_transform(list_filter(t[2:], lambda r: len(r) >= i)[1:3], lambda r: list_transform([r[i]], lambda v: {_VALUE})[1]))], 'unknown')) AS types,
+  CASE WHEN len(list_filter(t[2:], lambda r: len(r) <> len(t[2]))) = 0 THEN 0.9 WHEN len(list_filter(t[2:], lambda r: abs(len(r) - len(t[2])) > 1)) = 0 THEN 0.7 ELSE 0.5 END AS confidence FROM {_PARSED}""")
 def table_quality(spark: SparkSession, sf: str) -> DataFrame:
-    found = tb.parse(tables.table(spark, sf, "documents"), "doc_id", "text")
-    return found.select("doc_id", F.round(tb.quality(F.col("headers"), F.col("rows")), 6).alias("quality"), tb.complexity(F.col("rows")).alias("complexity"), tb.column_types(F.col("headers"), F.col("rows")).alias("types"))
+    rows = F.col("rows")
+    return _parsed(spark, sf).select("doc_id", "table", F.round(tb.quality(F.col("headers"), rows), 6).alias("quality"), tb.complexity(rows).alias("complexity"), tb.column_types(F.col("headers"), rows).alias("types"), tb.layout_confidence(rows).alias("confidence"))

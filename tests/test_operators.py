@@ -26,14 +26,14 @@ def test_every_text_match_counts(spark, tmp_path):
 def test_pages_are_read_from_whole_texts(spark, tmp_path):
     text = "--- Page 3 --- " + "word " * 50_000 + "see p. 12 or page 5"
     spark.createDataFrame([(2000, text), (1, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalogue.queries()["page_numbers_text"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["page_numbers"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["pages"] for r in got} == {2000: [3, 5, 7, 12], 1: [1, 7]}
 
 
 def test_topics_are_whole_first_lines(spark, tmp_path):
     rows = [(1, "x " * 40 + "omega\nalpha", "a"), (2, "y " * 40 + "omega\nbeta", "b")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in catalogue.queries()["jaccard_pairs_titles"](spark, str(tmp_path)).collect()] == [("a", "b", 1, 0.333333)]
+    assert [tuple(r) for r in catalogue.queries()["jaccard_pairs"](spark, str(tmp_path)).collect()] == [("a", "b", 1, 0.333333)]
 
 
 def test_feedback_confidence_and_priority(spark):
