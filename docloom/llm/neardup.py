@@ -43,8 +43,8 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 #: Members of one side of a block.
 BLOCK = 256
-#: Ratio of neighbouring size classes of the prefix filter.
-CLASS = 1.02
+#: Ratio of neighbouring size classes of the prefix filter, and holders of a shingle at which they meet whatever their sizes.
+CLASS, LIGHT = 1.02, 64
 #: Bound of the shingles that are sent everywhere as frequent ones (some 30 bytes each).
 HOT = 50_000
 
@@ -225,8 +225,9 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, texts:
     """Pairs (x, y) of different components, of texts that share a bucket with another component, that agree in a rare prefix and in size.
 
     The shingles of these texts are put in one order, rarest first.  A pair that reaches the similarity shares one of the
-    first few shingles of this order (``prefixes``), so texts meet at such a shingle and size class only; shingles whose
-    holders all lie in one component bring nobody together.  Pages of one template share its frequent shingles alone and
+    first few shingles of this order (``prefixes``), so texts meet at such a shingle only (where more than ``LIGHT`` texts
+    hold it: at such a shingle and a pair of size classes); shingles whose holders all lie in one component bring nobody
+    together.  Pages of one template share its frequent shingles alone and
     do not meet at all.  A group that is still large is dealt into cells of bounded size.
     """
     placed = work.write(buckets.join(components, buckets["id"] == components["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
@@ -250,22 +251,39 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, texts:
     ranked = known.groupBy("id", "c").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "apart"))).alias("order"))
 
     def to_keys(batch: pa.RecordBatch):
-        owners, rows = [], []
         order = batch.column(2)
-        values = order.values.slice(order.offsets[0].as_py(), order.offsets[-1].as_py() - order.offsets[0].as_py())
-        shingles, apart = values.field("shingle").to_numpy().view(np.uint64), values.field("apart").to_numpy(zero_copy_only=False)
-        cuts = np.asarray(order.offsets) - order.offsets[0].as_py()
-        for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        cuts = np.asarray(order.offsets)
+        values = order.values.slice(cuts[0], cuts[-1] - cuts[0])
+        shingles, apart, df = values.field("shingle").to_numpy().view(np.uint64), values.field("apart").to_numpy(zero_copy_only=False), values.field("df").to_numpy()
+        cuts = (cuts - cuts[0]).tolist()
+        rows, many = [], 0
+
+        def made() -> dict[str, pa.Array]:
+            cols = np.concatenate(rows, 1) if rows else np.zeros((6, 0), np.int64)
+            rows.clear()
+            who = pa.array(cols[0])
+            return {"id": batch.column(0).take(who), "c": batch.column(1).take(who), "meet": cols[1], "left": cols[3] - cols[2], "size": cols[3], "own": cols[4], "other": cols[5]}
+
+        for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             at = np.flatnonzero(apart[s:e])
-            for own, other, tokens in prefixes(e - s, percent) if len(at) else ():
-                use = at[: np.searchsorted(at, tokens)]
+            if not len(at):
+                continue
+            size, light = e - s, df[s + at] <= LIGHT
+            use = at[light & (at <= size - -(-percent * size // 100))]  # as if for the smallest set that can be similar
+            picked = [(use, -1, -1, shingles[s + use])]
+            heavy = at[~light]
+            for own, other, tokens in prefixes(size, percent) if len(heavy) else ():
+                use = heavy[: np.searchsorted(heavy, tokens)]
                 pair = np.uint64(min(own, other) << 32 | max(own, other))
-                meet = _words.mix(shingles[s + use] ^ _words.mix(np.array([pair + np.uint64(1)]))).view(np.int64)
-                rows.append(np.stack([meet, use, np.full(len(use), e - s), np.full(len(use), own), np.full(len(use), other)]))
-                owners.append(np.full(len(use), i))
-        who = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
-        cols = np.concatenate(rows, 1) if rows else np.zeros((5, 0), np.int64)
-        yield {"id": batch.column(0).take(who), "c": batch.column(1).take(who), "meet": cols[0], "left": cols[2] - cols[1], "size": cols[2], "own": cols[3], "other": cols[4]}
+                picked.append((use, own, other, shingles[s + use] ^ _words.mix(np.array([pair + np.uint64(1)]))))
+            for use, own, other, meet in picked:
+                if len(use):
+                    rows.append(np.stack([np.full(len(use), i), _words.mix(meet).view(np.int64), use, np.full(len(use), size), np.full(len(use), own), np.full(len(use), other)]))
+                    many += len(use)
+            if many >= 50_000:
+                yield made()
+                many = 0
+        yield made()
 
     fields = [key, T.StructField("c", key.dataType, True), *(long(x) for x in ("meet", "left", "size", "own", "other"))]
     meets = work.write(map_batches(ranked, fields, to_keys), "meets")
