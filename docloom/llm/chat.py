@@ -1,9 +1,9 @@
 """Chat formatting of reply trees, in DataFrame operations only (operator 2).
 
 Messages form trees by their parent.  Root-to-leaf paths are enumerated by iterative self-joins that double their
-reach: the k-th join links each message with its 2**k-th ancestor, and the leaves then take all their ancestors, each
-exactly once, in as many joins; a path of n messages costs log2(n) joins, not n.  Paths of a tree are ranked by the
-sum of their messages' scores, and each chosen one becomes one conversation::
+reach: the k-th join links each message with its 2**k-th ancestor and adds up the scores between, so that after
+log2(n) joins every leaf knows the score of its whole path; paths of a tree are ranked by that, and only the chosen
+leaves then take all their ancestors, each exactly once, in as many joins.  Each chosen path becomes one conversation::
 
     <|turn|>role
     text<|end|>
@@ -59,29 +59,32 @@ def reply_paths(messages: DataFrame, work: Workspace, best: int | None = 1) -> D
     null tree or node.  Paths rank by the sum of their scores, then by the smaller leaf.  Replies in a circle raise an
     error, as no path leads to them from a root.
     """
-    known = messages.select("tree", F.col("node").alias("parent"))
-    up = work.write(messages.select("tree", "node", "parent").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above")), "up-0")
-    levels, reach = [], 1
-    total = messages.count()
-    while not up.isEmpty():
-        if reach > total:
+    nodes = messages.select("tree", F.col("node").alias("parent"))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    linked = messages.join(nodes.withColumn("above", F.col("parent")), ["tree", "parent"], "left")
+    # above: the ancestor ``reach`` messages up (null beyond the root); total and size: what the messages below it add up to
+    step = work.write(linked.select("tree", "node", "above", score.alias("total"), F.lit(1).cast("long").alias("size")), "step-0")
+    levels, reach, most = [], 1, messages.count()
+    while not step.where("above is not null").isEmpty():
+        if reach > most:
             raise ValueError("replies go in a circle")
-        levels.append((reach, up))
-        far = up.select("tree", F.col("node").alias("above"), F.col("above").alias("beyond"))
-        up = work.write(up.join(far, ["tree", "above"]).select("tree", "node", F.col("beyond").alias("above")), f"up-{len(levels)}")
+        levels.append((reach, step))
+        far = step.select("tree", F.col("node").alias("above"), F.col("above").alias("beyond"), F.col("total").alias("more"), F.col("size").alias("longer"))
+        moved = step.where("above is not null").join(far, ["tree", "above"])
+        moved = moved.select("tree", "node", F.col("beyond").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("size") + F.col("longer")).alias("size"))
+        step = work.write(moved.unionByName(step.where("above is null")), f"step-{len(levels)}")
         reach *= 2
     replied = messages.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    paths = messages.join(replied, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
-    for reach, up in reversed(levels):
-        more = paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("height") + reach).alias("height"))
-        paths = work.write(paths.unionByName(more), f"paths-{reach}")
-    scored = paths.join(messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
-    totals = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("total"), F.max("height").alias("top"))
-    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
+    ranked = step.join(replied, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    chosen = work.write(ranked.select("tree", "leaf", "rank", "top"), "chosen")
-    return paths.join(chosen, ["tree", "leaf"]).select("tree", "leaf", "rank", "node", (F.col("top") - F.col("height")).alias("depth"))
+    chosen = work.write(ranked.select("tree", F.col("node").alias("leaf"), "rank", "size"), "chosen")
+    paths = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), (F.col("size") - 1).alias("depth"))
+    for reach, step in reversed(levels):
+        up = step.where("above is not null").select("tree", "node", "above")
+        more = paths.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("depth") - reach).alias("depth"))
+        paths = work.write(paths.unionByName(more), f"paths-{reach}")
+    return paths
 
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -121,6 +124,8 @@ def read_loss(formatted: Column, loss: Column) -> Column:
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation of a linear table: id, ``formatted`` and ``loss``.
 
+    A conversation is one row of the result and one sorted group, texts of any length included.
+
     Each row replies to the one before it in the order of its turn (nulls first, then role, text); repeated rows and
     turns stay.  Rows with a null id are one conversation with null id.  An empty table gives an empty result; other
     columns are not read.
