@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -170,7 +171,7 @@ def test_near_duplicates(spark, docs, nothing):
     assert sorted(str(r["doc_id"]) for r in neardup.keep(docs).collect()) == ["1", "2", "3", "5", "None"] and neardup.keep(docs).columns == docs.columns
 
 
-def test_pages_of_one_template_meet_at_rare_shingles_only(spark):
+def test_pages_of_one_template_meet_at_rare_shingles_only(spark, monkeypatch):
     """Groups that share most of their wording; the parts of one's own decide, with links inside and between groups."""
     rng = random.Random(4)
     shared = [f"t{i}" for i in range(121)]
@@ -184,10 +185,11 @@ def test_pages_of_one_template_meet_at_rare_shingles_only(spark):
             base[j] = f"x{k}-{j}"
         rows.append(base)
     rows = [" ".join(r) for r in rows]
-    for n in (2,):
+    for n, light in ((2, 64), (2, 3)):
+        monkeypatch.setattr(neardup, "LIGHT", light)
         expect = brute.components({i: brute.shingles(x, n) for i, x in enumerate(rows)})
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), n=n).collect()}
-        assert got == expect and len(set(got.values())) > 1, n
+        assert got == expect and len(set(got.values())) > 1, light
 
 
 def test_prefixes_hold_the_first_common_shingle():
@@ -227,6 +229,99 @@ def test_classifiers(spark, docs, nothing):
         assert module.score(docs, module.fit(nothing, labels.limit(0), label)).first()["score"] == 0.5
 
 
+def test_toxicity_scores_equal_a_plain_scorer():
+    rng = np.random.default_rng(3)
+    values, bias = rng.normal(size=1 << toxicity.BITS), -0.3
+    texts = ["", "one", "Alpha beta, GAMMA alpha delta-beta é!", "x " * 50 + "stupid y z", "漢字 漢字 q"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    (_, _, words), = toxicity._words.batch_words(batch, "text")
+    got = toxicity.scores(words, values, bias)
+    for text, score in zip(texts, got, strict=True):
+        own = list(dict.fromkeys(brute.words(text)))
+        parts = []
+        for k in range(0, len(own), toxicity.WIDTH):
+            _, rows = toxicity.subwords(own[k : k + toxicity.WIDTH])
+            parts.append(values[rows].mean())
+            grams = sum(max(len(w) + 2 - n + 1, 0) for w in own[k : k + toxicity.WIDTH] for n in toxicity.GRAMS) + len(own[k : k + toxicity.WIDTH])
+            assert len(rows) == grams
+        assert score == pytest.approx(1 / (1 + math.exp(-(max(parts, default=0.0) + bias))))
+
+
+def test_quality_scores_and_learning_equal_plain_ones():
+    texts = ["", "one", "a b a b. a!", "zeta eta theta eta zeta zeta zeta", "é é é"]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    (_, _, words), = quality._words.batch_words(batch, "text", quality._words.WORDS_AND_SIGNS)
+    start, key, value = quality.bags(words)
+    rows = [(key[a:b], value[a:b], i % 2) for i, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True))]
+    assert [len(r[0]) for r in rows] == [0, 1, 7, 7, 3] and all(sum(v * v) == pytest.approx(1) for _, v, _ in rows if len(v))
+    learner = quality.Ftrl()
+    weights, bias = learner.fit(rows, epochs=3)
+    z, n, end = {}, {}, 1 << quality.BITS  # the plain update, one coordinate at a time
+
+    def w(k):
+        l1 = 0.0 if k == end else learner.l1
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((learner.beta + math.sqrt(n[k])) / learner.alpha + learner.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(len(rows)).tolist():
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True), (end, 1.0)]
+            now = {k: w(k) for k, _ in x}
+            p = 1 / (1 + math.exp(-sum(now[k] * v for k, v in x)))
+            for k, v in x:
+                g = (p - rows[i][2]) * v
+                step = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / learner.alpha
+                z[k], n[k] = z.get(k, 0.0) + g - step * now[k], n.get(k, 0.0) + g * g
+    assert bias == pytest.approx(w(end)) and all(weights[k] == pytest.approx(w(k)) for k in z if k != end)
+    for (k, v, _), score in zip(rows, quality.scores(words, weights, bias), strict=True):
+        assert score == pytest.approx(1 / (1 + math.exp(-(float(weights[k] @ v) + bias))))
+
+
+def test_reply_trees_equal_plain_paths(spark):
+    """Combs, chains and bushes: the best leaves by path score."""
+    rng = random.Random(8)
+    rows = []
+    for tree in range(12):
+        for node in range(40):
+            parent = None if node == 0 else {0: node - 1, 1: max(0, node - 2)}.get(tree % 4, rng.randrange(node))
+            rows.append((f"t{tree}", node, parent, "user", f"m{node}", rng.choice([None, 0.5, 1.0, 2.0])))
+    df = spark.createDataFrame(rows, "tree_id string, message_id long, parent_id long, role string, text string, score double")
+    got = {}
+    for r in chat.format_trees(df, best=3).collect():
+        got.setdefault(r["tree_id"], {})[r["rank"]] = (r["leaf_id"], re.findall(r"\nm(\d+)<", r["formatted"]))
+    for tree in {r[0] for r in rows}:
+        above = {n: (p, s or 0.0) for t, n, p, _, _, s in rows if t == tree}
+        leaves = []
+        for leaf in set(above) - {p for p, _ in above.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = above[at][0]
+            leaves.append((-sum(above[n][1] for n in path), leaf, [str(n) for n in path[::-1]]))
+        assert got[tree] == {i + 1: (leaf, path) for i, (_, leaf, path) in enumerate(sorted(leaves)[:3])}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words here", None, "a", 3), (None, "some words here", None, "a", 3), (3, "x " * 200_000, "en", "a", 9), (4, "x " * 200_000, "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("component_id", F.lit(1)).withColumn("kept", F.lit("x"))
+    schemas = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = spark.createDataFrame(stage(spark, now, str(tmp_path)).toArrow(), now.select(corpus_pipeline.COLUMNS).schema)
+            assert now.columns == corpus_pipeline.COLUMNS, name
+        left = sorted(str(r["doc_id"]) for r in now.collect())
+        assert left == (["1", "2", "3", "None", "None"] if table is docs else [])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert sum(p["start"] == 0 for p in pieces) == len(left)
+
+
 def test_learning_sample_keeps_the_mix_at_every_size(spark):
     for n in (1000, 20000):
         rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
