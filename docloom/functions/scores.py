@@ -9,6 +9,7 @@ from docloom.functions import text as t
 
 # Weights and status thresholds of chunk quality and citations.
 QUALITY_WEIGHTS = {"semantic_coherence": 0.25, "structural_integrity": 0.20, "content_density": 0.15, "readability": 0.15, "context_preservation": 0.15, "boundary_quality": 0.10}
+QUALITY_TIPS = {"semantic_coherence": "topic consistency", "structural_integrity": "complete sentences", "content_density": "less filler", "readability": "sentence length", "context_preservation": "section context", "boundary_quality": "natural boundaries"}
 QUALITY_STATUS = [("excellent", 0.85), ("good", 0.70), ("fair", 0.50), ("poor", 0.30), ("unusable", 0.0)]
 CITATION_WEIGHTS = {"source_presence": 0.3, "citation_format": 0.25, "context_relevance": 0.2, "position_accuracy": 0.15, "completeness": 0.1}
 CITATION_STATUS = [("valid", 0.8), ("partial", 0.6), ("unverifiable", 0.3), ("invalid", 0.0)]
@@ -168,8 +169,7 @@ def chunk_quality(c: Column, context: Column, kind: Column) -> dict[str, Column]
 
 def quality_advice(m: dict[str, Column], size: Column) -> tuple[Column, Column, Column]:
     """(suggestions, recommended size, recommended strategy) from metrics."""
-    names = {"semantic_coherence": "topic consistency", "structural_integrity": "complete sentences", "content_density": "less filler", "readability": "sentence length", "context_preservation": "section context", "boundary_quality": "natural boundaries"}
-    tips = F.array_compact(F.array(*[F.when(m[k] < 0.5, F.lit(v)) for k, v in names.items()]))
+    tips = F.array_compact(F.array(*[F.when(m[k] < 0.5, F.lit(v)) for k, v in QUALITY_TIPS.items()]))
     best = F.when(m["content_density"] > 0.7, F.least(size + 300, F.lit(2000))).when(m["semantic_coherence"] < 0.5, F.greatest(size - 200, F.lit(300))).otherwise(size)
     return tips, best, F.when(m["semantic_coherence"] < 0.5, F.lit("semantic")).when(m["structural_integrity"] < 0.5, F.lit("section")).otherwise(F.lit("fixed"))
 

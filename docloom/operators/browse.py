@@ -78,3 +78,8 @@ def permitted(required: list[str], granted: Column) -> Column:
 def level_permissions(level: Column, levels: dict[str, list[str]] = LEVELS) -> Column:
     known = F.create_map(*[x for k, v in levels.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     return F.coalesce(known[level], F.array().cast("array<string>"))
+
+
+def visible_users(role: str) -> Column:
+    """Users that a role may see: an admin sees no super_admin."""
+    return F.lit(True) if role == "super_admin" else F.col("role") != "super_admin"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,9 +155,38 @@ def strategy(kind: Column, patterns: Column) -> Column:
     return F.aggregate(patterns, base, step)
 
 
-def quality(chunks: DataFrame, boundary: str = "boundary") -> DataFrame:
-    """Per document of (doc_id, word_count, boundary): average words, variation, boundary share, overall, suitability, recommendations."""
-    m = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.avg("word_count").alias("avg_words"), F.stddev_pop("word_count").alias("sd"), F.avg(F.col(boundary).cast("double")).alias("boundary_share"))
+def titled_paragraphs(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """Paragraphs with the title of the last heading among them (null before the first): doc_id, chunk_index, chunk_text, section_title."""
+    paras = semantic(docs, separator, None).select("doc_id", F.col("paragraph").alias("chunk_index"), "chunk_text")
+    seen = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    title = F.when(t.heading_level(F.col("chunk_text")) == 1, t.heading_title(F.col("chunk_text")))
+    return paras.withColumn("section_title", F.last(title, ignorenulls=True).over(seen))
+
+
+def by_strategy(docs: DataFrame, size: int = 100, overlap: int = 20, separator: str = "\n") -> DataFrame:
+    """The chunks of every document under all six strategies: doc_id, strategy, chunk_index, chunk_text, boundary (whether the chunk ends at a border of the strategy's kind)."""
+    def cut(df: DataFrame, name: str, boundary: bool) -> DataFrame:
+        return df.select("doc_id", F.lit(name).alias("strategy"), F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text", F.lit(boundary).alias("boundary"))
+
+    numbered = semantic(docs, separator).withColumn("chunk_index", F.col("paragraph") * F.lit(1 << 32) + F.col("part"))
+    made = {
+        "fixed_size": cut(fixed(docs, size, overlap), "fixed_size", False), "section_based": cut(sections(titled_paragraphs(docs, separator)), "section_based", True),
+        "clause_based": cut(clauses(docs), "clause_based", True), "procedure_based": cut(steps(docs), "procedure_based", True), "semantic_based": cut(numbered, "semantic_based", True),
+    }
+    out = reduce(DataFrame.unionByName, made.values())
+    return out.unionByName(hybrid(out))
+
+
+def hybrid(cuts: DataFrame) -> DataFrame:
+    """The hybrid strategy, from ``by_strategy`` rows: a document's sections if there are several, else its semantic chunks if there are several, else its fixed windows."""
+    n = cuts.groupBy("doc_id").agg(*[F.count_if(F.col("strategy") == k).alias(k) for k in ("section_based", "semantic_based")])
+    choice = n.select("doc_id", F.when(F.col("section_based") > 1, "section_based").when(F.col("semantic_based") > 1, "semantic_based").otherwise("fixed_size").alias("strategy"))
+    return cuts.join(choice, ["doc_id", "strategy"]).withColumn("strategy", F.lit("hybrid")).select(cuts.columns)
+
+
+def quality(chunks: DataFrame, boundary: str = "boundary", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document (or ``by``) of (doc_id, word_count, boundary): average words, variation, boundary share, overall, advice."""
+    m = chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.avg("word_count").alias("avg_words"), F.stddev_pop("word_count").alias("sd"), F.avg(F.col(boundary).cast("double")).alias("boundary_share"))
     cv = F.when((F.col("chunks") < 2) | (F.col("avg_words") == 0), 0.0).otherwise(F.col("sd") / F.col("avg_words"))
     size = F.least(F.col("avg_words") / 800, F.lit(1.0))
     m = m.withColumn("variation", cv).withColumn("overall", 0.3 * size + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("variation")) + 0.3 * F.col("boundary_share") + 0.14)
@@ -164,15 +195,13 @@ def quality(chunks: DataFrame, boundary: str = "boundary") -> DataFrame:
 
 
 def compare(docs: DataFrame, size: int = 100, overlap: int = 20, separator: str = "\n") -> DataFrame:
-    """All strategies per document with their overall quality, and the best (first in ``ORDER`` on ties)."""
-    words = lambda df: df.select("doc_id", t.token_count(F.col("chunk_text")).alias("word_count"))
-    base = {
-        "fixed_size": words(fixed(docs, size, overlap)).withColumn("boundary", F.lit(False)), "clause_based": words(clauses(docs)).withColumn("boundary", F.lit(True)),
-        "procedure_based": words(steps(docs)).withColumn("boundary", F.lit(True)), "semantic_based": words(semantic(docs, separator)).withColumn("boundary", F.lit(True)),
-    }
-    scored = [quality(df).select("doc_id", F.lit(name).alias("strategy"), F.lit(ORDER.index(name)).alias("ord"), "chunks", "overall") for name, df in base.items()]
-    union = scored[0]
-    for df in scored[1:]:
-        union = union.unionByName(df)
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("overall", 9)), "ord")
-    return union.withColumn("place", F.row_number().over(best))
+    """All six strategies per document with overall quality and suitability, and ``place`` by quality (ties in the order of ``ORDER``).
+
+    Suitability is the share of chunks at a border of the strategy's own kind; of fixed and hybrid chunks the mean length in 800 words, at most 1.
+    """
+    words = by_strategy(docs, size, overlap, separator).withColumn("word_count", t.token_count(F.col("chunk_text")))
+    scored = quality(words, by=("doc_id", "strategy"))
+    suits = F.when(F.col("strategy").isin("fixed_size", "hybrid"), F.least(F.col("avg_words") / 800, F.lit(1.0))).otherwise(F.col("boundary_share"))
+    ord_ = F.create_map(*[F.lit(x) for i, k in enumerate(ORDER) for x in (k, i)])[F.col("strategy")]
+    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("overall", 9)), ord_)
+    return scored.select("doc_id", "strategy", "chunks", "overall", suits.alias("suitability"), F.row_number().over(best).alias("place"))

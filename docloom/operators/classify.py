@@ -68,7 +68,7 @@ def pattern_confidence(f: DataFrame) -> DataFrame:
     two = {k: F.least(F.col(f"{k}_elements") * F.lit(0.2) + F.col(f"{k}_words") * F.lit(0.1), F.lit(1.0)) for k in ("procedural", "argumentative", "descriptive")}
     one = {k: F.least(F.col(f"{k}_words") * F.lit(0.2), F.lit(1.0)) for k in ("comparative", "narrative")}
     rows = F.array(*[F.struct(F.lit(k).alias("pattern"), c.alias("confidence")) for k, c in ({"section_hierarchy": deep} | two | one).items()])
-    return f.select("doc_id", F.inline(rows)).where("confidence > 0.3")
+    return f.select("doc_id", F.inline(rows)).where(F.round("confidence", 9) > 0.3)
 
 
 def classify(counts: DataFrame, f: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def classify(counts: DataFrame, f: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(scores.TYPES) for x in (k, i)])[F.col("document_type")]
     score = F.least(F.lit(1.0), F.col("count") / F.greatest(total, F.lit(1)) * 0.4 + F.least(F.col("top10") / 10, F.lit(1.0)) * 0.3 + structure * 0.2 + F.col("title_score") * 0.1)
     scored = counts.join(f, "doc_id").withColumn("confidence", score)
-    return scored.select("doc_id", "document_type", "confidence", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("confidence"), rank)).alias("place"))
+    return scored.select("doc_id", "document_type", "confidence", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("confidence", 9)), rank)).alias("place"))
 
 
 def report(scored: DataFrame, status: str, score: str, statuses: list[str]) -> DataFrame:
@@ -90,9 +90,16 @@ def report(scored: DataFrame, status: str, score: str, statuses: list[str]) -> D
     return F.broadcast(dim).join(scored.groupBy(status).agg(F.count("*").alias("n"), F.avg(score).alias("mean")), status, "left").select(status, F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
-def top_suggestions(scored: DataFrame, column: str, k: int = 5) -> DataFrame:
-    return scored.select(F.explode(column).alias("suggestion")).groupBy("suggestion").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "suggestion").limit(k)
+def suggestion_counts(scored: DataFrame, tips: dict[str, Column], k: int = 5) -> DataFrame:
+    """(suggestion, n): the ``k`` suggestions that most rows call for; conditions are counted in one pass."""
+    n = scored.agg(*[F.count_if(c).alias(f"t{i}") for i, c in enumerate(tips.values())])
+    each = n.select(F.explode(F.array(*[F.struct(F.lit(tip).alias("suggestion"), F.col(f"t{i}").alias("n")) for i, tip in enumerate(tips)])).alias("x")).select("x.*")
+    return each.where("n > 0").orderBy(F.desc("n"), "suggestion").limit(k)
 
 
-def primary(scored: DataFrame, key: str, value: str, by: Column) -> DataFrame:
-    return scored.groupBy(key).agg(F.max_by(value, by).alias(value))
+def distributions(primary: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(dimension, value, n, most_common): how many documents have each type (doc_id, document_type) and each pattern (doc_id, pattern); ties to the smaller name."""
+    both = primary.select(F.lit("type").alias("dimension"), F.col("document_type").alias("value")).unionByName(patterns.select(F.lit("pattern").alias("dimension"), F.col("pattern").alias("value")))
+    counts = both.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")  # a handful of types and patterns
+    return counts.withColumn("most_common", F.row_number().over(order) == 1)

@@ -83,4 +83,41 @@ def feedback_confidence(ratings: DataFrame) -> DataFrame:
 
 def assignment(user: Column, arms: int = 2) -> Column:
     """A stable arm of an A/B test for each user."""
-    return F.pmod(F.xxhash64(user), F.lit(arms)).cast("int")
+    return (F.conv(F.substring(F.md5(user.cast("string")), 1, 8), 16, 10).cast("long") % arms).cast("int")
+
+
+# What to do about an issue: (strategy, priority).
+REMEDIES = {"low_positive_feedback": ("weight_adjustment", "high"), "high_negative_feedback": ("query_expansion", "high"), "low_success_rate": ("reranking", "medium")}
+
+
+def recommendations(found: DataFrame) -> DataFrame:
+    """(strategy, priority) for each of the ``issues``; a hybrid one where none has a remedy."""
+    known = F.create_map(*[x for k, (s, p) in REMEDIES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("strategy"), F.lit(p).alias("priority")))])
+    each = F.collect_list(known[F.col("issue")])
+    other = F.array(F.struct(F.lit("hybrid").alias("strategy"), F.lit("medium").alias("priority")))
+    return found.agg(each.alias("r")).select(F.explode(F.when(F.size("r") > 0, F.col("r")).otherwise(other)).alias("x")).select("x.*")
+
+
+def health(stats: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: overall health, number of issues and of critical (high) ones, positive share, advice."""
+    n = found.agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "high").alias("critical"))
+    good = F.col("issues") == 0
+    return n.crossJoin(stats.select("positive")).select(
+        F.when(good, "good").otherwise("needs_attention").alias("health"), "issues", "critical", "positive", F.when(good, "monitor").otherwise("tune").alias("advice")
+    )  # one row each
+
+
+def after_tuning(tuned: DataFrame) -> DataFrame:
+    """(type, priority) after a tuning: other strategies where little improvement is expected, monitoring where much is."""
+    e = F.col("effectiveness")
+    found = F.when(e < 0.3, F.array(F.struct(F.lit("additional_tuning").alias("type"), F.lit("high").alias("priority")))).when(e > 0.7, F.array(F.struct(F.lit("monitoring").alias("type"), F.lit("medium").alias("priority"))))
+    return tuned.select(F.explode(found).alias("x")).select("x.*")
+
+
+def category_advice(priorities: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
+    """(category, level, n, mean_rating) of the ``k`` most pressing categories above ``least``; ``general`` rows where there are no ratings or their mean is below 3."""
+    level = F.when(F.col("priority") > 0.3, "high").when(F.col("priority") > 0.15, "medium").otherwise("low")
+    top = priorities.where(F.col("priority").isNotNull()).orderBy(F.desc(F.round("priority", 9)), "category").limit(k).where(F.col("priority") > least).select("category", level.alias("level"), "n", "mean_rating")
+    total, mean = F.sum("n"), F.sum(F.col("n") * F.coalesce("mean_rating", F.lit(0.0))) / F.sum("n")
+    whole = priorities.agg(total.alias("n"), mean.alias("mean_rating")).where("n = 0 or mean_rating < 3")
+    return top.unionByName(whole.select(F.lit("general").alias("category"), F.when(F.col("n") == 0, "high").otherwise("medium").alias("level"), "n", "mean_rating"))

@@ -71,3 +71,44 @@ def latest_state(jobs: DataFrame, key: str, at: str) -> DataFrame:
     """The last event of each job (ties: the largest event)."""
     rest = [c for c in jobs.columns if c not in (key, at)]
     return jobs.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("e")).select(key, "e.*")
+
+
+def valid_status(status: Column) -> Column:
+    return F.coalesce(status.isin(*TRANSITIONS), F.lit(False))
+
+
+def pending(documents: DataFrame) -> DataFrame:
+    """Documents still to extract: without content and not processed."""
+    return documents.where(F.col("content").isNull() & (F.col("status") == "not processed"))
+
+
+def changed(documents: DataFrame, known: DataFrame, key: str = "id", stamp: str = "content_hash") -> DataFrame:
+    """New documents and those whose stamp differs from the known one (key, stamp): what an incremental run takes."""
+    return documents.join(known.select(key, stamp), [key, stamp], "left_anti")
+
+
+def rechunk(documents: DataFrame, old: DataFrame, chunker) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) after chunking all documents (doc_id, text, status) with a text whose status is extracted or not processed: their chunks are replaced, their status becomes chunked."""
+    due = (F.length("text") > 0) & F.col("status").isin("extracted", "not processed")
+    made = chunker(documents.where(due).select("doc_id", "text")).select(old.columns)
+    return documents.withColumn("status", F.when(due, "chunked").otherwise(F.col("status"))), replace_children(old, made, "doc_id")
+
+
+def backfill(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """The column filled where it is null."""
+    return rows.withColumn(column, F.coalesce(column, value))
+
+
+def tagged(vectors: DataFrame, known: DataFrame, provider: str, model: str) -> DataFrame:
+    """``known`` vectors (chunk_id, embedding, provider, model) with those of chunks that have none of this provider and model yet."""
+    new = vectors.select("chunk_id", "embedding").withColumn("provider", F.lit(provider)).withColumn("model", F.lit(model))
+    return known.unionByName(new.join(known.select("chunk_id", "provider", "model"), ["chunk_id", "provider", "model"], "left_anti").select(known.columns))
+
+
+def provider_counts(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("provider", "model").agg(F.count("*").alias("n"))
+
+
+def queue(jobs: DataFrame) -> DataFrame:
+    """``place`` of each job (job_id, priority, created_at): higher priority first, then the earlier."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("queue").orderBy(F.desc("priority"), "created_at", "job_id")))

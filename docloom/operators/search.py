@@ -27,10 +27,11 @@ def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id") -> DataFrame:
-    """The k best rows of each query (partial top-k before the shuffle), with ``rank``."""
+def top(df: DataFrame, k: int | None, score: str, key: str, by: str = "query_id") -> DataFrame:
+    """The k best rows of each query (partial top-k before the shuffle; all with None), with ``rank``."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
@@ -190,6 +191,35 @@ def similar_query(content: Column, filename: Column, n: int = 50) -> Column:
     return F.when(F.length(first) > 0, first).otherwise(filename)
 
 
+def readable(hits: DataFrame, documents: DataFrame, k: int, before: bool = False) -> DataFrame:
+    """Ranked hits (query_id, user_id, document_id, rank) that their asker may read: documents (document_id, owner), own ones or all where ``user_id`` is null.
+
+    The check follows the cut to ``k`` (so fewer may come back), or precedes it with ``before``; ranks are those of ``hits``.
+    """
+    cut = hits if before else hits.where(F.col("rank") <= k)
+    seen = cut.join(documents.select("document_id", "owner"), "document_id").where(F.col("user_id").isNull() | (F.col("owner") == F.col("user_id"))).drop("owner")
+    if not before:
+        return seen
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def similar_documents(vector: DataFrame, text: DataFrame, recent: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, document_id, score, search_types, rank): documents like the asking one (query_id is its id), itself left out.
+
+    ``vector`` and ``text`` are hits (query_id, chunk_id = document id, similarity or text_rank); they are fused .9 to .1, twice ``k``
+    are fetched, those of at least .6 combined stay.  A document without any gets the ``recent`` documents (document_id, place) with score .5.
+    """
+    weights = DEFAULTS["similar"]
+    fused = fuse(vector, text, 2 * k, weights[:2]).where((F.col("combined") >= weights[2]) & (F.col("chunk_id") != F.col("query_id")))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    found = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("chunk_id").alias("document_id"), F.col("combined").alias("score"), "search_types", "rank")
+    asked = vector.select("query_id").unionByName(text.select("query_id")).distinct()
+    lone = asked.join(found.select("query_id").distinct(), "query_id", "left_anti").join(F.broadcast(recent.where(F.col("place") <= k + 1)), F.col("document_id") != F.col("query_id"))  # at most k + 1 rows
+    spare = lone.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= k)
+    return found.unionByName(spare.select("query_id", "document_id", F.lit(0.5).alias("score"), F.array().cast("array<string>").alias("search_types"), "rank"))
+
+
 def search_analytics(searches: DataFrame) -> DataFrame:
     """Per search type: searches, mean response time and results (0 without any)."""
     return searches.groupBy("search_type").agg(F.count("*").alias("searches"), F.coalesce(F.avg("response_time_ms"), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.avg("result_count"), F.lit(0.0)).alias("avg_results"))

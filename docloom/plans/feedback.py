@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import feedback as fb
@@ -60,3 +60,50 @@ def improvement_priorities(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT count(*) AS n, round(0.4 * least(count(*) / 5, 1) + 0.3 * (avg(rating) - 1) / 4 + 0.3 * (1 - abs(count(*) FILTER (rating >= 4) - count(*) FILTER (rating <= 2)) / count(*)), 6) AS confidence FROM {_RATED}""")
 def feedback_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return fb.feedback_confidence(_rated(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+
+
+_ISSUES = f"""(SELECT unnest(list_filter([CASE WHEN positive < 0.3 THEN 'low_positive_feedback' END, CASE WHEN negative > 0.4 THEN 'high_negative_feedback' END, CASE WHEN success < 0.5 THEN 'low_success_rate' END,
+  CASE WHEN total < 10 THEN 'insufficient_data' END], lambda x: x IS NOT NULL)) AS issue FROM {_STATS})"""
+_REMEDIES = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', '{p}')" for k, (s, p) in fb.REMEDIES.items()) + ") AS r(issue, strategy, priority))"
+
+
+@query(f"SELECT strategy, priority FROM {_ISSUES} JOIN {_REMEDIES} USING (issue) UNION ALL SELECT 'hybrid', 'medium' WHERE NOT EXISTS (SELECT * FROM {_ISSUES} JOIN {_REMEDIES} USING (issue))")
+def tuning_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    return fb.recommendations(fb.issues(fb.summary(tables.feedback(spark, sf))))
+
+
+@query(f"""SELECT CASE WHEN n = 0 THEN 'good' ELSE 'needs_attention' END AS health, n AS issues, critical, round(positive, 6) AS positive, CASE WHEN n = 0 THEN 'monitor' ELSE 'tune' END AS advice
+  FROM (SELECT count(*) AS n, count(*) FILTER (issue IN ('low_positive_feedback', 'high_negative_feedback')) AS critical FROM {_ISSUES}), {_STATS}""")
+def relevance_health(spark: SparkSession, sf: str) -> DataFrame:
+    s = fb.summary(tables.feedback(spark, sf))
+    return fb.health(s, fb.issues(s)).withColumn("positive", F.round("positive", 6))
+
+
+@query("SELECT CASE WHEN e < 0.3 THEN 'additional_tuning' ELSE 'monitoring' END AS type, CASE WHEN e < 0.3 THEN 'high' ELSE 'medium' END AS priority, count(*) AS n FROM (SELECT event_id % 11 / 10 AS e FROM events) WHERE e < 0.3 OR e > 0.7 GROUP BY ALL")
+def post_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.table(spark, sf, "events").select((F.col("event_id") % 11 / 10).alias("effectiveness"))
+    return fb.after_tuning(e).groupBy("type", "priority").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT category, CASE WHEN p > 0.3 THEN 'high' WHEN p > 0.15 THEN 'medium' ELSE 'low' END AS level, n, round(m, 6) AS mean_rating FROM (SELECT w.category, n, m, (1 - (x + 2) / 4) * weight AS p FROM
+  (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in fb.CATEGORIES.items())}) AS w(category, weight)) w JOIN (SELECT category, count(*) AS n, avg(rating) AS m, avg(rating - 3) AS x FROM {_RATED} GROUP BY 1) r USING (category) ORDER BY round(p, 9) DESC, w.category LIMIT 3) WHERE p > 0.1
+  UNION ALL SELECT 'general', 'medium', count(*), round(avg(rating), 6) FROM {_RATED} HAVING avg(rating) < 3""")
+def citation_advice(spark: SparkSession, sf: str) -> DataFrame:
+    return fb.category_advice(fb.category_priorities(_rated(spark, sf))).withColumn("mean_rating", F.round("mean_rating", 6))
+
+
+@query("SELECT user_id, event_id AS feedback_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INT) AS place FROM events")
+def feedback_history(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), "feedback_id")
+    return tables.feedback(spark, sf).select("user_id", "feedback_id", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT arm, count(*) AS users FROM (SELECT DISTINCT user_id, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 AS arm FROM events) GROUP BY arm")
+def ab_arms(spark: SparkSession, sf: str) -> DataFrame:
+    users = tables.feedback(spark, sf).select("user_id").distinct()
+    return users.groupBy(fb.assignment(F.col("user_id")).cast("long").alias("arm")).agg(F.count("*").alias("users"))
+
+
+@query(f"SELECT feedback_type, count(*) AS n, count(DISTINCT query_id) AS queries FROM {FEEDBACK} GROUP BY feedback_type")
+def feedback_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.feedback(spark, sf).groupBy("feedback_type").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
@@ -117,9 +117,47 @@ def chunk_quality_cv(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.quality(paras).select("doc_id", "chunks", *[F.round(c, 6).alias(c) for c in ("avg_words", "variation", "overall")])
 
 
-@query()
+_N = "len(regexp_extract_all({c}, '\\S+'))"
+_PARAS = f"(SELECT doc_id, i, p, {_N.format(c='p')} AS n FROM (SELECT doc_id, i, {STRIP.format(c='p')} AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)) WHERE p <> '')"
+_TITLED = f"(SELECT *, last_value(CASE WHEN {' OR '.join(f"regexp_matches(p, '(?i){x}')" for x in t.HEADINGS[1])} THEN {STRIP.format(c="CASE WHEN regexp_matches(p, '^#{{1,3}}\\s+(.+)$') THEN regexp_extract(p, '^#{{1,3}}\\s+(.+)$', 1) ELSE p END").replace('{{', '{').replace('}}', '}')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS title FROM {_PARAS})"
+_RUNS = f"(SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(i) OVER w IS NULL OR title IS DISTINCT FROM lag(title) OVER w THEN 1 ELSE 0 END AS new FROM {_TITLED} WINDOW w AS (PARTITION BY doc_id ORDER BY i)))"
+
+
+def _flag_words(start: str, name: str) -> str:
+    return f"""SELECT doc_id, '{name}' AS strategy, sum(n) AS n, true AS boundary FROM (SELECT *, sum(CASE WHEN r = 1 OR regexp_matches(p, '{start}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM {_PARAS})) GROUP BY doc_id, g"""
+
+
+#: (doc_id, strategy, words, boundary) of every chunk of the five strategies, and the hybrid ones.
+_CUTS = f"""(WITH c AS (SELECT doc_id, 'fixed_size' AS strategy, word_count AS n, false AS boundary FROM ({FIXED_SQL}) UNION ALL SELECT doc_id, 'section_based', sum(n), true FROM {_RUNS} GROUP BY doc_id, run
+  UNION ALL {_flag_words(chunking.CLAUSE_START, 'clause_based')} UNION ALL {_flag_words(chunking.STEP_START, 'procedure_based')}
+  UNION ALL SELECT doc_id, 'semantic_based', CASE WHEN n > 1200 THEN least(1200, n - s) ELSE n END, true FROM (SELECT *, unnest(CASE WHEN n > 1200 THEN range(0, n, 1050) ELSE [0] END) AS s FROM {_PARAS})),
+  h AS (SELECT doc_id, CASE WHEN count(*) FILTER (strategy = 'section_based') > 1 THEN 'section_based' WHEN count(*) FILTER (strategy = 'semantic_based') > 1 THEN 'semantic_based' ELSE 'fixed_size' END AS strategy FROM c GROUP BY doc_id)
+  SELECT * FROM c UNION ALL SELECT doc_id, 'hybrid', n, boundary FROM c JOIN h USING (doc_id, strategy))"""
+
+
+@query(f"""WITH m AS (SELECT doc_id, strategy, count(*) AS chunks, avg(n) AS a, stddev_pop(n) AS sd, avg(CAST(boundary AS INT)) AS b FROM {_CUTS} GROUP BY 1, 2),
+  q AS (SELECT *, 0.3 * least(a / 800, 1) + 0.2 * greatest(0, 1 - CASE WHEN chunks < 2 OR a = 0 THEN 0 ELSE sd / a END) + 0.3 * b + 0.14 AS overall FROM m)
+  SELECT doc_id, strategy, chunks, round(overall, 6) AS overall, round(CASE WHEN strategy IN ('fixed_size', 'hybrid') THEN least(a / 800, 1) ELSE b END, 6) AS suitability,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(overall, 9) DESC, list_position({list(chunking.ORDER)}, strategy)) AS INT) AS place FROM q""")
 def strategy_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.compare(table(spark, sf, "documents")).withColumn("overall", F.round("overall", 6))
+    c = chunking.compare(table(spark, sf, "documents"))
+    return c.withColumn("overall", F.round("overall", 6)).withColumn("suitability", F.round("suitability", 6))
+
+
+@query(f"SELECT doc_id, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS words FROM {_CUTS} WHERE strategy = 'hybrid' GROUP BY doc_id")
+def chunk_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.by_strategy(table(spark, sf, "documents")).where("strategy = 'hybrid'")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(t.token_count(F.col("chunk_text"))).alias("words"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN CASE doc_id % 4 WHEN 3 THEN 'procedure_based' ELSE 'hybrid' END WHEN doc_id % 3 = 2 THEN 'section_based'
+  ELSE ['clause_based', 'semantic_based', 'fixed_size', 'procedure_based'][CAST(doc_id % 4 AS INT) + 1] END AS strategy FROM documents""")
+def chosen_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("legal", "business", "unheard of", "technical")))[(F.col("doc_id") % 4).cast("int")]
+    pattern = F.array(*map(F.lit, ("argumentative", "procedural", "section_hierarchy")))[(F.col("doc_id") % 3).cast("int")]
+    found = F.array(F.struct(pattern.alias("pattern"), F.lit(0.9).alias("confidence")), F.struct(F.lit("section_hierarchy").alias("pattern"), F.lit(0.6).alias("confidence")))
+    return table(spark, sf, "documents").select("doc_id", chunking.strategy(kinds, found).alias("strategy"))
 
 
 @query(f"SELECT document_id, count(*) AS chunks, sum(word_count) AS total_words, round(avg(word_count), 6) AS avg_words FROM {CHUNK_SQL} GROUP BY document_id")
@@ -253,3 +291,68 @@ def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Page numbers that whole texts name, with a sentence of known ones at their end."""
     text = F.concat("text", F.lit(" see page "), F.col("doc_id").cast("string"), F.lit(" and Page 7, page 99999"))
     return table(spark, sf, "documents").select("doc_id", t.pages_light(text).alias("pages"))
+
+
+_ACL_USER = "CASE WHEN query_id % 3 > 0 THEN query_id % 150 END"
+
+
+@query(f"""WITH k AS (SELECT query_id, chunk_id // 1000000000 AS document_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS INT) AS rank FROM {TEXT_HITS}), a AS (SELECT *, {_ACL_USER} AS u FROM k)
+  SELECT query_id, document_id, rank, 'after' AS form FROM a WHERE rank <= 10 AND (u IS NULL OR document_id % 5 = u % 5) UNION ALL
+  SELECT query_id, document_id, rank, 'before' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM a WHERE u IS NULL OR document_id % 5 = u % 5) WHERE r <= 10""")
+def acl_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Text search by people who may read the documents of their own fifth, checked after and before the cut to ten."""
+    hits = search.top(search.text_matches(chunks(spark, sf), asked(spark, sf)), None, "text_rank", "chunk_id")
+    hits = hits.select("query_id", F.when(F.col("query_id") % 3 > 0, F.col("query_id") % 150 % 5).alias("user_id"), F.floor(F.col("chunk_id") / SPAN).alias("document_id"), "rank")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 5).alias("owner"))
+    both = [search.readable(hits, docs, 10, before).select("query_id", "document_id", "rank", F.lit(form).alias("form")) for form, before in (("after", False), ("before", True))]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH t AS (SELECT doc_id AS query_id, list_distinct({LEX.format(c="array_to_string(" + WORDS.format(c="text") + "[1:50], ' ')")}) AS l FROM documents WHERE doc_id % 50 = 0), q AS (SELECT query_id, len(l) AS need, unnest(l) AS term FROM t),
+  p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(l) AS n, unnest(l) AS term FROM (SELECT doc_id, {LEX.format(c="text")} AS l FROM documents)) GROUP BY 1, 2, 3),
+  x AS (SELECT query_id, doc_id AS chunk_id, sum(tf) / (1 + ln(n)) AS text_rank FROM p JOIN q USING (term) GROUP BY query_id, doc_id, n, need HAVING count(*) = need),
+  xt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS r FROM x) WHERE r <= 20),
+  vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM {VSCORE} WHERE similarity > 0.6) WHERE r <= 20),
+  f AS (SELECT query_id, chunk_id, coalesce(similarity, 0) * 0.9 + coalesce(text_rank, 0) * 0.1 AS score, list_filter([CASE WHEN similarity IS NOT NULL THEN 'vector' END, CASE WHEN text_rank IS NOT NULL THEN 'text' END], lambda z: z IS NOT NULL) AS search_types FROM vt FULL JOIN xt USING (query_id, chunk_id)),
+  g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM f) WHERE r <= 20),
+  k AS (SELECT query_id, chunk_id, score, search_types, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM g WHERE score >= 0.6 AND chunk_id <> query_id),
+  e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents), a AS (SELECT query_id FROM vt UNION SELECT query_id FROM xt),
+  s AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM a ANTI JOIN k USING (query_id) JOIN e ON doc_id <> query_id WHERE place <= 11)
+  SELECT query_id, chunk_id AS document_id, round(score, 6) AS score, search_types, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 0.5, [], CAST(rank AS INT) FROM s WHERE rank <= 10""")
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents like each document whose id is divisible by 50: its vector (vector n stands for document n) and its first fifty words ask all others."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    v = search.vector_hits(embeddings(spark, sf), asked_vectors(spark, sf), 20, 0.6)
+    ask = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), search.similar_query(F.col("text"), F.col("source")).alias("query"))
+    x = search.text_hits(d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")), ask, 20)
+    recent = d.orderBy(F.desc("doc_id")).limit(11).select(F.col("doc_id").alias("document_id")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("document_id"))))  # eleven rows
+    return search.similar_documents(v, x, recent).withColumn("score", F.round("score", 6))
+
+
+@query(f"""SELECT query_id, chunk_id, round(boosted, 6) AS boosted, CAST(row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, chunk_id) AS INT) AS rank
+  FROM (SELECT query_id, chunk_id, similarity + CASE WHEN chunk_id % 9 IN (1, 7) THEN 0.1 ELSE 0 END AS boosted FROM {VSCORE}) QUALIFY rank <= 5""")
+def page_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector search where the question names pages 1 and 7 and a chunk lies on page ``chunk_id % 9``."""
+    scored = search.block_scores(embeddings(spark, sf), asked_vectors(spark, sf), None)
+    boosted = search.page_boost(F.col("similarity"), F.array((F.col("chunk_id") % 9).cast("int")), F.lit("what do page 7 and p. 1 say"))
+    return search.top(scored.select("query_id", "chunk_id", boosted.alias("boosted")), 5, "boosted", "chunk_id").withColumn("boosted", F.round("boosted", 6))
+
+
+@query("""SELECT doc_id, '• ' || source || CASE WHEN doc_id % 3 > 0 THEN ' (Page(s): ' || (doc_id % 3) || ', ' || (doc_id % 3 + 4) || ')' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' - Section: ' || lang ELSE '' END AS line FROM documents""")
+def reference_lines(spark: SparkSession, sf: str) -> DataFrame:
+    pages = t.page_list(F.when(F.col("doc_id") % 3 > 0, F.concat((F.col("doc_id") % 3).cast("string"), F.lit(",x, "), (F.col("doc_id") % 3 + 4).cast("string"))).otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", search.reference(F.col("source"), pages, F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("line"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id % 900 + 1 AS VARCHAR) WHEN 1 THEN CASE WHEN doc_id % 900 + 1 < 77 THEN (doc_id % 900 + 1) || ',77' WHEN doc_id % 900 + 1 = 77 THEN '77' ELSE '77,' || (doc_id % 900 + 1) END WHEN 2 THEN CAST(doc_id % 900 + 2 AS VARCHAR) END AS pages,
+  CASE doc_id % 4 WHEN 0 THEN 'Scope of ' || lang WHEN 1 THEN '2.1 Terms of ' || lang WHEN 2 THEN 'Partie ' || (doc_id % 900 + 2) || ' of the whole' END AS title FROM documents""")
+def metadata_ladders(spark: SparkSession, sf: str) -> DataFrame:
+    """Page numbers and titles by their full ladders: metadata comments, headings and references, page-like lines, nothing."""
+    n = (F.col("doc_id") % 900 + 1).cast("string")
+    kind = F.col("doc_id") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit("<!-- PAGE: "), n, F.lit(" -->\n<!-- SECTION: Scope of "), F.col("lang"), F.lit(" -->\nbody")))
+        .when(kind == 1, F.concat(F.lit("2.1 Terms of "), F.col("lang"), F.lit("\nsee page "), n, F.lit(" and pg. 77 of it")))
+        .when(kind == 2, F.concat(F.lit("Partie "), (F.col("doc_id") % 900 + 2).cast("string"), F.lit(" of the whole\nnothing"))).otherwise("a b\nc d")
+    )
+    return table(spark, sf, "documents").select("doc_id", t.pages_full(text).alias("pages"), t.title_full(text).alias("title"))

@@ -102,10 +102,9 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return classify.report(scored, "status", "quality_score", [k for k, _ in scores.QUALITY_STATUS]).withColumn("mean", F.round("mean", 6))
 
 
-@query()
+@query(f"""SELECT suggestion, count(*) AS n FROM (SELECT unnest(list_filter([{', '.join(f"CASE WHEN round({k}, 9) < 0.5 THEN '{v}' END" for k, v in scores.QUALITY_TIPS.items())}], lambda x: x IS NOT NULL)) AS suggestion FROM {QUALITY_SQL}) GROUP BY suggestion ORDER BY n DESC, suggestion LIMIT 5""")
 def quality_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    q = quality(spark, sf).withColumn("tips", scores.quality_advice({k: F.col(k) for k in scores.QUALITY_WEIGHTS}, F.lit(1000))[0])
-    return classify.top_suggestions(q, "tips")
+    return classify.suggestion_counts(quality(spark, sf), {tip: F.round(k, 9) < 0.5 for k, tip in scores.QUALITY_TIPS.items()})
 
 
 _CITE = "d.doc_id, 'According to source document ' || d.source || ', page ' || CAST(d.doc_id % 9 AS VARCHAR) || ' of Section 2 [3]: ' || d.text AS c, d.source AS source, [CAST(d.doc_id % 5 AS INT)] AS pages, d.lang AS title"
@@ -154,32 +153,91 @@ def keyword_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return classify.keyword_counts(d).select("doc_id", "document_type", "count", "top10")
 
 
-@query()
-def document_types(spark: SparkSession, sf: str) -> DataFrame:
+def _any_int(words: list[str]) -> str:
+    return f"CAST({sql_any('low', words)} AS INT)"
+
+
+def _features_sql(title: str) -> str:
+    """(doc_id, elements and words of each kind, depth, variety) of documents as one chunk each."""
+    cols = [f"{_any_int(ws)} AS {k}_e" for k, ws in scores.ELEMENT_WORDS.items()] + [f"{_any_int(ws)} AS {k}_w" for k, ws in scores.PATTERN_WORDS.items()]
+    depth = f"CASE WHEN regexp_matches({title}, '^\\d+(?:\\.\\d+)*') THEN len(string_split(regexp_extract({title}, '^(\\d+(?:\\.\\d+)*)', 1), '.')) WHEN regexp_matches({title}, '^([IVXLCDM]+|[A-Z])\\.') THEN 1 ELSE 0 END"
+    return f"(SELECT doc_id, {', '.join(cols)}, {depth} AS depth, CASE WHEN {title} IS NULL THEN 0 ELSE 1 END AS variety FROM (SELECT doc_id, source, lower(text) AS low FROM documents))"
+
+
+_KEYWORDS = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}', {i}, {rank})" for rank, (k, ws) in enumerate(scores.TYPES.items()) for i, w in enumerate(ws)) + ") AS k(document_type, w, i, rank))"
+_TYPED = f"""(WITH f AS {_features_sql('source')}, t AS (SELECT doc_id, coalesce(source, '') AS title, unnest({tokens("lower(coalesce(source || ' ', '') || text)")}) AS w FROM documents),
+  n AS (SELECT doc_id, document_type, count(*) AS n, count(*) FILTER (i < 10) AS top10 FROM t JOIN {_KEYWORDS} USING (w) GROUP BY 1, 2), a AS (SELECT doc_id, sum(n) AS total FROM n GROUP BY 1),
+  d AS (SELECT unnest({sql_list(list(scores.TYPES))}) AS document_type, unnest(range(0, {len(scores.TYPES)})) AS rank)
+  SELECT d.document_type, d.rank, f.doc_id, least(1, coalesce(n.n, 0) / greatest(coalesce(total, 0), 1) * 0.4 + least(coalesce(top10, 0) / 10, 1) * 0.3
+    + CASE {' '.join(f"WHEN d.document_type = '{k}' THEN " + (' + '.join(f"least({'depth / 3' if p == 'section_hierarchy' else p + '_e / 5' if p + '_e' in ('procedural_e', 'argumentative_e', 'descriptive_e') else '0'}, 1) * 0.25" for p in ps) or '0') for k, ps in scores.EXPECTED.items())} END * 0.2
+    + CASE {' '.join(f"WHEN d.document_type = '{k}' AND {sql_any('lower(s.source)', ws[:5])} THEN 0.05" for k, ws in scores.TYPES.items() if ws)} ELSE 0 END) AS confidence
+  FROM f CROSS JOIN d JOIN documents s ON s.doc_id = f.doc_id LEFT JOIN n ON n.doc_id = f.doc_id AND n.document_type = d.document_type LEFT JOIN a ON a.doc_id = f.doc_id)"""
+_PRIMARY = f"(SELECT doc_id, document_type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(confidence, 9) DESC, rank) AS place FROM {_TYPED}) WHERE place = 1)"
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("title"))
     chunks = d.select("doc_id", F.col("text").alias("chunk_text"), F.col("title").alias("section_title"))
-    return classify.classify(classify.keyword_counts(d), classify.features(chunks)).where("place = 1").withColumn("confidence", F.round("confidence", 6))
+    return classify.classify(classify.keyword_counts(d), classify.features(chunks)).where("place = 1")
 
 
-@query()
-def structure_patterns(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"SELECT doc_id, document_type, round(confidence, 6) AS confidence, CAST(1 AS INT) AS place FROM {_PRIMARY}")
+def document_types(spark: SparkSession, sf: str) -> DataFrame:
+    return _typed(spark, sf).withColumn("confidence", F.round("confidence", 6))
+
+
+_PATTERNS = f"""(SELECT doc_id, pattern, confidence FROM (SELECT doc_id, unnest(['section_hierarchy', 'procedural', 'argumentative', 'descriptive', 'comparative', 'narrative']) AS pattern,
+  unnest([least(depth * 0.3 + variety * 0.1, 1), {', '.join(f"least({k}_e * 0.2 + {k}_w * 0.1, 1)" for k in ('procedural', 'argumentative', 'descriptive'))}, {', '.join(f"least({k}_w * 0.2, 1)" for k in ('comparative', 'narrative'))}]) AS confidence
+  FROM {_features_sql("'1.2 Scope'")}) WHERE round(confidence, 9) > 0.3)"""
+
+
+def _patterns(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk_text"), F.lit("1.2 Scope").alias("section_title"))
-    return classify.pattern_confidence(classify.features(chunks)).withColumn("confidence", F.round("confidence", 6))
+    return classify.pattern_confidence(classify.features(chunks))
+
+
+@query(f"SELECT doc_id, pattern, round(confidence, 6) AS confidence FROM {_PATTERNS}")
+def structure_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return _patterns(spark, sf).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH c AS (SELECT 'type' AS dimension, document_type AS value FROM {_PRIMARY} UNION ALL SELECT 'pattern', pattern FROM {_PATTERNS}), n AS (SELECT dimension, value, count(*) AS n FROM c GROUP BY 1, 2)
+  SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) = 1 AS most_common FROM n""")
+def type_distributions(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.distributions(_typed(spark, sf), _patterns(spark, sf))
 
 
 def _level_sql(x: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"regexp_matches({x}, '(?i){p}')" for p in t.HEADINGS[k]) + f" THEN {k}" for k in (1, 2, 3)) + " END"
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents), x AS (SELECT doc_id, CAST(line AS INT) AS line, {STRIP.format(c='raw')} AS x FROM l)
-  SELECT doc_id, line, CAST({_level_sql('x')} AS INT) AS level FROM x WHERE {_level_sql('x')} IS NOT NULL""")
+_HEAD_TITLE = f"CASE WHEN regexp_matches(x, '^#{{1,3}}\\s+(.+)$') THEN {STRIP.format(c="regexp_extract(x, '^#{1,3}\\s+(.+)$', 1)")} ELSE x END"
+_MARK = "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(x, '(?i){p}', 1), '') AS INT)" for p in t.PAGES_STRUCTURE) + ")"
+_LINES = f"""(SELECT *, last_value(CASE WHEN mark BETWEEN 1 AND 1000 THEN mark END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS page, CAST({_level_sql('x')} AS INT) AS level, {_HEAD_TITLE} AS title
+  FROM (SELECT doc_id, CAST(line AS INT) AS line, x, {_MARK} AS mark FROM (SELECT doc_id, line, {STRIP.format(c='raw')} AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents))))"""
+_UPPER = "upper(title) = title AND lower(title) <> title"
+_HEADS = f"""(SELECT *, CASE level WHEN 2 THEN l1 WHEN 3 THEN greatest(l1, l2) END AS parent FROM (SELECT *, last_value(CASE WHEN level = 1 THEN line END IGNORE NULLS) OVER w AS l1, last_value(CASE WHEN level = 2 THEN line END IGNORE NULLS) OVER w AS l2,
+  greatest(0.1, least(1, 0.5 + CASE WHEN length(title) BETWEEN 10 AND 100 THEN 0.2 WHEN length(title) > 100 THEN -0.1 ELSE 0 END + CASE WHEN {_UPPER} THEN 0.1 ELSE 0 END + CASE WHEN title LIKE '%:' THEN 0.1 ELSE 0 END + CASE WHEN level = 1 AND {_UPPER} THEN 0.2 ELSE 0 END)) AS confidence
+  FROM {_LINES} WHERE level IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
+
+
+@query(f"SELECT doc_id, line, level, title, round(confidence, 6) AS confidence, CAST(page AS INT) AS page, parent FROM {_HEADS}")
 def structure_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.structure_lines(table(spark, sf, "documents")).select("doc_id", "line", "level")
+    return classify.hierarchy(classify.structure_lines(table(spark, sf, "documents"))).withColumn("confidence", F.round("confidence", 6))
+
+
+_HINTS = {"academic_paper": ["paper", "thesis"], "legal_document": ["contract", "agreement"], "technical_manual": ["manual", "guide"], "business_report": ["report"]}
+_STRUCT_COUNT = {k: "(" + " + ".join(f"CAST(len(list_filter({tokens('low')}, lambda w: w = '{w}')) > 0 AS INT)" if " " not in w else f"CAST(regexp_matches(' ' || low || ' ', '[^\\p{{L}}\\p{{N}}_]{w}[^\\p{{L}}\\p{{N}}_]') AS INT)" for w in ws) + f" + CASE WHEN {sql_any('name', _HINTS[k])} THEN 2 ELSE 0 END)" for k, ws in scores.STRUCTURES.items()}
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _STRUCT_COUNT.items())} FROM (SELECT doc_id, lower(text) AS low, lower(coalesce(source, '')) AS name FROM documents)),
+  y AS (SELECT doc_id, CASE WHEN m = 0 THEN 'unknown' {' '.join(f"WHEN {k} = m THEN '{k}'" for k in _STRUCT_COUNT)} END AS document_type FROM (SELECT *, greatest({', '.join(_STRUCT_COUNT)}) AS m FROM b)),
+  p AS (SELECT doc_id, count(*) FILTER (mark BETWEEN 1 AND 1000) AS page_count FROM {_LINES} GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS roots, avg(confidence) AS mean FROM {_HEADS} WHERE parent IS NULL GROUP BY doc_id),
+  c AS (SELECT doc_id, document_type, CAST(page_count AS INT) AS page_count, coalesce(roots, 0) AS roots, coalesce(mean, 0.1) AS s, CASE WHEN page_count > 0 THEN least(page_count / 10, 1) ELSE 0.1 END AS p, CASE document_type WHEN 'unknown' THEN 0.3 ELSE 0.8 END AS y FROM y JOIN p USING (doc_id) LEFT JOIN r USING (doc_id))
+  SELECT doc_id, document_type, page_count, roots, round(s, 6) AS section_confidence, round(p, 6) AS page_confidence, y AS type_confidence, round(0.4 * s + 0.3 * p + 0.3 * y, 6) AS overall FROM c""")
 def structure_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.structure(table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("filename")))
+    s = classify.structure(table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("filename")))
+    return s.select("doc_id", "document_type", "page_count", "roots", *[F.round(c, 6).alias(c) for c in ("section_confidence", "page_confidence", "type_confidence", "overall")])
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text[1:1000], '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY 1, 2), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM n)

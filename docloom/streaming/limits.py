@@ -34,10 +34,17 @@ def window_counts(requests: DataFrame, seconds: int = 3600, limit: int = 1000, w
 
 
 def rejected_requests(requests: DataFrame, seconds: int = 3600, limit: int = 1000) -> DataFrame:
-    """The single requests (ts, client, request_id) of a batch beyond the limit of their window, in order of time and id."""
+    """The single requests (ts, client, request_id) of a batch beyond the limit of their window, in order of time and id.
+
+    Requests are numbered within their minute and the counts of earlier minutes added, so a busy client's window is many groups.
+    """
     start = F.window("ts", f"{seconds} seconds")["start"]
-    order = Window.partitionBy("client", "start").orderBy("ts", "request_id")
-    return requests.withColumn("start", start).withColumn("place", F.row_number().over(order)).where(F.col("place") > limit)
+    timed = requests.withColumn("start", start).withColumn("minute", F.date_trunc("minute", "ts"))
+    counts = timed.groupBy("client", "start", "minute").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("client", "start").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.partitionBy("client", "start", "minute").orderBy("ts", "request_id")
+    placed = timed.withColumn("place", F.row_number().over(order)).join(counts.select("client", "start", "minute", before.alias("before")), ["client", "start", "minute"])
+    return placed.withColumn("place", F.col("place") + F.col("before")).where(F.col("place") > limit).drop("before", "minute")
 
 
 def slow_searches(searches: DataFrame, seconds: Column) -> DataFrame:
@@ -60,3 +67,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str | None =
 def latest_state(log: DataFrame, key: str = "job_id", at: str = "ts", state: str = "status") -> DataFrame:
     """The last state of each job of an event log; ties go to the larger state."""
     return log.groupBy(key).agg(F.max_by(state, F.struct(at, state)).alias(state), F.max(at).alias(at))
+
+
+def limit_status(requests: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
+    """(kind, client, start, n, remaining, reset) of requests (ts, client, kind): each kind of endpoint has its own limit and window (``LIMITS``); ``reset`` is the window's end."""
+    seconds = F.create_map(*[F.lit(x) for k, (_, s) in LIMITS.items() for x in (k, s)])[F.col("kind")]
+    most = F.create_map(*[F.lit(x) for k, (n, _) in LIMITS.items() for x in (k, n)])[F.col("kind")]
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / seconds) * seconds)
+    counts = late(requests, "ts", watermark).withColumn("start", start).groupBy("kind", "client", "start").agg(F.count("*").alias("n"))
+    return counts.select("kind", "client", "start", "n", F.greatest(most - F.col("n"), F.lit(0)).alias("remaining"), F.timestamp_seconds(F.unix_timestamp("start") + seconds).alias("reset"))
+
+
+def session_progress(events: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """(session_id, done, total, percent, status) of sessions not older than ``hours``, from events (session_id, ts, kind, total): kinds start, step, complete."""
+    s = events.groupBy("session_id").agg(F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("start"), F.max("total").alias("total"), F.count_if(F.col("kind") == "step").alias("done"), F.max((F.col("kind") == "complete").cast("int")).alias("complete"))
+    live = s.where(F.col("start") >= now - F.expr(f"interval {hours} hours"))
+    percent = F.when(F.col("total") > 0, F.col("done") / F.col("total") * 100).otherwise(0.0)
+    return live.select("session_id", "done", "total", percent.alias("percent"), F.when(F.col("complete") == 1, "completed").when(F.col("done") > 0, "processing").otherwise("started").alias("status"))
