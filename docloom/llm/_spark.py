@@ -90,8 +90,8 @@ def filter_batches(df: DataFrame, mask: Callable[[pa.RecordBatch], Iterable[bool
     return df.mapInArrow(run, df.schema)
 
 
-def hinted(ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """A written id table with a broadcast hint if it has at most ``limit`` rows (some 100 MB); beyond, joins shuffle."""
+def hinted(ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A written table of a few short columns with a broadcast hint if it has at most ``limit`` rows (some 40 MB); beyond, joins shuffle."""
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 

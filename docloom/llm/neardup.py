@@ -126,7 +126,8 @@ def near_duplicates(
 
     Null and empty texts, and texts without words, have no shingles and no links.  Copies and repeated rows link like
     any pair; rows that share an id are one document with several texts.  A row without id links with nothing, has a
-    null component and is kept.  An empty table gives an empty result; other columns are not read.
+    null component and is kept.  Texts of any length count whole, a long one in a pass of its own.  An empty table gives
+    an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")

@@ -84,7 +84,11 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and bias, learnt from at most ``max_rows`` labelled documents outside the held-out fold (zeros without any)."""
+    """Weights and bias, learnt from at most ``max_rows`` labelled documents outside the held-out fold (zeros without any).
+
+    The sample's sparse features reach the driver: its memory is bounded by ``max_rows`` times the distinct 1- and 2-grams
+    of a document, at most ``2 ** bits``.
+    """
 
     def each(batch: pa.RecordBatch):
         ids, y = batch.column(0), batch.column(2)
@@ -107,7 +111,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id
     """One row per row of ``docs``: id and ``score``, the probability of label 1.
 
     Null and empty texts get the bias alone; null ids stay null; repeated rows score alike; an empty table gives an
-    empty result; other columns are not read.
+    empty result; texts of any length are scored whole; other columns are not read.
     """
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -127,8 +131,10 @@ def scores(text: _words.Words, weights: np.ndarray, bias: float, bits: int = BIT
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, bits: int = BITS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``threshold``; otherwise as ``score``."""
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``; a model without examples removes nothing; otherwise as ``score``."""
     weights, bias = model
+    if not bias and not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def mask(batch: pa.RecordBatch) -> list[bool]:

@@ -130,7 +130,11 @@ def fit_softmax(
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """The model, learnt from at most ``max_rows`` labelled documents outside the held-out fold; their distinct words are listed on the executors."""
+    """The model, learnt from at most ``max_rows`` labelled documents outside the held-out fold (zeros without any).
+
+    Distinct words of whole documents are listed on the executors; those of the sample reach the driver, so its memory
+    is bounded by ``max_rows`` times the distinct words of a document.
+    """
 
     def each(batch: pa.RecordBatch):
         for a, b, text in _words.batch_words(batch, "text"):
@@ -150,7 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, id
     """One row per row of ``docs``: id and ``score``, the probability of label 1.
 
     Texts without words (null and empty ones too) get the bias alone; null ids stay null; repeated rows score alike;
-    an empty table gives an empty result; other columns are not read.
+    an empty table gives an empty result; texts of any length are scored whole; other columns are not read.
     """
     values, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(values)
@@ -173,8 +177,10 @@ def scores(text: _words.Words, values: np.ndarray, bias: float, bits: int = BITS
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float, bits: int = BITS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``; otherwise as ``score``."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; a model without examples removes nothing; otherwise as ``score``."""
     weights, bias = model
+    if not bias and not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def mask(batch: pa.RecordBatch) -> list[bool]:

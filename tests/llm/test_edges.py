@@ -253,7 +253,7 @@ def test_quality_scores_and_learning_equal_plain_ones():
     (_, _, words), = quality._words.batch_words(batch, "text", quality._words.WORDS_AND_SIGNS)
     start, key, value = quality.bags(words)
     rows = [(key[a:b], value[a:b], i % 2) for i, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True))]
-    assert [len(r[0]) for r in rows] == [0, 1, 7, 7, 3] and all(sum(v * v) == pytest.approx(1) for _, v, _ in rows if len(v))
+    assert [len(r[0]) for r in rows] == [0, 1, 9, 9, 3] and all(sum(v * v) == pytest.approx(1) for _, v, _ in rows if len(v))
     learner = quality.Ftrl()
     weights, bias = learner.fit(rows, epochs=3)
     z, n, end = {}, {}, 1 << quality.BITS  # the plain update, one coordinate at a time
