@@ -90,6 +90,13 @@ def filter_batches(df: DataFrame, mask: Callable[[pa.RecordBatch], Iterable[bool
     return df.mapInArrow(run, df.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def hinted(ids: DataFrame, limit: int = 500_000) -> DataFrame:
     """A written table of a few short columns with a broadcast hint if it has at most ``limit`` rows (some 40 MB); beyond, joins shuffle."""
     return F.broadcast(ids) if ids.count() <= limit else ids

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import _words
-from docloom.llm._spark import Workspace, boolean, field, filter_batches, long, map_batches, string
+from docloom.llm._spark import Workspace, boolean, field, fresh, filter_batches, long, map_batches, string
 
 #: Windows that may be broadcast, and bytes of their words: with what Python adds some 60 MB in the driver and in each worker.
 MAX_WINDOWS, MAX_BYTES = 100_000, 16 << 20
@@ -134,8 +134,10 @@ def keep(
     """The rows of ``docs``, all columns, without contaminated ones; otherwise as ``decontaminate``."""
     shared, work, found = _windows(docs, benchmark, n, max_windows, max_bytes, item_col, item_text_col)
     if shared is None:
-        keyed = work.write(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
-        return keyed.join(_hits(keyed, found, text_col), "_row", "left_anti").drop("_row")
+        row = fresh(docs, "_row")
+        keyed = work.write(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+        hits = _hits(keyed.select(F.col(row).alias("_row"), text_col), found, text_col)
+        return keyed.join(hits.select(F.col("_row").alias(row)), row, "left_anti").select(docs.columns)
 
     def mask(batch: pa.RecordBatch) -> list[bool]:
         out = []

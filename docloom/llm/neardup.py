@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import _words
-from docloom.llm._spark import Workspace, binary, hinted, long, longs, map_batches
+from docloom.llm._spark import Workspace, binary, fresh, hinted, long, longs, map_batches
 from docloom.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -349,18 +349,18 @@ def _verified(work: Workspace, texts: DataFrame, pairs: DataFrame, key: T.Struct
 
 
 def keep(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without near duplicates: of each group the document with the smallest id stays.
+    """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest id stays.
 
-    Of rows that share an id only the largest (column by column) stays; rows without id stay.
+    Rows without id stay.  Where rows share an id, each row is a document of its own: of those of one group one stays,
+    rows of one id with different texts that link with nothing all stay.
     """
     work = Workspace(docs.sparkSession, "neardup-keep")
     found = work.write(near_duplicates(docs, n=n, percent=percent, id_col=id_col, text_col=text_col).select(id_col, "kept"), "found")
-    gone = work.write(found.where(~F.col("kept")).select(id_col).distinct(), "gone")
-    repeated = work.write(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
-    left = docs.join(hinted(gone), id_col, "left_anti")
-    rest = [c for c in docs.columns if c != id_col]
-    single = left.join(hinted(repeated), id_col, "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return single
-    several = left.join(hinted(repeated), id_col, "left_semi").groupBy(id_col).agg(F.max(F.struct(rest)).alias("_row")).select(id_col, "_row.*")
-    return single.unionByName(several.select(docs.columns))
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        gone = work.write(found.where(~F.col("kept")).select(id_col), "gone")
+        return docs.join(hinted(gone), id_col, "left_anti").select(docs.columns)
+    place = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.col(id_col).cast("string")
+    row = fresh(docs, "_row")
+    keyed = work.write(docs.withColumn(row, F.concat(place, F.lit(":"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))), "rows")
+    gone = work.write(near_duplicates(keyed, n=n, percent=percent, id_col=row, text_col=text_col).where(~F.col("kept")).select(row), "gone")
+    return keyed.join(hinted(gone), row, "left_anti").select(docs.columns)

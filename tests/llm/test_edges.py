@@ -168,9 +168,16 @@ def test_near_duplicates(spark, docs, nothing):
     got = sorted((tuple(r) for r in neardup.near_duplicates(docs, n=5).collect()), key=str)
     assert [(i, c, k) for i, _, c, k in got] == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (4, 3, False), (None, None, True), (5, 5, True), (6, 5, False)], key=lambda x: str((x[0],)))
     assert neardup.near_duplicates(nothing).count() == 0
+    assert {r["_row"] for r in neardup.keep(docs).collect()} == {2}
     assert sorted(str(r["doc_id"]) for r in neardup.keep(docs).collect()) == ["1", "2", "3", "5", "None"] and neardup.keep(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    rows = [(7, "a b c d e f g h"), (7, "q r s t u v w x"), (7, "q r s t u v w x"), (3, "a b c d e f g h"), (-9, "unlike any other text here now"), (None, "a b c d e f g h")]
+    got = sorted(((r["doc_id"], r["text"][:3]) for r in neardup.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(7, "q r"), (3, "a b"), (-9, "unl"), (None, "a b")], key=str)
+
+
 def test_pages_of_one_template_meet_at_rare_shingles_only(spark, monkeypatch):
     """Groups that share most of their wording; the parts of one's own decide, with links inside and between groups."""
     rng = random.Random(4)
@@ -213,7 +220,8 @@ def test_decontamination(spark, docs, nothing):
     for most in (decontaminate.MAX_WINDOWS, 1):
         got = decontaminate.decontaminate(docs, bench, max_windows=most)
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in got.collect()), key=str) == expect
-        assert sorted(str(r["doc_id"]) for r in decontaminate.keep(docs, bench, max_windows=most).collect()) == ["1", "2"]
+        kept = decontaminate.keep(docs, bench, max_windows=most)
+        assert sorted((str(r["doc_id"]), r["_row"]) for r in kept.collect()) == [("1", 2), ("2", 2)] and kept.columns == docs.columns
     assert decontaminate.decontaminate(nothing, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     clean = decontaminate.decontaminate(spark.createDataFrame([(1, "é, keep one this One.")], "doc_id long, text string"), bench, with_clean_text=True).first()["clean_text"]
     assert clean.replace(" ", "") == "é,keepthis."
