@@ -24,24 +24,28 @@ _STRUCTURE = f"""(SELECT x.doc AS a, y.doc AS b, (1 - abs(x.mean_size - y.mean_s
   FROM {_STATS} x JOIN {_STATS} y ON x.doc < y.doc)"""
 
 
-def terms(spark: SparkSession, sf: str, longer_than: int = 0) -> DataFrame:
-    """Distinct (doc, term) of the sources, of whole texts."""
+#: What makes one document of the set: its source, or its language and half of the corpus.
+SOURCE, HALF = "source", "lang || '-' || (doc_id % 2)"
+
+
+def terms(spark: SparkSession, sf: str, longer_than: int = 0, doc: str = SOURCE) -> DataFrame:
+    """Distinct (doc, term) of the set, of whole texts."""
     text = F.lower("text")
-    d = tables.table(spark, sf, "documents").where("source is not null")
-    each = d.select(F.col("source").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term"))
+    d = tables.table(spark, sf, "documents").where(f"({doc}) is not null")
+    each = d.select(F.expr(doc).alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term"))
     return each.where(F.length("term") > longer_than).distinct()
 
 
-def title_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct (doc, term) of the sources, of their texts' whole first lines."""
-    d = tables.table(spark, sf, "documents").where("source is not null")
+def title_terms(spark: SparkSession, sf: str, doc: str = SOURCE) -> DataFrame:
+    """Distinct (doc, term) of the set, of the texts' whole first lines."""
+    d = tables.table(spark, sf, "documents").where(f"({doc}) is not null")
     title = F.lower(F.substring_index("text", "\n", 1))
-    return d.select(F.col("source").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term")).distinct()
+    return d.select(F.expr(doc).alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(title, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term")).distinct()
 
 
-def stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = tables.table(spark, sf, "documents").where("source is not null")
-    return d.groupBy(F.col("source").alias("doc")).agg(F.avg("n_chars").alias("mean_size"), F.collect_set("lang").alias("titles"))
+def stats(spark: SparkSession, sf: str, doc: str = SOURCE) -> DataFrame:
+    d = tables.table(spark, sf, "documents").where(f"({doc}) is not null")
+    return d.groupBy(F.expr(doc).alias("doc")).agg(F.avg("n_chars").alias("mean_size"), F.collect_set("lang").alias("titles"))
 
 
 @query(f"SELECT a, b, common, round(score, 6) AS score FROM {_overlap(_TITLES)}")
@@ -58,9 +62,9 @@ _RELATED = f"""(SELECT a, b, CASE WHEN c > 0.7 THEN 'similar' WHEN t > 0.7 AND c
   FROM (SELECT z.a, z.b, coalesce(x.score, 0) AS c, coalesce(y.score, 0) AS t, z.score AS s FROM {_STRUCTURE} z LEFT JOIN {_overlap(_TERMS)} x USING (a, b) LEFT JOIN {_overlap(_TITLES)} y USING (a, b)))"""
 
 
-def _related(spark: SparkSession, sf: str) -> DataFrame:
-    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, 3), "content"), (title_terms(spark, sf), "topic")))
-    pairs = rel.structural(stats(spark, sf)).withColumnRenamed("score", "structure").join(content, ["a", "b"], "left").join(topic, ["a", "b"], "left")
+def _related(spark: SparkSession, sf: str, doc: str = SOURCE) -> DataFrame:
+    content, topic = (rel.overlaps(x).select("a", "b", F.col("score").alias(n)) for x, n in ((terms(spark, sf, 3, doc), "content"), (title_terms(spark, sf, doc), "topic")))
+    pairs = rel.structural(stats(spark, sf, doc)).withColumnRenamed("score", "structure").join(content, ["a", "b"], "left").join(topic, ["a", "b"], "left")
     return rel.relationships(pairs.fillna(0.0, ["content", "topic"]))
 
 
@@ -69,9 +73,10 @@ def relationship_types(spark: SparkSession, sf: str) -> DataFrame:
     return _related(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED} WHERE confidence > 0.5")
+@query(f"SELECT a, b, round(confidence, 6) AS confidence FROM {_RELATED.replace('source', f'({HALF})')} WHERE confidence > 0.5")
 def relationship_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _related(spark, sf).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
+    """Edges between the halves of the corpus's languages."""
+    return _related(spark, sf, HALF).where("confidence > 0.5").select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""SELECT term, count(*) AS docs, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END AS importance, CASE WHEN count(*) > 3 THEN 'comprehensive' ELSE 'partial' END AS coverage
