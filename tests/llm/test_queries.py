@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -50,6 +51,17 @@ def test_op2(spark, sf_dir):
         assert (got[key]["loss_chars"], got[key]["loss_sha256"]) == (len(loss), brute.sha(loss))
 
 
+def test_chats_urls_and_searches_equal_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for name in ("conversations", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    for name in ("op1_top_k", "op2_chat_format", "op3_url_filter"):
+        found = con.execute(entry.oracle_sql()[name])
+        columns = [c[0] for c in found.description]
+        theirs = Counter(tuple(r) for r in found.fetchall())
+        assert Counter(tuple(r[c] for c in columns) for r in run(spark, sf_dir, name)) == theirs, name
+
+
 def test_op3(spark, sf_dir):
     rules = {("com", "/"): "allow", ("example.com", "/en/"): "block", ("www.example.com", "/en/"): "allow", ("net", "/es/"): "block", ("net", "/fr/"): "block"}
     got = {r["page_id"]: r for r in run(spark, sf_dir, "op3_url_filter")}
