@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.operators import chunking
 
 # The comments around a table, and what its text says about it.
 MARKED = r"(?s)<!-- TABLE_START: (.+?) -->(.*?)<!-- TABLE_END: \1 -->"
@@ -124,6 +125,18 @@ def chunks(tables: DataFrame, id_col: str) -> DataFrame:
     return whole.select(id_col, F.posexplode("all").alias("chunk_index", "c")).select(id_col, "chunk_index", "c.*").drop("slice").withColumn("token_count", t.token_count(F.col("chunk_text")))
 
 
+def table_aware(documents: DataFrame, id_col: str, text_col: str, target: int = chunking.TARGET, least: int = chunking.LEAST) -> DataFrame:
+    """All chunks of documents with marked tables: first those of the text without its tables, then the tables' own.
+
+    (id, kind (``text`` or the table chunk's type), chunk_index (from 0 within either), section_title, chunk_text, page_numbers).
+    Null texts have no chunks; tables without a data row vanish from the text like others.
+    """
+    plain = chunking.improved(documents.select(F.col(id_col).alias("doc_id"), without_tables(F.col(text_col)).alias("text")), target, least)
+    text = plain.select(F.col("doc_id").alias(id_col), F.lit("text").alias("kind"), "chunk_index", "section_title", "chunk_text", "page_numbers")
+    own = chunks(marked(documents, id_col, text_col), id_col)
+    return text.unionByName(own.select(id_col, F.col("chunk_type").alias("kind"), "chunk_index", "section_title", "chunk_text", F.array("page_number").alias("page_numbers")))
+
+
 def chunk_report(made: DataFrame) -> DataFrame:
     """(chunk_type, n, mean_confidence, small): chunks of each type, their mean confidence (0.5 where unknown) and how many have fewer than 50 tokens."""
     return made.where(F.startswith("chunk_type", F.lit("table_"))).groupBy("chunk_type").agg(F.count("*").alias("n"), F.avg(F.coalesce("confidence", F.lit(0.5))).alias("mean_confidence"), F.count_if(F.col("token_count") < 50).alias("small"))

@@ -76,6 +76,13 @@ def table_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return tb.chunks(marked(spark, sf), "doc")
 
 
+@query(f"""SELECT doc, chunk_type AS kind, chunk_index, section_title, sha256(chunk_text) AS chunk_sha256 FROM {_CHUNKS} UNION ALL
+  SELECT n_nationkey, 'text', 0, NULL, sha256('Report of ' || n_name || chr(10) || chr(10) || 'Text between.' || chr(10) || chr(10) || 'The end of ' || n_name) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
+def table_aware_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    made = tb.table_aware(documents(spark, sf), "doc", "text", least=1)
+    return made.select("doc", "kind", "chunk_index", F.when(F.col("kind") != "text", F.col("section_title")).alias("section_title"), F.sha2("chunk_text", 256).alias("chunk_sha256"))
+
+
 @query(f"SELECT chunk_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER ({_TOKENS} < 50) AS small FROM {_CHUNKS} GROUP BY chunk_type")
 def table_chunk_report(spark: SparkSession, sf: str) -> DataFrame:
     return tb.chunk_report(tb.chunks(marked(spark, sf), "doc")).withColumn("mean_confidence", F.round("mean_confidence", 6))

@@ -11,6 +11,7 @@ from docloom.functions import scores, vectors
 from docloom.functions import text
 from docloom.operators import chunking, feedback, relations, tables
 from docloom.plans import catalogue
+from docloom.sources import files
 from docloom.streaming import limits
 
 
@@ -153,6 +154,15 @@ def test_streams_give_the_batch_results(spark, sf_small, tmp_path):
     assert run(limits.slow_searches(typed(stream), F.col("response_time_ms") / 100), "append", "slow") == sorted(limits.slow_searches(typed(events), F.col("response_time_ms") / 100).collect())
 
 
+def test_folders_of_text_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_bytes("# T\r\né".encode())
+    (tmp_path / "in" / "b.exe").write_text("x")
+    (tmp_path / "c.txt").write_text("")
+    got = {r["filename"]: (r["mime_type"], r["file_size"], r["content"]) for r in files.text_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": ("text/markdown", 7, "# T\né"), "c.txt": ("text/plain", 0, "")}
+
+
 def test_entry_gives_rows(spark):
     import __spark_entry__ as entry
 
