@@ -11,7 +11,7 @@ from docloom.operators import checks
 def text_files(spark: SparkSession, path: str, glob: str = "*.{md,txt,html,htm,csv,tsv,json,xml}") -> DataFrame:
     """(path, filename, mime_type, file_size, content, content_hash) of the files below a folder whose name fits ``glob`` and whose extension is allowed.
 
-    Contents are UTF-8 without carriage returns; an empty file has an empty content.
+    Contents are UTF-8 with plain line ends; an empty file gives no row (Spark reads none of it).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
