@@ -218,6 +218,26 @@ def citation(c: Column, source: Column, pages: Column, title: Column) -> dict[st
     }
 
 
+def verification(c: Column, source: Column, pages: Column, title: Column, form: Column) -> dict[str, Column]:
+    """Which parts of a citation can be found: document name, page numbers, section title, citation format (``form``: its score)."""
+    low, no = F.lower(c), F.lit(False)
+    return {
+        "document_name": F.coalesce(F.contains(low, F.lower(source)), no) | (t.hits(low, SOURCE_NAMES[:1]) > 0), "page_numbers": F.coalesce((F.size(pages) > 0) & F.rlike(low, F.lit(r"(?:page|p\.?)\s*\d+")), no),
+        "section_title": F.coalesce((F.length(title) > 0) & F.contains(low, F.lower(title)), no), "citation_format": form > 0.3,
+    }
+
+
+#: What to do below which value of a citation metric.
+CITATION_TIPS = {"source_presence": (0.5, "name the source"), "citation_format": (0.4, "use a citation format"), "context_relevance": (0.5, "give more context"), "position_accuracy": (0.5, "name pages or sections")}
+
+
+def citation_advice(m: dict[str, Column], found: dict[str, Column]) -> Column:
+    """Suggestions from citation metrics; below .7 completeness the parts that are missing."""
+    missing = F.array_compact(F.array(*[F.when(~v, F.lit(k)) for k, v in found.items()]))
+    tips = [F.when(F.round(m[k], 9) < least, F.lit(tip)) for k, (least, tip) in CITATION_TIPS.items()]
+    return F.array_compact(F.array(*tips, F.when((F.round(m["completeness"], 9) < 0.7) & (F.size(missing) > 0), F.concat(F.lit("add "), F.array_join(missing, ", ")))))
+
+
 def word_hits(low: Column, words: list[str]) -> Column:
     """Occurrences of whole words in a lower-cased text."""
     return F.regexp_count(low, F.lit(r"(?U)\b(?:" + "|".join(words) + r")\b")) if words else F.lit(0)

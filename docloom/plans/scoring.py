@@ -141,6 +141,31 @@ def citation_report(spark: SparkSession, sf: str) -> DataFrame:
     return classify.report(scored, "status", "confidence", [k for k, _ in scores.CITATION_STATUS]).select("status", "n", F.round(F.col("mean") * 100, 4).alias("quality_score"))
 
 
+_VERIFIED = f"""(SELECT *, contains(lower(c), lower(source)) OR regexp_matches(lower(c), '{scores.SOURCE_NAMES[0]}') AS document_name, regexp_matches(lower(c), '(?:page|p\\.?)\\s*\\d+') AS page_numbers, contains(lower(c), lower(title)) AS section_title,
+  {FORMAT_SQL} > 0.3 AS citation_format_ok FROM (SELECT {_CITE} FROM documents d))"""
+_FLAGS = {"document_name": "document_name", "page_numbers": "page_numbers", "section_title": "section_title", "citation_format": "citation_format_ok"}
+
+
+@query(f"""SELECT doc_id, v.document_name, v.page_numbers, v.section_title, v.citation_format_ok, list_filter([{', '.join(f"CASE WHEN round(s.{k}, 9) < {least} THEN '{tip}' END" for k, (least, tip) in scores.CITATION_TIPS.items())},
+  CASE WHEN round(s.completeness, 9) < 0.7 AND NOT ({' AND '.join('v.' + x for x in _FLAGS.values())}) THEN 'add ' || array_to_string(list_filter([{', '.join(f"CASE WHEN NOT v.{x} THEN '{k}' END" for k, x in _FLAGS.items())}], lambda x: x IS NOT NULL), ', ') END], lambda x: x IS NOT NULL) AS advice
+  FROM {CITATION_SQL} s JOIN {_VERIFIED} v USING (doc_id)""")
+def citation_verification(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    text = F.concat(F.lit("According to source document "), F.col("source"), F.lit(", page "), (F.col("doc_id") % 9).cast("string"), F.lit(" of Section 2 [3]: "), F.col("text"))
+    args = (text, F.col("source"), F.array((F.col("doc_id") % 5).cast("int")), F.col("lang"))
+    scored = d.select("doc_id", *[c.alias(k) for k, c in scores.citation(*args).items()], text.alias("c"), *[a.alias(n) for a, n in zip(args[1:], ("source", "pages", "title"), strict=True)])
+    found = scores.verification(*(F.col(x) for x in ("c", "source", "pages", "title", "citation_format")))
+    flagged = scored.select("*", *[v.alias(_FLAGS[k]) if k == "citation_format" else v.alias(k) for k, v in found.items()])
+    advice = scores.citation_advice({k: F.col(k) for k in scores.CITATION_WEIGHTS}, {k: F.col(x) for k, x in _FLAGS.items()})
+    return flagged.select("doc_id", *_FLAGS.values(), advice.alias("advice"))
+
+
+@query(f"SELECT metric, round(mean, 6) AS mean FROM (SELECT {', '.join(f'avg({k}) AS {k}' for k in METRIC_SQL)} FROM {QUALITY_SQL}) UNPIVOT (mean FOR metric IN ({', '.join(METRIC_SQL)}))")
+def quality_metric_means(spark: SparkSession, sf: str) -> DataFrame:
+    means = quality(spark, sf).agg(*[F.avg(k).alias(k) for k in METRIC_SQL])
+    return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(k, 6).alias("mean")) for k in METRIC_SQL])).alias("x")).select("x.*")
+
+
 _TOK = tokens("lower(coalesce(title, '') || ' ' || text)")
 
 
