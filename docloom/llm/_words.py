@@ -25,7 +25,7 @@ NONSPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 WORDS_AND_SIGNS = np.where(ALNUM, 1, np.where(NONSPACE & (_BYTES > 0x20), 2, 0)).astype(np.uint8)
 
 #: Bytes of text handled by one numpy pass; a longer document is a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)

@@ -250,12 +250,17 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, texts:
     some = held.select("id", "c", "shingle")
     known = some.join(hot, "shingle").unionByName(some.join(hot, "shingle", "left_anti").join(cold, "shingle", "left").fillna({"df": 1, "apart": False}))
     ranked = known.groupBy("id", "c").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "apart"))).alias("order"))
+    # only what stands among the first shingles and may bring components together goes on to Python
+    placed_at = F.transform("order", lambda x, i: F.struct(i.alias("at"), x["shingle"].alias("shingle"), (x["df"] <= LIGHT).alias("light"), x["apart"].alias("apart")))
+    longest = F.size("order") - F.ceil(F.size("order") * F.lit(percent) / 100)
+    some = F.filter(placed_at, lambda x: x["apart"] & (x["at"] <= longest))
+    ranked = ranked.select("id", "c", F.size("order").alias("size"), F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["shingle"].alias("shingle"), x["light"].alias("light"))).alias("some"))
 
     def to_keys(batch: pa.RecordBatch):
-        order = batch.column(2)
-        cuts = np.asarray(order.offsets)
-        values = order.values.slice(cuts[0], cuts[-1] - cuts[0])
-        shingles, apart, df = values.field("shingle").to_numpy().view(np.uint64), values.field("apart").to_numpy(zero_copy_only=False), values.field("df").to_numpy()
+        some, sizes = batch.column(3), batch.column(2).to_pylist()
+        cuts = np.asarray(some.offsets)
+        values = some.values.slice(cuts[0], cuts[-1] - cuts[0])
+        shingles, places, light = values.field("shingle").to_numpy().view(np.uint64), values.field("at").to_numpy().astype(np.int64), values.field("light").to_numpy(zero_copy_only=False)
         cuts = (cuts - cuts[0]).tolist()
         rows, many = [], 0
 
@@ -265,18 +270,14 @@ def _untried(work: Workspace, buckets: DataFrame, components: DataFrame, texts:
             who = pa.array(cols[0])
             return {"id": batch.column(0).take(who), "c": batch.column(1).take(who), "meet": cols[1], "left": cols[3] - cols[2], "size": cols[3], "own": cols[4], "other": cols[5]}
 
-        for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            at = np.flatnonzero(apart[s:e])
-            if not len(at):
-                continue
-            size, light = e - s, df[s + at] <= LIGHT
-            use = at[light & (at <= size - -(-percent * size // 100))]  # as if for the smallest set that can be similar
-            picked = [(use, -1, -1, shingles[s + use])]
-            heavy = at[~light]
+        for i, (s, e, size) in enumerate(zip(cuts[:-1], cuts[1:], sizes, strict=True)):
+            at, key, easy = places[s:e], shingles[s:e], light[s:e]
+            picked = [(at[easy], -1, -1, key[easy])]
+            heavy, heavy_key = at[~easy], key[~easy]
             for own, other, tokens in prefixes(size, percent) if len(heavy) else ():
-                use = heavy[: np.searchsorted(heavy, tokens)]
+                n_use = int(np.searchsorted(heavy, tokens))
                 pair = np.uint64(min(own, other) << 32 | max(own, other))
-                picked.append((use, own, other, shingles[s + use] ^ _words.mix(np.array([pair + np.uint64(1)]))))
+                picked.append((heavy[:n_use], own, other, heavy_key[:n_use] ^ _words.mix(np.array([pair + np.uint64(1)]))))
             for use, own, other, meet in picked:
                 if len(use):
                     rows.append(np.stack([np.full(len(use), i), _words.mix(meet).view(np.int64), use, np.full(len(use), size), np.full(len(use), own), np.full(len(use), other)]))
