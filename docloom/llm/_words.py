@@ -17,6 +17,8 @@ import pyarrow as pa
 _BYTES = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+#: Every byte unchanged.
+AS_IS = _BYTES
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``: digits, a-z and everything outside ASCII (after lower-casing).
 ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
 #: ``[^\x20\x09-\x0D]``: everything but ASCII white space.
@@ -104,10 +106,10 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def split(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray = ALNUM) -> Words:
-    """Cut documents (bytes ``raw``, offsets ``offs`` from 0) into lower-cased runs of one non-zero byte class."""
+def split(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray = ALNUM, fold: np.ndarray = LOWER) -> Words:
+    """Cut documents (bytes ``raw``, offsets ``offs`` from 0) into runs of one non-zero byte class, each byte replaced by ``fold``."""
     text = np.zeros(len(raw) + 8, np.uint8)
-    np.take(LOWER, raw, out=text[: len(raw)])
+    np.take(fold, raw, out=text[: len(raw)])
     inside = kind[text[: len(raw)]].view(np.uint8)
     border = np.ones(len(raw) + 1, bool)  # before each byte, and at the end
     np.not_equal(inside[1:], inside[:-1], out=border[1:-1])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import _training, chat, decontaminate, licenses, neardup, packing, quality, tokencount, topk, toxicity, urlfilter
+from docloom.llm import _training, bestfit, chat, decontaminate, licenses, neardup, packing, quality, tokencount, topk, toxicity, urlfilter, whitening
 
 #: Fixed values of the url filter query: (host, path, verdict).
 URL_RULES = (
@@ -82,6 +82,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -94,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
+        "op11_whitening": op11_whitening,
+        "op13_best_fit": op13_best_fit,
     }
 
 

@@ -143,18 +143,30 @@ class Tree:
         return out
 
 
-def _integers(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, pa.Array]:
-    """Indices of usable rows of a batch (id, vector) and their vectors as little-endian 64-bit integers floor(scale * x)."""
-    ids, vectors = batch.column(0), batch.column(1)
+def scaled_integers(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the usable rows of an array of lists (not null, not empty, every entry finite) and their matrix of floor(scale * x).
+
+    Usable rows of different length, and entries that do not fit 64 bits, are an error.
+    """
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
-    x = np.floor(vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)  # null components become NaN
+    x = np.floor(vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)  # null entries become NaN
     ends = np.cumsum(sizes)
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
-    keep = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0) & (bad[ends] == bad[ends - sizes]))
-    raw = np.where(np.isfinite(x), x, 0).astype("<i8").tobytes()
-    offsets = pa.py_buffer(np.concatenate([[0], ends * 8]).astype(np.int64).tobytes())
-    rows = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(raw)])
-    return keep, rows.take(pa.array(keep)).cast(pa.binary())
+    finite = np.isfinite(vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+    bad = np.concatenate([[0], np.cumsum(~finite)])
+    keep = np.flatnonzero((sizes > 0) & (bad[ends] == bad[ends - sizes]))
+    if len(keep) and sizes[keep].min() != sizes[keep].max():
+        raise ValueError("vectors differ in length")
+    rows = x[np.repeat(np.isin(np.arange(len(sizes)), keep), sizes)].reshape(len(keep), -1)
+    if rows.size and np.abs(rows).max() >= 2.0**63:
+        raise ValueError("a component is out of range")
+    return keep, rows.astype(np.int64)
+
+
+def _integers(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, pa.Array]:
+    """Indices of usable rows of a batch (id, vector), ids not null, and their vectors as little-endian 64-bit integers."""
+    keep, rows = scaled_integers(batch.column(1), scale)
+    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[keep]
+    return keep[known], pa.array([x.tobytes() for x in rows[known].astype("<i8")], pa.binary())
 
 
 def top_k(
@@ -166,7 +178,7 @@ def top_k(
     Components become ``floor(scale * x)``.  A row of the query's own id is no candidate; ties go to the smaller id;
     with fewer candidates all are returned.  Rows with null id, or whose vector is null, empty or holds null or
     non-finite components, take no part.  Rows that share an id count once (the largest vector, by its bytes).  All
-    vectors must have one length (else an error); scores must fit 64 bits.  An empty table on either side gives an empty
+    vectors must have one length and components must fit 64 bits once scaled (else an error); scores must fit 64 bits.  An empty table on either side gives an empty
     result; other columns are not read.  The sample (``sample_rows``) only says where cells are cut, never which rows count.
     """
     work = Workspace(vectors.sparkSession, "topk")
