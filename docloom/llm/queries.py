@@ -6,10 +6,10 @@ import re
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import _training, bestfit, chat, decontaminate, licenses, neardup, packing, quality, tokencount, topk, toxicity, urlfilter, whitening
+from docloom.llm import _training, bestfit, chat, decontaminate, licenses, neardup, packing, quality, spelling, tokencount, topk, toxicity, urlfilter, whitening
 
 #: Fixed values of the url filter query: (host, path, verdict).
 URL_RULES = (
@@ -86,6 +86,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def _misspelt(every: int = 199) -> Column:
+    """The run, without one letter where ``every`` divides the checksum of document and run (a null id misspells nothing)."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    at = F.pmod(h, F.length("run")).cast("int")
+    return F.when(h % every == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(spelling.letter_runs(table(spark, sf_dir, "documents")), _misspelt()))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -103,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
         "op11_whitening": op11_whitening,
+        "op12_spelling": op12_spelling,
         "op13_best_fit": op13_best_fit,
     }
 
@@ -159,6 +171,21 @@ OP6_SQL = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_ALNUM.forma
   FROM d LEFT JOIN p USING (n) LEFT JOIN t USING (n)"""
 
 
+#: The checksum goes bit by bit: each byte is followed by seven zeros, and every element shifts once.
+OP12_SQL = f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format(c="text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  d AS (SELECT doc_id, run, count(*) AS k FROM r GROUP BY ALL),
+  b AS (SELECT *, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM d),
+  h AS (SELECT run, k, length(run) AS size, xor(list_reduce([4294967295] || flatten(list_transform(bytes, lambda x: [CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS h FROM b),
+  w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6),
+  e AS (SELECT word, n, unnest(list_distinct([word] || list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)))) AS key FROM w),
+  p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM e a JOIN e b USING (key) WHERE a.word <> b.word
+    AND (length(a.word) <> length(b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1)),
+  f AS (SELECT word, n, other, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+  g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN f ON f.word = w.word AND place = 1),
+  t AS (SELECT word, word AS root, form AS next FROM g UNION ALL SELECT t.word, g.word, g.form FROM t JOIN g ON g.word = t.next)
+  SELECT word, form, root, n, n_near, form_n FROM g JOIN t USING (word) WHERE next IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; the others (models, tokenizers, automata with labels of their own) are tested against plain re-statements."""
-    return {"op1_top_k": OP1_SQL, "op2_chat_format": _op2_sql(), "op3_url_filter": _op3_sql(), "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_chat_format": _op2_sql(), "op3_url_filter": _op3_sql(), "op5_near_duplicates": OP5_SQL, "op6_decontamination": OP6_SQL, "op12_spelling": OP12_SQL}

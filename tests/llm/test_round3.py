@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from docloom.llm import bestfit, whitening
+from docloom.llm import bestfit, spelling, whitening
 from tests.llm import brute
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -214,3 +216,85 @@ def test_ids_equal_the_library_for_strange_texts():
     other = bestfit.Ids(public_tokenizers.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert [ids.tolist() for _, ids in other.of_batch(pa.record_batch({"text": texts[:200]}), "text")] == [library.encode(t, add_special_tokens=False).ids for t in texts[:200]]
+
+
+# spelling variants
+
+
+def near_one(a: str, b: str) -> bool:
+    """Exactly one insertion, deletion or replacement."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def plain_variants(counts: dict[str, int], factor: int = 5) -> dict[str, tuple]:
+    words = sorted(counts)
+    by_size = defaultdict(list)
+    for w in words:
+        by_size[len(w)].append(w)
+    form, near = {}, {}
+    for w in words:
+        close = [x for size in (len(w) - 1, len(w), len(w) + 1) for x in by_size[size] if near_one(w, x)]
+        near[w] = len(close)
+        best = min(close, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= factor * counts[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), counts[w], near[w], None if form[w] is None else counts[form[w]]) for w in words}
+
+
+def variants(df) -> dict[str, tuple]:
+    rows = df.collect()
+    assert len({r["word"] for r in rows}) == len(rows)
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows}
+
+
+def spelt(docs) -> dict[str, int]:
+    found = Counter()
+    for d in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", d["text"] or ""):
+            run = run.translate(brute.ASCII)
+            h = zlib.crc32(f"{d['doc_id']}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= 6 and n >= 5}
+
+
+def test_op12(spark, sf_dir):
+    got = variants(entry.queries()["op12_spelling"](spark, sf_dir))
+    want = plain_variants(spelt(brute.rows(sf_dir, "documents")))
+    assert got == want and sum(v[0] is not None for v in want.values()) > 20
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    found = con.execute("SELECT word, form, root, n, n_near, form_n FROM (" + entry.oracle_sql()["op12_spelling"] + ")").fetchall()
+    assert {r[0]: tuple(r[1:]) for r in found} == got and len(found) == len(got)
+
+
+def test_variants_of_small_alphabets(spark):
+    rng = np.random.default_rng(7)
+    counts = {"".join(rng.choice(list("abé"), size=rng.integers(0, 7))): int(5 ** rng.integers(0, 6)) for _ in range(700)}
+    df = spark.createDataFrame([(w, n, 1) for w, n in counts.items()], "word string, n long, id long")
+    assert variants(spelling.group_variants(df)) == plain_variants(counts)
+
+
+def test_variants_of_odd_tables(spark):
+    long_word = "ab" * 50_000
+    rows = [("house", 100), ("hose", 4), ("hose", 1), (None, 7), (long_word, 50), (long_word[:-1], 2), ("x" + long_word[1:], 3), ("chain", 1), ("chainx", 5), ("chainxy", 25), ("chainxyz", 125)]
+    df = spark.createDataFrame([(w, n, "?") for w, n in rows], "word string, n long, root string")
+    got = variants(spelling.group_variants(df))
+    assert got["hose"] == ("house", "house", 5, 1, 100) and got["house"][0] is None
+    assert got[long_word[:-1]][:2] == (long_word, long_word) and got["x" + long_word[1:]][0] == long_word and got[long_word][3] == 2
+    assert got["chain"][:2] == ("chainx", "chainxyz") and len(got) == 9
+    assert spelling.group_variants(df.limit(0)).collect() == []
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "Straße STRASSE Æon÷x", 1)], "doc_id long, text string, run long")
+    assert sorted(r["run"] for r in spelling.letter_runs(docs).collect()) == ["strasse", "stra\u00dfe", "\u00c6on\u00f7x"]
+    assert spelling.count_words(spelling.letter_runs(docs), min_count=1).count() == 2
