@@ -73,7 +73,7 @@ class DigestArray:
             at += size
         self.keys, self.offsets, self.hosts, self.block = parts
         self.strings, self.raw = raw[at:], raw
-        self.path_lengths = np.unique(np.diff(self.offsets) - self.hosts).tolist()
+        self.path_lengths, self.host_lengths = np.unique(np.diff(self.offsets) - self.hosts).tolist(), np.unique(self.hosts).tolist()
 
     def find(self, candidates: list[tuple[bytes, int]]) -> np.ndarray:
         """Index of the rule with each (string, host length), or -1."""
@@ -102,14 +102,13 @@ def parts(url: str | None) -> tuple[str, str]:
     return rest[:cut].translate(_ASCII), path[:stop]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[bytes, int]]:
-    """Strings that a fitting rule may have: every run of last labels of the host with every path prefix of a known length."""
+def candidates(host: str, path: str, host_lengths: list[int], path_lengths: list[int]) -> list[tuple[bytes, int]]:
+    """Strings that a fitting rule may have: every run of last labels of the host, and prefix of the path, whose length in bytes some rule has."""
     if not host and not path:
         return []
-    raw, hosts, at = path.encode("utf-8", "surrogatepass"), [host], -1
-    while (at := host.find(".", at + 1)) >= 0:
-        hosts.append(host[at + 1 :])
-    return [(h + raw[:n], len(h)) for h in (x.encode("utf-8", "surrogatepass") for x in hosts) for n in lengths if n <= len(raw)]
+    h, p = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
+    ends = [h[len(h) - n :] for n in host_lengths if n == len(h) or n < len(h) and h[len(h) - n - 1] == 0x2E]
+    return [(x + p[:n], len(x)) for x in ends for n in path_lengths if n <= len(p)]
 
 
 _ARRAYS: dict[str, DigestArray] = {}
@@ -160,7 +159,7 @@ def filter_urls(
     def each(batch: pa.RecordBatch):
         array = _array(name)
         split = [parts(u) for u in batch.column(1).to_pylist()]
-        each_row = [candidates(h, p, array.path_lengths) for h, p in split]
+        each_row = [candidates(h, p, array.host_lengths, array.path_lengths) for h, p in split]
         flat = [c for row in each_row for c in row]
         found = array.find(flat)
         rule, verdict, at = [None] * len(split), [default] * len(split), 0
@@ -183,22 +182,22 @@ def _joined(pages: DataFrame, table: DataFrame, default: str, id_col: str, url_c
         table.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "rules"
     )
-    lengths = [r[0] for r in table.select(F.octet_length("path").alias("n")).distinct().collect()]  # path lengths, not rules
+    lengths = [[r[0] for r in table.select(F.octet_length(c).alias("n")).distinct().collect()] for c in ("host", "path")]  # lengths, not rules
 
     def each(batch: pa.RecordBatch):
         out = []
         for u in batch.column(0).to_pylist():
-            for c, n in candidates(*parts(u), lengths):
+            for c, n in candidates(*parts(u), *lengths):
                 try:  # a prefix that ends inside a character is no rule's path
                     host, path = c[:n].decode(), c[n:].decode()
                 except UnicodeDecodeError:
                     continue
-                out.append((u, *parts(u), host, path))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        yield {n: pa.array(c, pa.string()) for n, c in zip(("_url", "_h", "_p", "host", "path"), cols, strict=True)}
+                out.append((u, host, path))
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield {n: pa.array(c, pa.string()) for n, c in zip(("_url", "host", "path"), cols, strict=True)}
 
     distinct = pages.select(F.col(url_col).alias("_url")).distinct()
-    tried = map_batches(distinct, [string(n) for n in ("_url", "_h", "_p", "host", "path")], each)
+    tried = map_batches(distinct, [string(n) for n in ("_url", "host", "path")], each)
     size = F.octet_length("host") + F.octet_length("path")
     fit = tried.join(table, ["host", "path"]).groupBy("_url").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct(size, F.octet_length("host"))).alias("best"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from docloom.llm import bestfit, spelling, whitening
+from docloom.llm import bestfit, spelling, topk, urlfilter, whitening
 from tests.llm import brute
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -298,3 +298,23 @@ def test_variants_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "Straße STRASSE Æon÷x", 1)], "doc_id long, text string, run long")
     assert sorted(r["run"] for r in spelling.letter_runs(docs).collect()) == ["strasse", "stra\u00dfe", "\u00c6on\u00f7x"]
     assert spelling.count_words(spelling.letter_runs(docs), min_count=1).count() == 2
+
+
+# repairs of earlier operators
+
+
+@pytest.mark.parametrize("max_rules", [1000, 1])
+def test_urls_with_a_million_dots(spark, max_rules):
+    rules = [urlfilter.Rule("com", "/", "allow"), urlfilter.Rule("b.com", "/x", "block"), urlfilter.Rule("", "/only", "block"), urlfilter.Rule(".." + "a.com", "/", "block")]
+    urls = ["http://" + "a." * 1_000_000 + "b.com/x/y", "http://" + "." * 1_000_000, "http://" + "." * 1_000_000 + "/only", "http://ab.com/x", "http://b.com/x", "http://z...a.com/", "http:///only"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    got = {r["page_id"]: r["rule"] for r in urlfilter.filter_urls(df, table, max_rules=max_rules).collect()}
+    assert got == {0: "b.com/x", 1: None, 2: "/only", 3: "com/", 4: "b.com/x", 5: "..a.com/", 6: "/only"}
+
+
+def test_top_k_refuses_components_beyond_64_bits(spark):
+    for rows in ([(0, [1e300, 1.0])], [(0, [1.0]), (1, [1.0, 2.0])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="range|length"):
+            topk.top_k(df, df).collect()
