@@ -28,11 +28,11 @@ def windows(words: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("position"), F.slice(words, s + 1, size).alias("words")))
 
 
-def fixed(docs: DataFrame, size: int = FIXED[0], overlap: int = FIXED[1]) -> DataFrame:
-    """Fixed windows: doc_id, chunk_index, chunk_text, position (start word), word_count, overlap_size."""
-    each = docs.select("doc_id", t.words(F.col("text")).alias("w")).select("doc_id", F.posexplode(windows(F.col("w"), size, overlap)).alias("chunk_index", "c"))
+def fixed(docs: DataFrame, size: int = FIXED[0], overlap: int = FIXED[1], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fixed windows: doc_id, chunk_index, chunk_text, position (start word), word_count, overlap_size, and the columns of ``docs`` to ``keep``."""
+    each = docs.select("doc_id", *keep, t.words(F.col("text")).alias("w")).select("doc_id", *keep, F.posexplode(windows(F.col("w"), size, overlap)).alias("chunk_index", "c"))
     return each.select(
-        "doc_id", "chunk_index", F.array_join("c.words", " ").alias("chunk_text"), "c.position", F.size("c.words").alias("word_count"), F.when(F.col("chunk_index") == 0, 0).otherwise(overlap).alias("overlap_size")
+        "doc_id", "chunk_index", F.array_join("c.words", " ").alias("chunk_text"), "c.position", F.size("c.words").alias("word_count"), F.when(F.col("chunk_index") == 0, 0).otherwise(overlap).alias("overlap_size"), *keep
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,42 +43,61 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     return top(block_scores(vectors, queries, k, threshold, inclusive), k, "similarity", "chunk_id")
 
 
-def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(keys, rows): a batch of vectors in one row; null vectors drop out."""
+def _packed(df: DataFrame, key: str, vector: str, pages: str | None = None) -> DataFrame:
+    """(keys, rows, pages): a batch of vectors in one row; null vectors drop out."""
 
     def pack(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.list_(pa.float64())))], ["keys", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns], ["keys", "rows", "pages"])
 
-    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("keys"), F.col(vector).cast("array<double>").alias("rows")).mapInArrow(pack, "keys array<long>, rows array<array<double>>")
+    named = F.lit(None).cast("array<int>") if pages is None else F.col(pages).cast("array<int>")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("keys"), F.col(vector).cast("array<double>").alias("rows"), named.alias("pages"))
+    return rows.mapInArrow(pack, "keys array<long>, rows array<array<double>>, pages array<array<int>>")
 
 
 def unit_rows(rows: pa.Array) -> np.ndarray:
-    """The vectors of one block at length 1 (a zero vector stays zero, so its cosine is 0)."""
-    flat = rows.flatten() if hasattr(rows, "flatten") else rows
-    x = np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
+    """The vectors of one block at length 1 (a zero vector stays zero, so its cosine is 0); vectors of different length are an error."""
+    if len(set(pc.list_value_length(rows).to_pylist())) > 1:
+        raise ValueError("vectors differ in length")
+    x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float).reshape(len(rows), -1)
     size = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def block_scores(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
+def _shared(query_pages: list[int] | None, pages: pa.Array) -> np.ndarray:
+    """Which lists of pages hold one of the query's."""
+    flat, sizes = pages.flatten(), pc.fill_null(pc.list_value_length(pages), 0).to_numpy(zero_copy_only=False)
+    hit = np.isin(flat.to_numpy(zero_copy_only=False), query_pages or [])
+    return np.isin(np.arange(len(pages)), np.repeat(np.arange(len(pages)), sizes)[hit])
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None, inclusive: bool = False, boost: float | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity to nine places): of each query and block of vectors the k best (all with None) that pass the threshold.
 
-    Vectors and queries meet as packed blocks of at most ``BLOCK`` rows, all of one length.
+    Vectors and queries meet as packed blocks of at most ``BLOCK`` rows, all of one length (else an error).  With ``boost`` both sides have
+    ``pages``, and a vector that covers a page of the query gains so much before the k best are taken.
     """
-    asked = _packed(queries, "query_id", "q").toDF("query_keys", "query_rows")
-    pairs = _packed(vectors, "chunk_id", "embedding").crossJoin(small(asked, 64))  # blocks by blocks
+    asked = _packed(queries, "query_id", "q", None if boost is None else "pages").toDF("query_keys", "query_rows", "query_pages")
+    pairs = _packed(vectors, "chunk_id", "embedding", None if boost is None else "pages").crossJoin(small(asked, 64))  # blocks by blocks
 
     def score(batches):
+        met: tuple = (None, None)
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, rows, query_keys, query_rows = (batch.column(c)[i].values for c in range(4))
+                keys, rows, pages, query_keys, query_rows, query_pages = (batch.column(c)[i].values for c in range(6))
+                if met[0] is None or not met[0].equals(rows):  # a block of vectors meets several of queries in turn
+                    met = (rows, unit_rows(rows))
+                asked_rows = unit_rows(query_rows)
+                if len(rows) and len(query_rows) and met[1].shape[1] != asked_rows.shape[1]:
+                    raise ValueError("vectors differ in length")
                 keys, query_keys = keys.to_numpy(), query_keys.to_numpy()
-                s = np.round(unit_rows(query_rows) @ unit_rows(rows).T, 9) + 0.0
+                s = np.round(asked_rows @ met[1].T, 9) + 0.0
                 out = []
                 for q in range(len(query_keys)):
+                    if boost is not None:
+                        s[q] += boost * _shared(query_pages[q].as_py(), pages)
                     at = np.arange(len(keys)) if threshold is None else np.flatnonzero(s[q] >= threshold if inclusive else s[q] > threshold)
                     if k is not None and len(at) > k:
                         least = np.partition(s[q][at], len(at) - k)[len(at) - k]
@@ -157,9 +177,10 @@ def retrieve(scored: DataFrame, threshold: float = 0.3, k: int = 5, fallback: in
     return ranked.withColumn("p", any_pass).where(F.when(F.col("p"), F.col("similarity") >= threshold).otherwise(F.col("rank") <= fallback)).drop("p")
 
 
-def page_boost(similarity: Column, pages: Column, query: Column, boost: float = 0.1) -> Column:
-    """Similarity plus a boost where the query names a page that the chunk covers."""
-    return similarity + F.when(F.arrays_overlap(pages, t.pages_of_query(query)), boost).otherwise(0.0)
+def page_boosted_hits(vectors: DataFrame, queries: DataFrame, k: int, boost: float = 0.1) -> DataFrame:
+    """(query_id, chunk_id, boosted, rank): the k best of ``vectors`` (chunk_id, embedding, pages) for ``queries`` (query_id, q, query), where a chunk gains that covers a page which the query names."""
+    asked = queries.withColumn("pages", t.pages_of_query(F.col("query")))
+    return top(block_scores(vectors, asked, k, boost=boost).withColumnRenamed("similarity", "boosted"), k, "boosted", "chunk_id")
 
 
 def first_per_document(hits: DataFrame) -> DataFrame:
@@ -191,17 +212,21 @@ def similar_query(content: Column, filename: Column, n: int = 50) -> Column:
     return F.when(F.length(first) > 0, first).otherwise(filename)
 
 
-def readable(hits: DataFrame, documents: DataFrame, k: int, before: bool = False) -> DataFrame:
-    """Ranked hits (query_id, user_id, document_id, rank) that their asker may read: documents (document_id, owner), own ones or all where ``user_id`` is null.
+def readable(matches: DataFrame, documents: DataFrame, k: int, before: bool = False) -> DataFrame:
+    """Ranked matches (query_id, user_id, document_id, chunk_id, text_rank) that their asker may read: documents (document_id, owner), own ones or all where ``user_id`` is null.
 
-    The check follows the cut to ``k`` (so fewer may come back), or precedes it with ``before``; ranks are those of ``hits``.
+    The check follows the cut to ``k`` (so fewer may come back), or precedes it with ``before``; ``rank`` is the place among all matches
+    of the query either way.  No query's matches are sorted as a whole: the few that stay are placed by counting those ahead of them.
     """
-    cut = hits if before else hits.where(F.col("rank") <= k)
-    seen = cut.join(documents.select("document_id", "owner"), "document_id").where(F.col("user_id").isNull() | (F.col("owner") == F.col("user_id"))).drop("owner")
+    may = F.col("user_id").isNull() | (F.col("owner") == F.col("user_id"))
+    owners = documents.select("document_id", "owner")
     if not before:
-        return seen
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        return top(matches, k, "text_rank", "chunk_id").join(owners, "document_id").where(may).drop("owner")
+    stay = top(matches.join(owners, "document_id").where(may).drop("owner"), k, "text_rank", "chunk_id").drop("rank")
+    mine = small(stay.select("query_id", F.col("chunk_id").alias("_c"), F.col("text_rank").alias("_r")))
+    ahead = (F.col("text_rank") > F.col("_r")) | ((F.col("text_rank") == F.col("_r")) & (F.col("chunk_id") <= F.col("_c")))
+    places = matches.select("query_id", "chunk_id", "text_rank").join(mine, "query_id").groupBy("query_id", "_c").agg(F.count_if(ahead).cast("int").alias("rank"))
+    return stay.join(places.withColumnRenamed("_c", "chunk_id"), ["query_id", "chunk_id"])
 
 
 def similar_documents(vector: DataFrame, text: DataFrame, recent: DataFrame, k: int = 10) -> DataFrame:

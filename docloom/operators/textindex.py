@@ -2,7 +2,7 @@
 
 ``build`` writes, once, below a folder:
 
-* ``postings``: one row per term and block of chunks (a block is all chunks of some documents, by a hash of their id), with
+* ``postings``: one row per term and block of chunks (a block is at most ``BLOCK`` chunks that were read together), with
   the chunks that hold the term, the places of the term in each, each chunk's length, and the block's best impact; partitioned by
   a hash of the term and sorted by term, so a search opens the folders of its terms and skips the row groups of others;
 * ``terms``: document frequencies; ``facts``: number of chunks, mean length, settings, and the mark that the index is whole.
@@ -16,8 +16,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,9 @@ FRENCH = ("au", "aux", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "e
 LANGUAGES = {"en": STOP, "fr": FRENCH}
 #: BM25's saturation and length weights, chunks of a block, hash partitions of the terms.
 K1, B, BLOCK, BUCKETS = 1.2, 0.75, 4096, 64
+#: Columns of the postings (besides their bucket): a row is one term in one block.
+ENTRIES = "entries array<struct<chunk_id:bigint,length:int,n:int,places:array<int>>>"
+PARTS, POSTINGS = f"term string, block bigint, df bigint, {ENTRIES}", f"term string, block bigint, best double, df bigint, {ENTRIES}"
 #: Blocks that a BM25 search reads first, best bound first.
 SEEDS = 2
 
@@ -58,7 +66,7 @@ class Index:
     facts: dict
 
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema("term string, df bigint").parquet(f"{self.path}/terms")
 
     def postings(self, asked: DataFrame) -> DataFrame:
         """Posting rows of the asked terms (column ``term``): only the folders of their hash are opened.
@@ -66,12 +74,12 @@ class Index:
         The hashes are at most ``buckets`` numbers.
         """
         folders = sorted(r[0] for r in asked.select(bucket(F.col("term"), self.facts["buckets"])).distinct().collect())
-        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(folders))
+        rows = self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.path}/postings").where(F.col("bucket").isin(folders))
         return rows.join(small(asked.select("term").distinct()), "term", "left_semi")
 
 
 def build(chunks: DataFrame, path: str, block: int = BLOCK, buckets: int = BUCKETS) -> Index:
-    """Index of chunks (chunk_id, document_id, chunk_text, language); an index that is whole at ``path`` is opened, not built again.
+    """Index of chunks (chunk_id, chunk_text, language); an index that is whole at ``path`` is opened, not built again.
 
     Null texts hold no words and count as chunks; a chunk id must be given once; other columns are not read.
     """
@@ -79,25 +87,64 @@ def build(chunks: DataFrame, path: str, block: int = BLOCK, buckets: int = BUCKE
     store = Store(spark, path)
     if store.exists("facts.json"):
         return Index(spark, path, json.loads(store.read("facts.json")))
-    w = F.coalesce(words(F.col("chunk_text")), F.array().cast("array<string>"))
-    cut = chunks.select("chunk_id", "document_id", "language", w.alias("w"))
-    sized = cut.select("*", F.size(kept(F.col("w"), F.col("language"))).alias("length"), F.size(kept(F.col("w"), F.lit("en"))).alias("n"))
-    told = sized.agg(F.count("*").alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).first()
-    facts = {"chunks": told["chunks"], "mean_length": told["mean"], "buckets": buckets, "blocks": max(1, math.ceil(told["chunks"] / block))}
-    at = F.pmod(F.xxhash64("document_id"), F.lit(facts["blocks"])).cast("int")
-    places = sized.select("chunk_id", "length", "n", at.alias("block"), F.posexplode("w").alias("place", "term"))
-    # dealt by term and block once: both groupings below are within that
-    dealt = places.repartition("term", "block")
-    each = dealt.groupBy("term", "block", "chunk_id", "length", "n").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    impact = F.size("places") / (F.size("places") + K1 * (1 - B + B * F.col("length") / max(facts["mean_length"], 1e-9)))
-    rows = each.groupBy("term", "block").agg(F.max(impact).alias("best"), F.count("*").alias("df"), F.collect_list(F.struct("chunk_id", "length", "n", "places")).alias("entries"))
-    placed = rows.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "block")
+    work = Scratch(spark, "textindex")
+    cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("language").cast("string").alias("language"), words(F.col("chunk_text")).alias("w"))
+    parts = work.write(cut.mapInArrow(lambda batches: _inverted(batches, block), f"{PARTS}, tokens bigint"), "parts")
+    told = parts.agg(F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("df"))), F.lit(0)).alias("chunks"), F.count_if(F.col("term").isNull()).alias("blocks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    facts = {"chunks": told["chunks"], "blocks": told["blocks"], "buckets": buckets, "mean_length": told["tokens"] / max(told["chunks"], 1)}
+    impact = F.transform("entries", lambda e: F.size(e["places"]) / (F.size(e["places"]) + K1 * (1 - B + B * e["length"] / max(facts["mean_length"], 1e-9))))
+    rows = parts.where(F.col("term").isNotNull()).select("term", "block", F.array_max(impact).alias("best"), "df", "entries", bucket(F.col("term"), buckets).alias("bucket"))
+    # a bucket is as many files as there are sixteens of blocks, so a term of a third of all chunks is not one task's
+    spread = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-facts["blocks"] // 16))))
+    placed = rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(store.at("postings"))
-    spark.read.parquet(store.at("postings")).groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(store.at("terms"))
+    work.remove("parts")
+    spark.read.schema(POSTINGS).parquet(store.at("postings")).groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(store.at("terms"))
     store.create("facts.json", json.dumps(facts))  # last: the mark of a whole index
     return Index(spark, path, facts)
 
 
+def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa.RecordBatch]:
+    """Posting rows of chunks (chunk_id, language, w), a block of chunks at a time: its words sorted by term, chunk and place at once.
+
+    ``length`` counts a chunk's words that are no stop words of its language, ``n`` those that are no English ones; ``tokens`` adds up the first.
+    A row without a term tells a block's number of chunks (as ``df``).
+    """
+    names = ["term", "block", "df", "entries", "tokens"]
+    kind = pa.list_(pa.struct([("chunk_id", pa.int64()), ("length", pa.int32()), ("n", pa.int32()), ("places", pa.list_(pa.int32()))]))
+    block = TaskContext.get().partitionId() << 32
+    for batch in (whole.slice(k, block_size) for whole in batches for k in range(0, whole.num_rows, block_size)):
+        block += 1
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([batch.num_rows]), pa.array([[]], kind), pa.array([0])], names=names)
+        chunk, language, w = batch.columns
+        sizes = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = w.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        term = coded.indices.to_numpy().astype(np.int64)
+        stop = {k: np.asarray(pc.is_in(coded.dictionary, pa.array(v, pa.string()))) for k, v in LANGUAGES.items()}
+        english = ~stop["en"][term]
+        counted = np.ones(len(row), bool)
+        for k, dropped in stop.items():
+            counted &= ~(dropped[term] & np.asarray(pc.fill_null(pc.equal(language, k), False))[row])
+        length, n = (np.bincount(row, weights=x, minlength=len(sizes)).astype(np.int32) for x in (counted, english))
+        order = np.lexsort((row, term))  # stable: places stay in order
+        term, row, place, counted = term[order], row[order], place[order].astype(np.int32), counted[order]
+        new_term = np.concatenate([[True], term[1:] != term[:-1]])
+        entry = np.flatnonzero(new_term | np.concatenate([[True], row[1:] != row[:-1]]))
+        first = np.flatnonzero(new_term[entry])
+        own = row[entry]
+        places = pa.ListArray.from_arrays(pa.array(np.append(entry, len(row)), pa.int32()), pa.array(place))
+        entries = pa.StructArray.from_arrays([chunk.take(pa.array(own)), pa.array(length[own]), pa.array(n[own]), places], ["chunk_id", "length", "n", "places"])
+        bounds = np.append(first, len(entry))
+        yield pa.RecordBatch.from_arrays([
+            coded.dictionary.take(pa.array(term[entry[first]])), pa.array(np.full(len(first), block)), pa.array(np.diff(bounds)),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries), pa.array(np.add.reduceat(counted.astype(np.int64), entry[first])),
+        ], names=names)
+
+
 def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame:
     """(query_id, term, offset, need) of queries (query_id, query): each word that is no stop word of the language (English by default) at its place, and how many there are."""
     w = words(F.col("query"))

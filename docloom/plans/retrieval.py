@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.functions.vectors import mean_pool
-from docloom.operators import chunking, search
+from docloom.operators import chunking, search, textindex
 from docloom.plans.registry import SEARCHES, VECTORS, query
+from docloom.sources.shared import Store, shared_dir
 from docloom.sources.tables import embeddings, searches, table
 
 #: Chunk ids of one document.
@@ -31,6 +34,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select((F.col("doc_id") * F.lit(SPAN) + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_text", "word_count")
 
 
+def index(spark: SparkSession, sf: str) -> textindex.Index:
+    """The text index over the windows of ``chunks``, with each document's language; built once a session and place."""
+    place = f"{shared_dir(spark)}/docloom-index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}"
+    Store(spark, place).keep_until_exit()
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)  # a few files, perhaps of one row group each
+    made = chunking.fixed(docs, 100, 20, ("language",))
+    return textindex.build(made.select((F.col("doc_id") * F.lit(SPAN) + F.col("chunk_index")).alias("chunk_id"), "chunk_text", "language"), place)
+
+
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     """Queries of the benchmark's first two significant words each."""
     b = table(spark, sf, "benchmark")
@@ -138,11 +152,11 @@ _CUTS = f"""(WITH c AS (SELECT doc_id, 'fixed_size' AS strategy, word_count AS n
 
 @query(f"""WITH m AS (SELECT doc_id, strategy, count(*) AS chunks, avg(n) AS a, stddev_pop(n) AS sd, avg(CAST(boundary AS INT)) AS b FROM {_CUTS} GROUP BY 1, 2),
   q AS (SELECT *, 0.3 * least(a / 800, 1) + 0.2 * greatest(0, 1 - CASE WHEN chunks < 2 OR a = 0 THEN 0 ELSE sd / a END) + 0.3 * b + 0.14 AS overall FROM m)
-  SELECT doc_id, strategy, chunks, round(overall, 6) AS overall, round(CASE WHEN strategy IN ('fixed_size', 'hybrid') THEN least(a / 800, 1) ELSE b END, 6) AS suitability,
+  SELECT doc_id, strategy, chunks, round(overall, 9) AS overall, round(CASE WHEN strategy IN ('fixed_size', 'hybrid') THEN least(a / 800, 1) ELSE b END, 9) AS suitability,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(overall, 9) DESC, list_position({list(chunking.ORDER)}, strategy)) AS INT) AS place FROM q""")
 def strategy_compare(spark: SparkSession, sf: str) -> DataFrame:
     c = chunking.compare(table(spark, sf, "documents"))
-    return c.withColumn("overall", F.round("overall", 6)).withColumn("suitability", F.round("suitability", 6))
+    return c.withColumn("overall", F.round("overall", 9)).withColumn("suitability", F.round("suitability", 9))
 
 
 @query(f"SELECT doc_id, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS words FROM {_CUTS} WHERE strategy = 'hybrid' GROUP BY doc_id")
@@ -213,12 +227,12 @@ TEXT_HITS = f"""(SELECT query_id, chunk_id, tf / (1 + ln(n)) AS text_rank FROM (
 
 @query(f"SELECT query_id, count(*) AS matches FROM {TEXT_HITS} GROUP BY query_id")
 def text_match_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return search.text_matches(chunks(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count("*").alias("matches"))
+    return textindex.text_matches(index(spark, sf), asked(spark, sf)).groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
 @query(f"SELECT query_id, chunk_id, round(text_rank, 6) AS text_rank, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS INT) AS rank FROM {TEXT_HITS}) WHERE rank <= 10")
 def text_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.text_hits(chunks(spark, sf), asked(spark, sf), 10).withColumn("text_rank", F.round("text_rank", 6))
+    return search.top(textindex.text_matches(index(spark, sf), asked(spark, sf)), 10, "text_rank", "chunk_id").withColumn("text_rank", F.round("text_rank", 6))
 
 
 _ITEM_VECTORS = f"(SELECT b.item_id AS query_id, e.embedding AS q FROM benchmark b JOIN {VECTORS} e ON e.chunk_id = b.item_id)"
@@ -231,7 +245,7 @@ def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     vectors, items = embeddings(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     asked_items = vectors.join(items, vectors["chunk_id"] == items["query_id"]).select("query_id", F.col("embedding").alias("q"))
     v = search.vector_hits(vectors, asked_items, 20, 0.2)
-    x = search.text_matches(chunks(spark, sf), asked(spark, sf)).groupBy("query_id", F.floor(F.col("chunk_id") / SPAN).alias("chunk_id")).agg(F.max("text_rank").alias("text_rank"))
+    x = textindex.text_matches(index(spark, sf), asked(spark, sf)).groupBy("query_id", F.floor(F.col("chunk_id") / SPAN).alias("chunk_id")).agg(F.max("text_rank").alias("text_rank"))
     return v, search.top(x, 20, "text_rank", "chunk_id")
 
 
@@ -264,13 +278,13 @@ def similar_docs(spark: SparkSession, sf: str) -> DataFrame:
   FROM k JOIN {CHUNK_SQL} c USING (chunk_id) JOIN documents d ON d.doc_id = c.document_id WHERE rank <= 3) SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id""")
 def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
     made, docs = chunks(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("lang").alias("section_title"))
-    hits = search.text_hits(made, asked(spark, sf), 3).join(made, "chunk_id").join(docs, "document_id")
+    hits = search.top(textindex.text_matches(index(spark, sf), asked(spark, sf)), 3, "text_rank", "chunk_id").join(made, "chunk_id").join(docs, "document_id")
     return search.context(hits.withColumn("page_numbers", F.array((F.col("chunk_id") % SPAN + 1).cast("int"))))
 
 
 @query(f"""SELECT query_id, count(*) AS documents, min(chunk_id) AS first_chunk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_rank DESC, chunk_id) AS r FROM {TEXT_HITS}) WHERE r <= 5 GROUP BY query_id""")
 def batch_benchmark_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.text_hits(chunks(spark, sf), asked(spark, sf), 5).groupBy("query_id").agg(F.count("*").alias("documents"), F.min("chunk_id").alias("first_chunk"))
+    return search.top(textindex.text_matches(index(spark, sf), asked(spark, sf)), 5, "text_rank", "chunk_id").groupBy("query_id").agg(F.count("*").alias("documents"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query(f"SELECT search_type, count(*) AS searches, round(coalesce(avg(response_time_ms), 0), 6) AS avg_ms, round(coalesce(avg(result_count), 0), 6) AS avg_results FROM {SEARCHES} GROUP BY search_type")
@@ -301,8 +315,8 @@ _ACL_USER = "CASE WHEN query_id % 3 > 0 THEN query_id % 150 END"
   SELECT query_id, document_id, rank, 'before' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM a WHERE u IS NULL OR document_id % 5 = u % 5) WHERE r <= 10""")
 def acl_search(spark: SparkSession, sf: str) -> DataFrame:
     """Text search by people who may read the documents of their own fifth, checked after and before the cut to ten."""
-    hits = search.top(search.text_matches(chunks(spark, sf), asked(spark, sf)), None, "text_rank", "chunk_id")
-    hits = hits.select("query_id", F.when(F.col("query_id") % 3 > 0, F.col("query_id") % 150 % 5).alias("user_id"), F.floor(F.col("chunk_id") / SPAN).alias("document_id"), "rank")
+    hits = textindex.text_matches(index(spark, sf), asked(spark, sf))
+    hits = hits.select("query_id", F.when(F.col("query_id") % 3 > 0, F.col("query_id") % 150 % 5).alias("user_id"), F.floor(F.col("chunk_id") / SPAN).alias("document_id"), "chunk_id", "text_rank")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 5).alias("owner"))
     both = [search.readable(hits, docs, 10, before).select("query_id", "document_id", "rank", F.lit(form).alias("form")) for form, before in (("after", False), ("before", True))]
     return both[0].unionByName(both[1])
@@ -333,9 +347,10 @@ def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT query_id, chunk_id, similarity + CASE WHEN chunk_id % 9 IN (1, 7) THEN 0.1 ELSE 0 END AS boosted FROM {VSCORE}) QUALIFY rank <= 5""")
 def page_boosted(spark: SparkSession, sf: str) -> DataFrame:
     """Vector search where the question names pages 1 and 7 and a chunk lies on page ``chunk_id % 9``."""
-    scored = search.block_scores(embeddings(spark, sf), asked_vectors(spark, sf), None)
-    boosted = search.page_boost(F.col("similarity"), F.array((F.col("chunk_id") % 9).cast("int")), F.lit("what do page 7 and p. 1 say"))
-    return search.top(scored.select("query_id", "chunk_id", boosted.alias("boosted")), 5, "boosted", "chunk_id").withColumn("boosted", F.round("boosted", 6))
+    pages = F.array((F.col("chunk_id") % 9).cast("int"))
+    asked_pages = asked_vectors(spark, sf).withColumn("query", F.lit("what do page 7 and p. 1 say"))
+    hits = search.page_boosted_hits(embeddings(spark, sf).withColumn("pages", pages), asked_pages, 5)
+    return hits.select("query_id", "chunk_id", F.round("boosted", 6).alias("boosted"), "rank")
 
 
 @query("""SELECT doc_id, '• ' || source || CASE WHEN doc_id % 3 > 0 THEN ' (Page(s): ' || (doc_id % 3) || ', ' || (doc_id % 3 + 4) || ')' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' - Section: ' || lang ELSE '' END AS line FROM documents""")

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import textindex
 from docloom.plans.registry import query
-from docloom.plans.retrieval import CHUNK_SQL, chunks
-from docloom.sources.shared import Store, shared_dir
+from docloom.plans.retrieval import CHUNK_SQL, index
 from docloom.sources.tables import table
 
 
-def index(spark: SparkSession, sf: str) -> textindex.Index:
-    """The index over the windows of 100 words of ``documents``, with each document's language; built once a session and place."""
-    place = f"{shared_dir(spark)}/docloom-index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}"
-    Store(spark, place).keep_until_exit()
-    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("language"))
-    return textindex.build(chunks(spark, sf).join(lang, "document_id"), place)
-
-
 def _asked(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
     """Words ``first`` to ``last`` of every benchmark item as queries."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(textindex.words(F.col("text")), first, last - first + 1), " ").alias("query"))

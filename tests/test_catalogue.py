@@ -23,12 +23,16 @@ def duck(sf_dir):
     return con
 
 
+#: Places to which the engines' last bits may differ; more than any query rounds to, so a row that they round apart is a difference.
+PLACES = 10
+
+
 def plain(x):
     """A value without the types' differences between the engines."""
     if isinstance(x, Decimal):
         x = float(x)
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else round(x, PLACES) + 0.0
     if isinstance(x, bool) or x is None:
         return x
     if isinstance(x, datetime):
