@@ -6,7 +6,7 @@ import importlib
 
 from docloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("relational", "retrieval", "textsearch", "scoring", "feedback", "relations", "streams", "tables", "multidoc", "upkeep", "stores")
+MODULES = ("relational", "retrieval", "textsearch", "scoring", "feedback", "relations", "streams", "tables", "multidoc", "upkeep", "stores", "layout")
 for _name in MODULES:
     importlib.import_module(f"docloom.plans.{_name}")
 
