@@ -83,15 +83,17 @@ def pending(documents: DataFrame) -> DataFrame:
 
 
 def changed(documents: DataFrame, known: DataFrame, key: str = "id", stamp: str = "content_hash") -> DataFrame:
-    """New documents and those whose stamp differs from the known one (key, stamp): what an incremental run takes."""
-    return documents.join(known.select(key, stamp), [key, stamp], "left_anti")
+    """New documents and those whose stamp differs from the known one (key, stamp): what an incremental run takes; a null stamp that is known as null has not changed."""
+    seen = known.select(F.col(key).alias("_key"), F.col(stamp).alias("_stamp"))
+    return documents.join(seen, (F.col(key) == F.col("_key")) & F.col(stamp).eqNullSafe(F.col("_stamp")), "left_anti")
 
 
 def rechunk(documents: DataFrame, old: DataFrame, chunker) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) after chunking all documents (doc_id, text, status) with a text whose status is extracted or not processed: their chunks are replaced, their status becomes chunked."""
     due = (F.length("text") > 0) & F.col("status").isin("extracted", "not processed")
     made = chunker(documents.where(due).select("doc_id", "text")).select(old.columns)
-    return documents.withColumn("status", F.when(due, "chunked").otherwise(F.col("status"))), replace_children(old, made, "doc_id")
+    stay = old.join(documents.where(due).select("doc_id").distinct(), "doc_id", "left_anti").select(old.columns)  # a text without any chunk loses its old ones too
+    return documents.withColumn("status", F.when(due, "chunked").otherwise(F.col("status"))), stay.unionByName(made)
 
 
 def backfill(rows: DataFrame, column: str, value: Column) -> DataFrame:

@@ -3,9 +3,9 @@
 ``build`` writes, once, below a folder:
 
 * ``postings``: one row per term and block of chunks (a block is at most ``BLOCK`` chunks that were read together), with
-  the chunks that hold the term, the places of the term in each, each chunk's length, and the block's best impact; partitioned by
+  the chunks that hold the term, the places of the term in each, each chunk's length, and the block's largest frequency and smallest length; partitioned by
   a hash of the term and sorted by term, so a search opens the folders of its terms and skips the row groups of others;
-* ``terms``: document frequencies; ``facts``: number of chunks, mean length, settings, and the mark that the index is whole.
+* ``terms``: document frequencies; ``facts``: number of chunks, mean length, and the mark that the index is whole.
 
 Every word is a posting, stop words too (each term is apart on disk, so a search that does not ask for them never meets
 them): phrases may hold them, and each document's language says which words a search drops.
@@ -33,11 +33,10 @@ from docloom.sources.shared import Scratch, Store
 FRENCH = ("au", "aux", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "et", "il", "je", "la", "le", "les", "leur", "mais", "ne", "nous", "on", "ou", "par", "pas", "pour", "qui", "que", "se", "sur", "un", "une", "vous")
 #: Stop words by language; other languages have none.
 LANGUAGES = {"en": STOP, "fr": FRENCH}
-#: BM25's saturation and length weights, chunks of a block, hash partitions of the terms.
-K1, B, BLOCK, BUCKETS = 1.2, 0.75, 4096, 64
+#: BM25's saturation and length weights, chunks of a block, hash partitions of the terms and files of each.
+K1, B, BLOCK, BUCKETS, SPREAD = 1.2, 0.75, 4096, 64, 4
 #: Columns of the postings (besides their bucket): a row is one term in one block.
-ENTRIES = "entries array<struct<chunk_id:bigint,length:int,n:int,places:array<int>>>"
-PARTS, POSTINGS = f"term string, block bigint, df bigint, {ENTRIES}", f"term string, block bigint, best double, df bigint, {ENTRIES}"
+POSTINGS = """term string, block bigint, df bigint, tokens bigint, most int, least int, entries array<struct<chunk_id:bigint,length:int,n:int,places:array<int>>>"""
 #: Blocks that a BM25 search reads first, best bound first.
 SEEDS = 2
 
@@ -87,19 +86,16 @@ def build(chunks: DataFrame, path: str, block: int = BLOCK, buckets: int = BUCKE
     store = Store(spark, path)
     if store.exists("facts.json"):
         return Index(spark, path, json.loads(store.read("facts.json")))
-    work = Scratch(spark, "textindex")
     cut = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("language").cast("string").alias("language"), words(F.col("chunk_text")).alias("w"))
-    parts = work.write(cut.mapInArrow(lambda batches: _inverted(batches, block), f"{PARTS}, tokens bigint"), "parts")
-    told = parts.agg(F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("df"))), F.lit(0)).alias("chunks"), F.count_if(F.col("term").isNull()).alias("blocks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    rows = cut.mapInArrow(lambda batches: _inverted(batches, block), POSTINGS).withColumn("bucket", bucket(F.col("term"), buckets))
+    # a bucket is SPREAD files, so a term of a third of all chunks is not one task's
+    placed = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(store.at("postings"))
+    whole = spark.read.schema(f"{POSTINGS}, bucket int").parquet(store.at("postings"))
+    terms = whole.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
+    terms.write.mode("overwrite").parquet(store.at("terms"))
+    told = whole.agg(F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("df"))), F.lit(0)).alias("chunks"), F.count_if(F.col("term").isNull()).alias("blocks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     facts = {"chunks": told["chunks"], "blocks": told["blocks"], "buckets": buckets, "mean_length": told["tokens"] / max(told["chunks"], 1)}
-    impact = F.transform("entries", lambda e: F.size(e["places"]) / (F.size(e["places"]) + K1 * (1 - B + B * e["length"] / max(facts["mean_length"], 1e-9))))
-    rows = parts.where(F.col("term").isNotNull()).select("term", "block", F.array_max(impact).alias("best"), "df", "entries", bucket(F.col("term"), buckets).alias("bucket"))
-    # a bucket is as many files as there are sixteens of blocks, so a term of a third of all chunks is not one task's
-    spread = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-facts["blocks"] // 16))))
-    placed = rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(store.at("postings"))
-    work.remove("parts")
-    spark.read.schema(POSTINGS).parquet(store.at("postings")).groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(store.at("terms"))
     store.create("facts.json", json.dumps(facts))  # last: the mark of a whole index
     return Index(spark, path, facts)
 
@@ -110,12 +106,13 @@ def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa
     ``length`` counts a chunk's words that are no stop words of its language, ``n`` those that are no English ones; ``tokens`` adds up the first.
     A row without a term tells a block's number of chunks (as ``df``).
     """
-    names = ["term", "block", "df", "entries", "tokens"]
+    names = ["term", "block", "df", "tokens", "most", "least", "entries"]
+    none = pa.array([0], pa.int32())
     kind = pa.list_(pa.struct([("chunk_id", pa.int64()), ("length", pa.int32()), ("n", pa.int32()), ("places", pa.list_(pa.int32()))]))
     block = TaskContext.get().partitionId() << 32
     for batch in (whole.slice(k, block_size) for whole in batches for k in range(0, whole.num_rows, block_size)):
         block += 1
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([batch.num_rows]), pa.array([[]], kind), pa.array([0])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([batch.num_rows]), pa.array([0]), none, none, pa.array([[]], kind)], names=names)
         chunk, language, w = batch.columns
         sizes = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = w.flatten().dictionary_encode()
@@ -135,13 +132,13 @@ def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa
         new_term = np.concatenate([[True], term[1:] != term[:-1]])
         entry = np.flatnonzero(new_term | np.concatenate([[True], row[1:] != row[:-1]]))
         first = np.flatnonzero(new_term[entry])
-        own = row[entry]
+        own, tf = row[entry], np.diff(np.append(entry, len(row)))
         places = pa.ListArray.from_arrays(pa.array(np.append(entry, len(row)), pa.int32()), pa.array(place))
         entries = pa.StructArray.from_arrays([chunk.take(pa.array(own)), pa.array(length[own]), pa.array(n[own]), places], ["chunk_id", "length", "n", "places"])
         bounds = np.append(first, len(entry))
         yield pa.RecordBatch.from_arrays([
-            coded.dictionary.take(pa.array(term[entry[first]])), pa.array(np.full(len(first), block)), pa.array(np.diff(bounds)),
-            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries), pa.array(np.add.reduceat(counted.astype(np.int64), entry[first])),
+            coded.dictionary.take(pa.array(term[entry[first]])), pa.array(np.full(len(first), block)), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(counted.astype(np.int64), entry[first])),
+            pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(length[own], first)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries),
         ], names=names)
 
 
@@ -200,16 +197,21 @@ def _weighted(index: Index, queries: DataFrame, language: Column | None) -> Data
 
 def bm25_bounds(index: Index, weighted: DataFrame) -> DataFrame:
     """(query_id, block, bound): what no chunk of a block can exceed; blocks without any of the words are not listed."""
-    best = index.postings(weighted).select("term", "block", "best")  # a few short columns
+    best = index.postings(weighted).select("term", "block", (F.col("most") / (F.col("most") + _room(index, F.col("least")))).alias("best"))  # a few short columns
     return best.join(small(weighted), "term").groupBy("query_id", "block").agg((F.sum(F.col("weight") * F.col("best")) * (1 + 1e-9)).alias("bound"))
 
 
+def _room(index: Index, length: Column) -> Column:
+    """What BM25 adds to a frequency below the fraction, by the chunk's length."""
+    return K1 * (1 - B + B * length / max(index.facts["mean_length"], 1e-9))
+
+
 def _scores(index: Index, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks of the (query_id, block) ``pairs``; entries of other blocks are dropped before they are unpacked."""
     wanted = weighted.join(pairs, "query_id").select("query_id", "term", "block", "weight")
     rows = index.postings(weighted).join(small(wanted), ["term", "block"]).select("query_id", "weight", F.inline("entries"))
     tf = F.size("places")
-    part = F.col("weight") * tf / (tf + K1 * (1 - B + B * F.col("length") / max(index.facts["mean_length"], 1e-9)))
+    part = F.col("weight") * tf / (tf + _room(index, F.col("length")))
     return rows.select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
