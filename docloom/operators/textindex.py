@@ -36,7 +36,8 @@ LANGUAGES = {"en": STOP, "fr": FRENCH}
 #: BM25's saturation and length weights, chunks of a block, hash partitions of the terms and files of each.
 K1, B, BLOCK, BUCKETS, SPREAD = 1.2, 0.75, 4096, 64, 4
 #: Columns of the postings (besides their bucket): a row is one term in one block.
-POSTINGS = """term string, block bigint, df bigint, tokens bigint, most int, least int, entries array<struct<chunk_id:bigint,length:int,n:int,places:array<int>>>"""
+#: Chunks, their lengths and the ends of their places lie in arrays of equal length; all places follow each other in one.
+POSTINGS = "term string, block bigint, df bigint, tokens bigint, most int, least int, chunks array<bigint>, lengths array<int>, ns array<int>, ends array<int>, places array<int>"
 #: Blocks that a BM25 search reads first, best bound first.
 SEEDS = 2
 
@@ -106,13 +107,12 @@ def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa
     ``length`` counts a chunk's words that are no stop words of its language, ``n`` those that are no English ones; ``tokens`` adds up the first.
     A row without a term tells a block's number of chunks (as ``df``).
     """
-    names = ["term", "block", "df", "tokens", "most", "least", "entries"]
-    none = pa.array([0], pa.int32())
-    kind = pa.list_(pa.struct([("chunk_id", pa.int64()), ("length", pa.int32()), ("n", pa.int32()), ("places", pa.list_(pa.int32()))]))
+    names = ["term", "block", "df", "tokens", "most", "least", "chunks", "lengths", "ns", "ends", "places"]
+    none = [pa.array([0], pa.int32())] * 2 + [pa.array([[]], pa.list_(t)) for t in (pa.int64(), *[pa.int32()] * 4)]
     block = TaskContext.get().partitionId() << 32
     for batch in (whole.slice(k, block_size) for whole in batches for k in range(0, whole.num_rows, block_size)):
         block += 1
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([batch.num_rows]), pa.array([0]), none, none, pa.array([[]], kind)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([block]), pa.array([batch.num_rows]), pa.array([0]), *none], names=names)
         chunk, language, w = batch.columns
         sizes = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = w.flatten().dictionary_encode()
@@ -133,15 +133,29 @@ def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa
         entry = np.flatnonzero(new_term | np.concatenate([[True], row[1:] != row[:-1]]))
         first = np.flatnonzero(new_term[entry])
         own, tf = row[entry], np.diff(np.append(entry, len(row)))
-        places = pa.ListArray.from_arrays(pa.array(np.append(entry, len(row)), pa.int32()), pa.array(place))
-        entries = pa.StructArray.from_arrays([chunk.take(pa.array(own)), pa.array(length[own]), pa.array(n[own]), places], ["chunk_id", "length", "n", "places"])
-        bounds = np.append(first, len(entry))
+        bounds = pa.array(np.append(first, len(entry)), pa.int32())
+        ends = np.cumsum(tf)
+        before = np.repeat(entry[first], np.diff(np.append(first, len(entry))))  # places of earlier terms
+        lists = [pa.ListArray.from_arrays(bounds, x) for x in (chunk.take(pa.array(own)), pa.array(length[own]), pa.array(n[own]), pa.array((ends - before).astype(np.int32)))]
         yield pa.RecordBatch.from_arrays([
-            coded.dictionary.take(pa.array(term[entry[first]])), pa.array(np.full(len(first), block)), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(counted.astype(np.int64), entry[first])),
-            pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(length[own], first)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries),
+            coded.dictionary.take(pa.array(term[entry[first]])), pa.array(np.full(len(first), block)), pa.array(np.diff(np.append(first, len(entry)))), pa.array(np.add.reduceat(counted.astype(np.int64), entry[first])),
+            pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(length[own], first)), *lists,
+            pa.ListArray.from_arrays(pa.array(np.append(entry[first], len(row)), pa.int32()), pa.array(place)),
         ], names=names)
 
 
+def entries(places: bool = False) -> Column:
+    """A posting row's arrays as structs (chunk_id, length, n, tf, and places if asked for)."""
+    begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+
+    def one(c: Column, i: Column) -> Column:
+        tf = F.get("ends", i) - begin(i)
+        own = [F.slice("places", begin(i) + 1, tf).alias("places")] if places else []
+        return F.struct(c.alias("chunk_id"), F.get("lengths", i).alias("length"), F.get("ns", i).alias("n"), tf.alias("tf"), *own)
+
+    return F.transform("chunks", one)
+
+
 def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame:
     """(query_id, term, offset, need) of queries (query_id, query): each word that is no stop word of the language (English by default) at its place, and how many there are."""
     w = words(F.col("query"))
@@ -152,8 +166,8 @@ def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame
 
 def _holding(index: Index, asked: DataFrame) -> DataFrame:
     """(query_id, chunk_id, found: [(offset, term, places)]) of the chunks that hold every word of a query."""
-    entries = index.postings(asked).select("term", F.inline("entries"))
-    met = entries.join(small(asked), "term").groupBy("query_id", "chunk_id", "need").agg(F.collect_list(F.struct("offset", "term", "places")).alias("found"))
+    held = index.postings(asked).select("term", F.inline(entries(True)))
+    met = held.join(small(asked), "term").groupBy("query_id", "chunk_id", "need").agg(F.collect_list(F.struct("offset", "term", "places")).alias("found"))
     return met.where(F.size(F.array_distinct(F.transform("found", lambda x: x["term"]))) == F.col("need"))
 
 
@@ -183,8 +197,8 @@ def near_search(index: Index, queries: DataFrame, distance: int, language: Colum
 def text_matches(index: Index, queries: DataFrame) -> DataFrame:
     """What ``search.text_matches`` gives over the indexed chunks: (query_id, chunk_id, text_rank) of chunks that hold all words of a query."""
     asked = asked_terms(queries).select("query_id", "term", "need").distinct()
-    entries = index.postings(asked).select("term", F.inline("entries"))
-    found = entries.join(small(asked), "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum(F.size("places")).alias("tf"))
+    held = index.postings(asked).select("term", F.inline(entries()))
+    found = held.join(small(asked), "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
     return found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
 
 
@@ -209,8 +223,8 @@ def _room(index: Index, length: Column) -> Column:
 def _scores(index: Index, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks of the (query_id, block) ``pairs``; entries of other blocks are dropped before they are unpacked."""
     wanted = weighted.join(pairs, "query_id").select("query_id", "term", "block", "weight")
-    rows = index.postings(weighted).join(small(wanted), ["term", "block"]).select("query_id", "weight", F.inline("entries"))
-    tf = F.size("places")
+    rows = index.postings(weighted).join(small(wanted), ["term", "block"]).select("query_id", "weight", F.inline(entries()))
+    tf = F.col("tf")
     part = F.col("weight") * tf / (tf + _room(index, F.col("length")))
     return rows.select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
 

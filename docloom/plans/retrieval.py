@@ -35,10 +35,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> textindex.Index:
-    """The text index over the windows of ``chunks``, with each document's language; built once a session and place."""
+    """The text index over the windows of ``chunks``, with each document's language where the table tells it; built once a session and place."""
     place = f"{shared_dir(spark)}/docloom-index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}"
     Store(spark, place).keep_until_exit()
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    docs = table(spark, sf, "documents")
+    language = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")  # a table without languages has no stop words
+    docs = docs.select("doc_id", "text", language.alias("language"))
     if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
         docs = docs.repartition(spark.sparkContext.defaultParallelism)  # a few files, perhaps of one row group each
     made = chunking.fixed(docs, 100, 20, ("language",))
