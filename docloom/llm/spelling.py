@@ -36,7 +36,7 @@ def letter_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.explode(F.regexp_extract_all(low, F.lit(RUNS), F.lit(0))).alias("run"))
 
 
-def count_words(words: DataFrame, word: str | Column = "word", min_letters: int = 6, min_count: int = 5) -> DataFrame:
+def count_words(words: DataFrame, word: str | Column = "run", min_letters: int = 6, min_count: int = 5) -> DataFrame:
     """(``word``, ``n``) of the words of at least ``min_letters`` code points that occur at least ``min_count`` times; nulls are no words."""
     return words.select((F.col(word) if isinstance(word, str) else word).alias("word")).where(F.length("word") >= min_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 

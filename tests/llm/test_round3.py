@@ -221,24 +221,13 @@ def test_ids_equal_the_library_for_strange_texts():
 # spelling variants
 
 
-def near_one(a: str, b: str) -> bool:
-    """Exactly one insertion, deletion or replacement."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
-
-
 def plain_variants(counts: dict[str, int], factor: int = 5) -> dict[str, tuple]:
-    words = sorted(counts)
-    by_size = defaultdict(list)
-    for w in words:
-        by_size[len(w)].append(w)
+    """By writing out every single edit of every word."""
+    letters = sorted({c for w in counts for c in w})
     form, near = {}, {}
-    for w in words:
-        close = [x for size in (len(w) - 1, len(w), len(w) + 1) for x in by_size[size] if near_one(w, x)]
+    for w in counts:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in letters for k in (0, 1)}
+        close = [x for x in edits - {w} if x in counts]
         near[w] = len(close)
         best = min(close, key=lambda x: (-counts[x], x), default=None)
         form[w] = best if best is not None and counts[best] >= factor * counts[w] else None
@@ -248,7 +237,7 @@ def plain_variants(counts: dict[str, int], factor: int = 5) -> dict[str, tuple]:
             w = form[w]
         return w
 
-    return {w: (form[w], root(w), counts[w], near[w], None if form[w] is None else counts[form[w]]) for w in words}
+    return {w: (form[w], root(w), counts[w], near[w], None if form[w] is None else counts[form[w]]) for w in counts}
 
 
 def variants(df) -> dict[str, tuple]:
