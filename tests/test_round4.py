@@ -19,6 +19,11 @@ def test_headings_of_long_lines(spark):
     assert got == {(1, 0): (1, None), (2, 0): (1, None), (3, 0): (2, None)}
 
 
+def test_structure_of_long_lines(spark):
+    got = {r["doc_id"]: (r["page_count"], r["roots"]) for r in classify.structure(_long_lines(spark)).collect()}
+    assert got == {1: (0, 1), 2: (1, 1), 3: (0, 1)}
+
+
 def test_steady_patterns_find_the_same(spark):
     texts = ["Ab Cd:", "Ab Cd", "Ab Cd (2004)", "Ab  C d", "(Ab Cd, 2004, p. 3-4)", "[1, 2,3]", "[1, 2,]", "Section 1.2.3.", "ab cd ef", "ab c", "Ab\tCd"]
     patterns = [p for ps in t.HEADINGS.values() for p in ps] + scores.HEADERS + [p for _, ps in scores.FORMATS for p in ps]
