@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from docloom.functions import scores
 from docloom.functions import text as t
 from docloom.operators import classify
+from docloom.plans import catalogue
 
 
 def _long_lines(spark):
@@ -30,3 +32,12 @@ def test_steady_patterns_find_the_same(spark):
     df = spark.createDataFrame([(x,) for x in texts], "x string")
     for p in patterns:
         assert df.where(F.rlike("x", F.lit(p)) != F.rlike("x", F.lit(t.steady(p)))).count() == 0
+
+
+def test_means_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    rows = [(1, [-0.000004, 0.5, 0.000004, 0.0], 7), (2, [-0.000002, -0.25, 0.000002, 0.0], 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["mean_pool_by_label"](spark, str(tmp_path)).first()["centroid"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert [repr(x) for x in got] == [repr(x) for x in con.execute(catalogue.oracle_sql()["mean_pool_by_label"]).fetchone()[1]] == ["-0.0", "0.125", "0.0", "0.0"]
