@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
@@ -94,35 +94,54 @@ def strategy(rows: Column, columns: Column) -> Column:
     return F.when((rows <= 5) & (columns <= 4), "complete").when(rows > 10, "horizontal").when(columns > 6, "vertical").otherwise("semantic")
 
 
-def slices(tables: DataFrame, *keys: str, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
-    """(keys, strategy, slice, first, last): inclusive bounds from 0, rows of horizontal slices, columns of vertical ones, else the whole table's rows."""
+def _cuts(height: int = HEIGHT, width: int = WIDTH) -> tuple[Column, Column, Column, Column]:
+    """Of a table (headers, rows): strategy, how many rows or columns are cut, how many at a time, and the starts."""
     n, m = F.size("rows"), F.size("headers")
     kind = strategy(n, m)
     long = F.when(kind == "vertical", m).otherwise(n)
     step = F.when(kind == "horizontal", height).when(kind == "vertical", width).otherwise(F.greatest(n, F.lit(1)))
-    starts = F.sequence(F.lit(0), F.greatest(long - 1, F.lit(0)), step)
+    return kind, long, step, F.sequence(F.lit(0), F.greatest(long - 1, F.lit(0)), step)
+
+
+def _last(first: Column, step: Column, long: Column) -> Column:
+    return F.least(first + step, F.greatest(long, F.lit(1))) - 1
+
+
+def slices(tables: DataFrame, *keys: str, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
+    """(keys, strategy, slice, first, last): inclusive bounds from 0, rows of horizontal slices, columns of vertical ones, else the whole table's rows."""
+    kind, long, step, starts = _cuts(height, width)
     return tables.select(*keys, kind.alias("strategy"), long.alias("long"), step.alias("step"), F.posexplode(starts).alias("slice", "first")).select(
-        *keys, "strategy", "slice", "first", (F.least(F.col("first") + F.col("step"), F.greatest("long", F.lit(1))) - 1).alias("last")
+        *keys, "strategy", "slice", "first", _last(F.col("first"), F.col("step"), F.col("long")).alias("last")
     )
 
 
 def chunks(tables: DataFrame, id_col: str) -> DataFrame:
-    """The chunks of ``marked`` tables: id, chunk_index (over the document's tables, from 0), table, chunk_type, section_title, chunk_text, first/last row and column, page_number, confidence, token_count."""
-    found = slices(tables, id_col, "table", "headers", "rows", "caption", "page", "confidence")
+    """The chunks of ``marked`` tables: id, chunk_index (over the document's tables, from 0), table, chunk_type, section_title, chunk_text, first/last row and column, page_number, confidence, token_count.
+
+    A slice takes along its own cells only; with the whole table beside every slice, memory would grow with the square of its rows.
+    """
+    kind, long, step, starts = _cuts()
+
+    def piece(first: Column, i: Column) -> Column:
+        last = _last(first, step, long)
+        own = lambda x: F.slice(x, first + 1, last - first + 1)
+        some = F.when(kind == "vertical", own(F.col("headers"))).otherwise(F.col("headers"))
+        part = F.when(kind == "vertical", F.transform("rows", own)).when(kind == "horizontal", own(F.col("rows"))).otherwise(F.col("rows"))
+        return F.struct(i.alias("slice"), first.alias("first"), last.alias("last"), some.alias("headers"), part.alias("rows"))
+
+    sizes = (F.size("rows").alias("n"), F.size("headers").alias("m"))
+    found = tables.select(id_col, "table", "caption", "page", "confidence", kind.alias("strategy"), *sizes, F.explode(F.transform(starts, piece)).alias("p")).select("*", "p.*").drop("p")
     across, down = F.col("strategy") == "vertical", F.col("strategy") == "horizontal"
-    size = F.col("last") - F.col("first") + 1
-    some = F.when(across, F.slice("headers", F.col("first") + 1, size)).otherwise(F.col("headers"))
-    part = F.when(across, F.transform("rows", lambda r: F.slice(r, F.col("first") + 1, size))).when(down, F.slice("rows", F.col("first") + 1, size)).otherwise(F.col("rows"))
     span = lambda word: F.concat(F.lit(f" ({word} "), (F.col("first") + 1).cast("string"), F.lit("-"), (F.col("last") + 1).cast("string"), F.lit(")"))
     title = F.concat(F.lit("Table "), F.col("table").cast("string"), F.when(down, span("Rows")).when(across, span("Columns")).otherwise(""))
-    last_row, last_column = F.size("rows") - 1, F.size("headers") - 1
+    last_row, last_column = F.col("n") - 1, F.col("m") - 1
+    order = Window.partitionBy(id_col).orderBy("table", "slice")
     each = found.select(
-        id_col, "table", "slice", F.when(down, "table_horizontal_slice").when(across, "table_vertical_slice").otherwise("table_complete").alias("chunk_type"), title.alias("section_title"),
-        markdown(some, part, F.col("caption")).alias("chunk_text"), F.when(down, F.col("first")).otherwise(0).alias("first_row"), F.when(down, F.col("last")).otherwise(last_row).alias("last_row"),
+        id_col, (F.row_number().over(order) - 1).alias("chunk_index"), "table", F.when(down, "table_horizontal_slice").when(across, "table_vertical_slice").otherwise("table_complete").alias("chunk_type"), title.alias("section_title"),
+        markdown(F.col("headers"), F.col("rows"), F.col("caption")).alias("chunk_text"), F.when(down, F.col("first")).otherwise(0).alias("first_row"), F.when(down, F.col("last")).otherwise(last_row).alias("last_row"),
         F.when(across, F.col("first")).otherwise(0).alias("first_column"), F.when(across, F.col("last")).otherwise(last_column).alias("last_column"), (F.col("page") + 1).alias("page_number"), "confidence",
     )
-    whole = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("table", "slice", *[c for c in each.columns if c not in (id_col, "table", "slice")]))).alias("all"))
-    return whole.select(id_col, F.posexplode("all").alias("chunk_index", "c")).select(id_col, "chunk_index", "c.*").drop("slice").withColumn("token_count", t.token_count(F.col("chunk_text")))
+    return each.withColumn("token_count", t.token_count(F.col("chunk_text")))
 
 
 def table_aware(documents: DataFrame, id_col: str, text_col: str, target: int = chunking.TARGET, least: int = chunking.LEAST) -> DataFrame:

@@ -149,10 +149,12 @@ _LISTED = "(SELECT * FROM (VALUES " + ", ".join(map(str, ANSWERS)) + ") AS a(ans
     {' OR '.join(f"contains(lower(response), '{w}')" for w in tb.CALCULATIONS)} AS calculates FROM a, t)
   SELECT CAST(answer_id AS INT) AS answer_id, doc, refers, CASE WHEN n = 0 THEN 'unknown' WHEN seen THEN 'verified_in_tables' ELSE 'needs_verification' END AS accuracy, calculates, round(0.5 + CASE WHEN seen THEN 0.3 ELSE 0 END + CASE WHEN refers THEN 0.2 ELSE 0 END, 6) AS confidence FROM v""")
 def table_answers(spark: SparkSession, sf: str) -> DataFrame:
-    texts = tb.chunks(marked(spark, sf), "doc").groupBy("doc").agg(F.collect_list("chunk_text").alias("texts"))
     asked = F.broadcast(spark.createDataFrame(list(ANSWERS), "answer_id int, response string"))  # four stated answers
-    found = texts.crossJoin(asked).select("answer_id", "doc", tb.answer_check(F.col("response"), F.col("texts")).alias("x"))
-    return found.select("answer_id", "doc", "x.refers", "x.accuracy", "x.calculates", F.round("x.confidence", 6).alias("confidence"))
+    made = tb.chunks(marked(spark, sf), "doc").select("doc", "chunk_text").crossJoin(asked)
+    each = made.select("answer_id", "doc", tb.answer_check(F.col("response"), F.array("chunk_text")).alias("x")).select("answer_id", "doc", "x.*")
+    # chunk by chunk: a number seen in one is seen in the document, and the greater word and confidence say so
+    best = each.groupBy("answer_id", "doc").agg(*[F.max(c).alias(c) for c in ("refers", "accuracy", "calculates", "confidence")])
+    return best.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH RECURSIVE b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_extendedprice, l_linenumber) AS k, CAST(l_linenumber AS INT) AS id, l_partkey % 10 AS x0, l_suppkey % 10 AS y0, l_partkey % 10 + 4 + l_linenumber AS x1, l_suppkey % 10 + 4 AS y1 FROM lineitem),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
 import duckdb
 from pyspark.sql import functions as F
 
 from docloom.functions import scores
 from docloom.functions import text as t
-from docloom.operators import classify
+from docloom.operators import classify, tables
 from docloom.plans import catalogue
 
 
@@ -41,3 +43,26 @@ def test_means_that_round_to_zero_keep_their_sign(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert [repr(x) for x in got] == [repr(x) for x in con.execute(catalogue.oracle_sql()["mean_pool_by_label"]).fetchone()[1]] == ["-0.0", "0.125", "0.0", "0.0"]
+
+
+def test_slices_take_only_their_own_rows_along(spark):
+    n = 40_003
+    rows = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array(i.cast("string"), F.lit("some words of a cell")))
+    one = spark.range(1).select(F.lit(1).alias("doc"), F.lit(1).alias("table"), F.array(F.lit("k"), F.lit("v")).alias("headers"), rows.alias("rows"), F.lit("c").alias("caption"), F.lit(0).alias("page"), F.lit(0.7).alias("confidence"))
+    spark.sparkContext.setJobGroup("slices", "slices", True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("slices"))  # a table beside each of its slices is 4,001 tables
+    stop.start()
+    try:
+        made = tables.chunks(one, "doc").agg(F.count("*"), F.max("last_row"), F.max_by("chunk_text", "chunk_index"), F.max("chunk_index")).first()
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(made) == (4001, n - 1, "| k | v |\n| --- | --- |\n" + "\n".join(f"| {i} | some words of a cell |" for i in range(n - 2, n + 1)) + "\n*Table: c*", 4000)
+
+
+def test_answers_are_checked_against_all_tables(spark, tmp_path):
+    rows = [(i, 0, f"Customer#{i}", "BUILDING") for i in range(1, 31)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "A")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {r["answer_id"]: tuple(r)[1:] for r in catalogue.queries()["table_answers"](spark, str(tmp_path)).collect()}
+    assert got[1] == (0, True, "verified_in_tables", True, 1.0) and got[3][2] == "unknown"
