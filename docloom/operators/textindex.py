@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,18 +144,6 @@ def _inverted(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa
         ], names=names)
 
 
-def entries(places: bool = False) -> Column:
-    """A posting row's arrays as structs (chunk_id, length, n, tf, and places if asked for)."""
-    begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
-
-    def one(c: Column, i: Column) -> Column:
-        tf = F.get("ends", i) - begin(i)
-        own = [F.slice("places", begin(i) + 1, tf).alias("places")] if places else []
-        return F.struct(c.alias("chunk_id"), F.get("lengths", i).alias("length"), F.get("ns", i).alias("n"), tf.alias("tf"), *own)
-
-    return F.transform("chunks", one)
-
-
 def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame:
     """(query_id, term, offset, need) of queries (query_id, query): each word that is no stop word of the language (English by default) at its place, and how many there are."""
     w = words(F.col("query"))
@@ -164,11 +152,102 @@ def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame
     return stay.join(small(stay.groupBy("query_id").agg(F.countDistinct("term").alias("need"))), "query_id")
 
 
+def _blocks(index: Index, asked: DataFrame, wanted: DataFrame, lists: list[str], each: Callable[[_Block, pa.Table, int, int], dict | None], schema: str) -> DataFrame:
+    """What ``each`` finds for every query in every block, where all its words meet without a row for each pair of query and entry.
+
+    ``wanted`` (block, query_id, term, more) are short rows; the postings of the asked terms, with their array columns ``lists``, are shuffled
+    once by block, however many queries share a term.  A block is at most ``BLOCK`` chunks, so its postings are small.
+    """
+    kind = wanted.schema["query_id"].dataType.simpleString()
+    empty = index.spark.createDataFrame([], f"query_id {kind}, {schema}").toArrow()  # the columns of no rows
+    rows = index.postings(asked).select("block", "term", "chunks", "ends", *lists)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            held = _Block(left)
+            at = pc.index_in(right["term"], left["term"].combine_chunks())
+            right = right.append_column("_at", at).filter(pc.is_valid(at)).sort_by("query_id")
+            ids = right["query_id"].combine_chunks()
+            edges = np.flatnonzero(np.asarray(pc.not_equal(ids[1:], ids[:-1]), bool)) + 1
+            for i, j in zip([0, *edges], [*edges, len(ids)], strict=True):
+                found = each(held, right, int(i), int(j)) if j > i else None
+                if found is not None and len(next(iter(found.values()))):
+                    n = len(next(iter(found.values())))
+                    out.append(pa.table({"query_id": ids.take(pa.array(np.full(n, i))), **found}))
+        return pa.concat_tables(out) if out else empty
+
+    return rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(meet, f"query_id {kind}, {schema}")
+
+
+class _Block:
+    """The posting rows of one block: entries of row r lie from ``bounds[r]`` to ``bounds[r + 1]``; ``code`` numbers the chunks of entries from 0 in the order of ``ids``."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows, chunks = rows, rows["chunks"].combine_chunks()
+        self.bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.ids, self.code = np.unique(chunks.flatten().to_numpy(), return_inverse=True)
+        self.ends = self.flat("ends").astype(np.int64)
+        self.tf = np.diff(self.ends, prepend=0)
+        begin = self.bounds[:-1][self.bounds[:-1] < self.bounds[1:]]
+        self.tf[begin] = self.ends[begin]
+
+    def flat(self, column: str) -> np.ndarray:
+        return self.rows[column].combine_chunks().flatten().to_numpy()
+
+    def of(self, column: str) -> np.ndarray:
+        """An entry's number that is the same in all entries of a chunk, by chunk."""
+        out = np.zeros(len(self.ids), np.int64)
+        out[self.code] = self.flat(column)
+        return out
+
+    def places(self, row: int, entry: int) -> list[int]:
+        if not hasattr(self, "_places"):
+            lists = self.rows["places"].combine_chunks()
+            self._places, self._from = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        end = self._from[row] + self.ends[entry]
+        return self._places[end - self.tf[entry] : end].tolist()
+
+    def holding(self, rows: np.ndarray) -> np.ndarray:
+        """The chunks (by code) that stand in all of the rows."""
+        n = np.zeros(len(self.ids), np.int64)
+        for r in rows:
+            n[self.code[self.bounds[r] : self.bounds[r + 1]]] += 1
+        return np.flatnonzero(n == len(rows))
+
+
+def _met(index: Index, asked: DataFrame) -> DataFrame:
+    """(block, asked columns): the blocks that hold each asked term."""
+    return index.postings(asked).select("block", "term").join(small(asked), "term")
+
+
+def _best(score: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the k best scores and of all that are as good within rounding (all with None); the exact cut follows in the plan."""
+    if k is None or len(score) <= k:
+        return np.arange(len(score))
+    return np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)
+
+
 def _holding(index: Index, asked: DataFrame) -> DataFrame:
     """(query_id, chunk_id, found: [(offset, term, places)]) of the chunks that hold every word of a query."""
-    held = index.postings(asked).select("term", F.inline(entries(True)))
-    met = held.join(small(asked), "term").groupBy("query_id", "chunk_id", "need").agg(F.collect_list(F.struct("offset", "term", "places")).alias("found"))
-    return met.where(F.size(F.array_distinct(F.transform("found", lambda x: x["term"]))) == F.col("need"))
+
+    def each(held: _Block, right: pa.Table, i: int, j: int) -> dict | None:
+        at = right["_at"].slice(i, j - i).to_numpy()
+        rows = np.unique(at)
+        if len(rows) < right["need"][i].as_py():
+            return None
+        codes = held.holding(rows)
+        terms, offsets = right["term"].slice(i, j - i).to_pylist(), right["offset"].slice(i, j - i).to_pylist()
+        found = [[] for _ in codes]
+        for r, term, offset in zip(at, terms, offsets, strict=True):
+            entry = np.full(len(held.ids), -1)
+            entry[held.code[held.bounds[r] : held.bounds[r + 1]]] = np.arange(held.bounds[r], held.bounds[r + 1])
+            for x, c in zip(found, codes, strict=True):
+                x.append({"offset": offset, "term": term, "places": held.places(r, entry[c])})
+        kind = pa.list_(pa.struct([("offset", pa.int32()), ("term", pa.string()), ("places", pa.list_(pa.int32()))]))
+        return {"chunk_id": pa.array(held.ids[codes]), "found": pa.array(found, kind)}
+
+    return _blocks(index, asked, _met(index, asked), ["places"], each, "chunk_id long, found array<struct<offset: int, term: string, places: array<int>>>")
 
 
 def phrase_search(index: Index, queries: DataFrame, language: Column | None = None) -> DataFrame:
@@ -194,12 +273,29 @@ def near_search(index: Index, queries: DataFrame, distance: int, language: Colum
     return found.select("query_id", "chunk_id", F.array_min(spans).alias("span")).where(F.col("span") <= distance)
 
 
-def text_matches(index: Index, queries: DataFrame) -> DataFrame:
-    """What ``search.text_matches`` gives over the indexed chunks: (query_id, chunk_id, text_rank) of chunks that hold all words of a query."""
+def text_matches(index: Index, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """What ``search.text_matches`` gives over the indexed chunks: (query_id, chunk_id, text_rank) of chunks that hold all words of a query.
+
+    With ``k`` each block gives at least its k best for a query (ties to the smaller id), which hold the k best of all.
+    """
     asked = asked_terms(queries).select("query_id", "term", "need").distinct()
-    held = index.postings(asked).select("term", F.inline(entries()))
-    found = held.join(small(asked), "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
-    return found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
+
+    def each(held: _Block, right: pa.Table, i: int, j: int) -> dict | None:
+        if j - i < right["need"][i].as_py():
+            return None
+        rows = right["_at"].slice(i, j - i).to_numpy()
+        codes = held.holding(rows)
+        if not len(codes):
+            return None
+        tf = np.zeros(len(held.ids), np.int64)
+        for r in rows:
+            tf[held.code[held.bounds[r] : held.bounds[r + 1]]] += held.tf[held.bounds[r] : held.bounds[r + 1]]
+        n = held.of("ns")[codes]
+        codes, n = (x[_best(tf[codes] / (1 + np.log(n)), k)] for x in (codes, n))
+        return {"chunk_id": pa.array(held.ids[codes]), "tf": pa.array(tf[codes]), "n": pa.array(n)}
+
+    found = _blocks(index, asked, _met(index, asked), ["ns"], each, "chunk_id long, tf long, n long")
+    return found.select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
 
 
 def _weighted(index: Index, queries: DataFrame, language: Column | None) -> DataFrame:
@@ -220,13 +316,22 @@ def _room(index: Index, length: Column) -> Column:
     return K1 * (1 - B + B * length / max(index.facts["mean_length"], 1e-9))
 
 
-def _scores(index: Index, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all chunks of the (query_id, block) ``pairs``; entries of other blocks are dropped before they are unpacked."""
+def _scores(index: Index, weighted: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks of the (query_id, block) ``pairs``: at least the k best of each pair."""
     wanted = weighted.join(pairs, "query_id").select("query_id", "term", "block", "weight")
-    rows = index.postings(weighted).join(small(wanted), ["term", "block"]).select("query_id", "weight", F.inline(entries()))
-    tf = F.col("tf")
-    part = F.col("weight") * tf / (tf + _room(index, F.col("length")))
-    return rows.select("query_id", "chunk_id", part.alias("part")).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    mean = max(index.facts["mean_length"], 1e-9)
+
+    def each(held: _Block, right: pa.Table, i: int, j: int) -> dict | None:
+        score, seen, length = np.zeros(len(held.ids)), np.zeros(len(held.ids), bool), held.of("lengths")
+        for r, weight in zip(right["_at"].slice(i, j - i).to_numpy(), right["weight"].slice(i, j - i).to_numpy(), strict=True):
+            code, tf = held.code[held.bounds[r] : held.bounds[r + 1]], held.tf[held.bounds[r] : held.bounds[r + 1]]
+            score[code] += weight * tf / (tf + K1 * (1 - B + B * length[code] / mean))
+            seen[code] = True
+        codes = np.flatnonzero(seen)
+        codes = codes[_best(score[codes], k)]
+        return {"chunk_id": pa.array(held.ids[codes]), "score": pa.array(score[codes])}
+
+    return _blocks(index, weighted, wanted, ["lengths"], each, "chunk_id long, score double").withColumn("score", F.round("score", 9))
 
 
 def bm25(index: Index, queries: DataFrame, k: int, language: Column | None = None, seeds: int = SEEDS, told: dict | None = None) -> DataFrame:
@@ -239,9 +344,9 @@ def bm25(index: Index, queries: DataFrame, k: int, language: Column | None = Non
     weighted = work.write(_weighted(index, queries, language), "weighted")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     placed = work.write(bm25_bounds(index, weighted).withColumn("place", F.row_number().over(order)), "bounds")
-    first = work.write(top(_scores(index, weighted, placed.where(F.col("place") <= seeds).select("query_id", "block")), k, "score", "chunk_id"), "seeded")
+    first = work.write(top(_scores(index, weighted, placed.where(F.col("place") <= seeds).select("query_id", "block"), k), k, "score", "chunk_id"), "seeded")
     least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = placed.where(F.col("place") > seeds).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
     if told is not None:
         told["pairs"], told["read"] = placed.count(), rest.count() + placed.where(F.col("place") <= seeds).count()
-    return top(_scores(index, weighted, rest.select("query_id", "block")).unionByName(first.drop("rank")), k, "score", "chunk_id")
+    return top(_scores(index, weighted, rest.select("query_id", "block"), k).unionByName(first.drop("rank")), k, "score", "chunk_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import scores
 from docloom.functions import text as t
-from docloom.operators import classify, tables
+from docloom.operators import classify, search, tables, textindex
 from docloom.plans import catalogue
 
 
@@ -66,3 +66,16 @@ def test_answers_are_checked_against_all_tables(spark, tmp_path):
     spark.createDataFrame([(0, "A")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     got = {r["answer_id"]: tuple(r)[1:] for r in catalogue.queries()["table_answers"](spark, str(tmp_path)).collect()}
     assert got[1] == (0, True, "verified_in_tables", True, 1.0) and got[3][2] == "unknown"
+
+
+def test_index_searches_shuffle_postings_not_pairs(spark, tmp_path):
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", F.lit("red green blue"), F.concat(F.lit("w"), F.col("id") % 7)).alias("chunk_text"), F.lit("en").alias("language"))
+    index = textindex.build(chunks, f"file://{tmp_path}/index", block=500)
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit("red blue").alias("query"))
+    # no exploded entries of each query: words meet inside their block
+    assert "Generate" not in textindex.text_matches(index, asked, 5)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "FlatMapCoGroupsInArrow" in textindex.text_matches(index, asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    got = search.top(textindex.text_matches(index, asked, 5), 5, "text_rank", "chunk_id").collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == {(q, c) for q in range(40) for c in range(5)}
+    near = textindex.near_search(index, asked, 2)
+    assert near.count() == 40 * 3000 and {r["span"] for r in near.select("span").distinct().collect()} == {2}
