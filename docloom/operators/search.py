@@ -137,16 +137,22 @@ def document_pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query (query_id, query), unranked.
 
-    ``chunks`` (chunk_id, chunk_text) become postings (term, chunk, frequency) that queries join by term; rank is the
-    sum of the frequencies over ``1 + ln(length)``.  Only terms that some query asks for leave the scan.
+    ``chunks`` (chunk_id, chunk_text) meet a query only at its rarest lexeme and are then checked for all
+    others; rank is the sum of the frequencies over ``1 + ln(length)``.  Pairs that share some word only are never made: with long queries
+    they would be nearly all pairs.
     """
-    asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l"))
-    asked = asked.select("query_id", F.size("l").alias("need"), F.explode("l").alias("term"))
-    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("l"))
-    posting = terms.select("chunk_id", F.size("l").alias("n"), F.explode("l").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    posting = posting.groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
-    found = posting.join(small(asked), "term").groupBy("query_id", "chunk_id", "n", "need").agg(F.count("*").alias("have"), F.sum("tf").alias("tf"))
-    return found.where("have = need").select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
+    asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l")).where(F.size("l") > 0)
+    each = asked.select("query_id", F.explode("l").alias("term"))
+    wanted = small(each.select("term").distinct(), 1_000_000)
+    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("own"))
+    df = terms.select(F.explode(F.array_distinct("own")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # a term that no chunk holds is the rarest: its query drops out with it
+    rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    keyed = asked.join(rarest, "query_id")
+    met = terms.select("chunk_id", "own", F.explode(F.array_distinct("own")).alias("term")).join(small(rarest.select("term").distinct(), 1_000_000), "term", "left_semi").join(small(keyed), "term")
+    whole = met.where(F.size(F.array_except("l", "own")) == 0)
+    tf = F.size(F.filter("own", lambda w: F.array_contains(F.col("l"), w)))
+    return whole.select("query_id", "chunk_id", (tf / (1 + F.ln(F.size("own")))).alias("text_rank"))
 
 
 def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -79,3 +79,18 @@ def test_index_searches_shuffle_postings_not_pairs(spark, tmp_path):
     assert {(r["query_id"], r["chunk_id"]) for r in got} == {(q, c) for q in range(40) for c in range(5)}
     near = textindex.near_search(index, asked, 2)
     assert near.count() == 40 * 3000 and {r["span"] for r in near.select("span").distinct().collect()} == {2}
+
+
+def test_long_queries_meet_at_their_rarest_word(spark):
+    common = " ".join(f"common{i}" for i in range(40))
+    docs = spark.range(8000).select(F.col("id").alias("chunk_id"), F.concat(F.lit(common + " own"), F.col("id")).alias("chunk_text")).repartition(4)
+    asked = docs.select(F.col("chunk_id").alias("query_id"), F.col("chunk_text").alias("query")).union(spark.createDataFrame([(-1, "common1 absent"), (-2, "the")], "query_id long, query string"))
+    spark.sparkContext.setJobGroup("rarest", "rarest", True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("rarest"))  # 2,560,000,000 shared words
+    stop.start()
+    try:
+        got = search.text_matches(docs, asked).agg(F.count("*"), F.count_if(F.col("query_id") == F.col("chunk_id"))).first()
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(got) == (8000, 8000)
