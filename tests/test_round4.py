@@ -94,3 +94,9 @@ def test_long_queries_meet_at_their_rarest_word(spark):
         stop.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert tuple(got) == (8000, 8000)
+
+
+def test_keywords_are_the_words_of_the_sql(spark):
+    docs = spark.createDataFrame([(1, "Law\u0301 and contract, section_1 lawful LAW", "x")], "doc_id long, text string, title string")
+    got = {r["document_type"]: (r["count"], r["top10"]) for r in classify.keyword_counts(docs).collect()}
+    assert got["legal"] == (3, 3) and got["technical"] == (0, 0) and got["general"] == (0, 0)
