@@ -156,7 +156,7 @@ def scaled_integers(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarr
     keep = np.flatnonzero((sizes > 0) & (bad[ends] == bad[ends - sizes]))
     if len(keep) and sizes[keep].min() != sizes[keep].max():
         raise ValueError("vectors differ in length")
-    rows = x[np.repeat(np.isin(np.arange(len(sizes)), keep), sizes)].reshape(len(keep), -1)
+    rows = x[np.repeat(np.isin(np.arange(len(sizes)), keep), sizes)].reshape(len(keep), sizes[keep[0]] if len(keep) else 0)
     if rows.size and np.abs(rows).max() >= 2.0**63:
         raise ValueError("a component is out of range")
     return keep, rows.astype(np.int64)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import threading
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions import scores
 from docloom.functions import text as t
+from docloom.llm import topk
 from docloom.operators import classify, search, tables, textindex
 from docloom.plans import catalogue
 
@@ -100,3 +102,10 @@ def test_keywords_are_the_words_of_the_sql(spark):
     docs = spark.createDataFrame([(1, "Law\u0301 and contract, section_1 lawful LAW", "x")], "doc_id long, text string, title string")
     got = {r["document_type"]: (r["count"], r["top10"]) for r in classify.keyword_counts(docs).collect()}
     assert got["legal"] == (3, 3) and got["technical"] == (0, 0) and got["general"] == (0, 0)
+
+
+def test_batches_without_usable_vectors():
+    for rows in ([], [None, [], [float("nan"), 1.0]]):
+        keep, made = topk.scaled_integers(pa.array(rows, pa.list_(pa.float64())), 256)
+        assert len(keep) == 0 and made.shape[0] == 0
+    assert topk.scaled_integers(pa.array([None, [0.5, -1.0]]), 256)[1].tolist() == [[128, -256]]
