@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.sources.shared import Scratch
 
 # Weights (vector, text) and threshold of each kind of caller.
 DEFAULTS = {"service": (0.7, 0.3, 0.5), "config": (0.6, 0.4, 0.7), "history": (0.5, 0.5, None), "similar": (0.9, 0.1, 0.6)}
 #: Vectors of one block.
 BLOCK = 2048
+#: Lexemes of all queries that a scan looks for at once.
+FEW = 2000
 # English stop words of the text search.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
@@ -135,24 +138,28 @@ def document_pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query (query_id, query), unranked.
+    """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query, unranked.
 
     ``chunks`` (chunk_id, chunk_text) meet a query only at its rarest lexeme and are then checked for all
     others; rank is the sum of the frequencies over ``1 + ln(length)``.  Pairs that share some word only are never made: with long queries
-    they would be nearly all pairs.
+    they would be nearly all pairs.  Where the queries have few lexemes in all, the chunks are read once and only those lexemes go on.
     """
     asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l")).where(F.size("l") > 0)
     each = asked.select("query_id", F.explode("l").alias("term"))
     wanted = small(each.select("term").distinct(), 1_000_000)
-    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("own"))
+    terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("own")).withColumn("n", F.size("own"))
+    few = [r["term"] for r in each.select("term").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        met_some = terms.withColumn("own", F.filter("own", lambda w: w.isin(few))).where(F.size("own") > 0)
+        terms = Scratch(chunks.sparkSession, "lexemes").write(met_some, "met")
     df = terms.select(F.explode(F.array_distinct("own")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     # a term that no chunk holds is the rarest: its query drops out with it
     rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     keyed = asked.join(rarest, "query_id")
-    met = terms.select("chunk_id", "own", F.explode(F.array_distinct("own")).alias("term")).join(small(rarest.select("term").distinct(), 1_000_000), "term", "left_semi").join(small(keyed), "term")
+    met = terms.select("chunk_id", "own", "n", F.explode(F.array_distinct("own")).alias("term")).join(small(rarest.select("term").distinct(), 1_000_000), "term", "left_semi").join(small(keyed), "term")
     whole = met.where(F.size(F.array_except("l", "own")) == 0)
     tf = F.size(F.filter("own", lambda w: F.array_contains(F.col("l"), w)))
-    return whole.select("query_id", "chunk_id", (tf / (1 + F.ln(F.size("own")))).alias("text_rank"))
+    return whole.select("query_id", "chunk_id", (tf / (1 + F.ln("n"))).alias("text_rank"))
 
 
 def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:

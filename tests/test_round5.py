@@ -7,7 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunking
+from docloom.operators import chunking, search
+from docloom.plans import catalogue, retrieval
 
 
 def plan(df) -> str:
@@ -26,3 +27,31 @@ def test_strategies_are_compared_in_one_pass(spark, tmp_path):
         made = chunking.word_counts(docs, separator=separator)
         assert Counter(map(tuple, cut.collect())) == Counter(map(tuple, made.collect()))
     assert plan(chunking.compare(docs)).count("Relation [") == 1  # it was fifteen scans and as many cuts
+
+
+def _words(spark, folder):
+    """Three documents of several windows and one query for each of two items."""
+    docs = [(k, " ".join(f"w{(k * 37 + i) % 90} common" for i in range(150)), "en", "s", 9) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, "w5 common and more"), (1, "absent common"), (2, "the of")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_a_search_alone_builds_no_index(spark, tmp_path, monkeypatch):
+    sf, built = _words(spark, tmp_path), []
+    real = retrieval.textindex.build
+    monkeypatch.setattr(retrieval.textindex, "build", lambda *a, **k: built.append(1) or real(*a, **k))
+    names = ("acl_search", "context_assembly", "text_rank_topk", "text_match_all_terms", "batch_benchmark_search")
+    rows = lambda n: Counter(map(str, catalogue.queries()[n](spark, sf).collect()))
+    alone = [rows(n) for n in names]
+    assert not built and all(alone)
+    retrieval.index(spark, sf)
+    assert built and [rows(n) for n in names] == alone  # the same from the index
+
+
+def test_few_lexemes_go_on_alone(spark, monkeypatch):
+    chunks = spark.createDataFrame([(k, f"red w{k % 3} red the blue" + " x" * k) for k in range(9)] + [(9, None), (10, "")], "chunk_id long, chunk_text string")
+    asked = spark.createDataFrame([(0, "red w1"), (1, "blue red blue"), (2, "red absent"), (3, "the"), (4, None)], "query_id long, query string")
+    few = Counter(map(tuple, search.text_matches(chunks, asked).collect()))
+    monkeypatch.setattr(search, "FEW", 1)
+    assert few == Counter(map(tuple, search.text_matches(chunks, asked).collect())) and len(few) == 12
