@@ -9,18 +9,24 @@ from docloom.operators import tables as tb
 
 # Distance of centres of one line, gap below which boxes belong together, least boxes and columns of a table.
 ALIGNED, GAP, ROWS, COLUMNS = 10.0, 20.0, 2, 2
+#: Boxes of one task.
+IN_TASK = 500_000
 # What ends a table's section in a text.
 SECTION_ENDS = ("\n\n## ", "\n\n# ", "\n\n--- Page", "\n\n**Table", "\n\n<!-- TABLE")
 
 
-def box_groups(boxes: DataFrame, page: str = "page") -> DataFrame:
+def box_groups(boxes: DataFrame, page: str = "page", in_task: int = IN_TASK) -> DataFrame:
     """``boxes`` (page, id, x0, y0, x1, y1) with ``box_group`` (from 0 by page), ``row`` (from 0 in the group), ``column`` (from 0 in the row) and ``is_table``.
 
     Boxes go from top to bottom (ties: smaller id); a group ends where the next box is not on the line of the one before (centres at
     least ``ALIGNED`` apart) or not near it (at least ``GAP`` below).  A row ends where the next box shares no more
     than half of the lower one's height with the one before.  Groups of one box stay, as no tables; a group is a table with at least ``ROWS`` boxes at ``COLUMNS`` left edges (to whole points, halves to even).
-    Boxes with a null side break their group; a page's boxes meet in one window, which is a page's size.
+    Boxes with a null side break their group; a page's boxes meet in one window, which is a page's size.  Boxes are dealt by page so that
+    a task sorts about ``in_task`` of them, however many there are.
     """
+    n = boxes.count()
+    if n > in_task:
+        boxes = boxes.repartition(max(boxes.sparkSession.sparkContext.defaultParallelism, -(-n // in_task)), page)
     order = Window.partitionBy(page).orderBy(F.col("y0").asc_nulls_last(), "id")
     centre = (F.col("y0") + F.col("y1")) / 2
     near = (F.abs(centre - F.lag(centre).over(order)) < ALIGNED) & (F.col("y0") - F.lag("y1").over(order) < GAP)
@@ -28,15 +34,14 @@ def box_groups(boxes: DataFrame, page: str = "page") -> DataFrame:
     lies = shared > 0.5 * F.least(F.col("y1") - F.col("y0"), F.lag("y1").over(order) - F.lag("y0").over(order))
     marked = boxes.withColumn("_new", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("_row", (~F.coalesce(lies, F.lit(False))).cast("int"))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    grouped = marked.withColumn("box_group", (F.sum("_new").over(upto) - 1).cast("int"))
-    inside = Window.partitionBy(page, "box_group").orderBy(F.col("y0").asc_nulls_last(), "id")
-    first = F.row_number().over(inside) == 1
-    rows = grouped.withColumn("row", F.sum(F.when(first, 0).otherwise(F.col("_row"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    whole = Window.partitionBy(page, "box_group")
+    starts = F.col("_new") == 1
+    grouped = marked.withColumn("box_group", (F.sum("_new").over(upto) - 1).cast("int")).withColumn("_rows", F.sum(F.when(starts, 0).otherwise(F.col("_row"))).over(upto))
+    rows = grouped.withColumn("row", (F.col("_rows") - F.max(F.when(starts, F.col("_rows"))).over(upto)).cast("int"))
+    column = F.row_number().over(Window.partitionBy(page, "box_group", "row").orderBy(F.col("x0").asc_nulls_last(), "id")) - 1
+    whole = Window.partitionBy(page, "box_group")  # sorted already
     edges = F.size(F.collect_set(F.bround("x0")).over(whole))
     table = (F.count("*").over(whole) >= ROWS) & (edges >= COLUMNS)
-    column = F.row_number().over(Window.partitionBy(page, "box_group", "row").orderBy(F.col("x0").asc_nulls_last(), "id")) - 1
-    return rows.withColumn("column", column.cast("int")).withColumn("is_table", table).drop("_new", "_row")
+    return rows.withColumn("column", column.cast("int")).withColumn("is_table", table).drop("_new", "_row", "_rows")
 
 
 def table_block(number: Column, caption: Column, method: Column, confidence: Column, body: Column) -> Column:

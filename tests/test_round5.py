@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunking, search
+from docloom.operators import chunking, layout, search
 from docloom.plans import catalogue, retrieval
 
 
@@ -55,3 +55,12 @@ def test_few_lexemes_go_on_alone(spark, monkeypatch):
     few = Counter(map(tuple, search.text_matches(chunks, asked).collect()))
     monkeypatch.setattr(search, "FEW", 1)
     assert few == Counter(map(tuple, search.text_matches(chunks, asked).collect())) and len(few) == 12
+
+
+def test_boxes_of_a_task_are_bounded(spark):
+    sides = [F.col("id") % 4 * 60.0 + 0.5, F.floor(F.col("id") % 9 / 3) * 14.0 + F.col("id") % 2 * 3, F.col("id") % 4 * 60.0 + 50, F.floor(F.col("id") % 9 / 3) * 14.0 + 9]
+    boxes = spark.range(6000).select((F.col("id") % 700).alias("page"), "id", *[x.alias(n) for x, n in zip(sides, ("x0", "y0", "x1", "y1"), strict=True)])
+    rows = lambda df: Counter(map(str, df.collect()))
+    dealt = layout.box_groups(boxes, in_task=100)
+    assert dealt.rdd.getNumPartitions() == 60 and rows(dealt) == rows(layout.box_groups(boxes))
+    assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") == 2  # it was three: each holds a task's boxes
