@@ -44,9 +44,10 @@ def ingested_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that come as a stream of files and are merged, batch by batch, into a stored table."""
     work = Scratch(spark, "ingest")
     files = tables.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    files.repartition(4).write.parquet(work.at("in"))
+    n = max(4, files.rdd.getNumPartitions())  # files grow in number, not in size
+    files.repartition(n).write.parquet(work.at("in"))
     table = tablestore.documents(spark, work.at("table"), 8)
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(work.at("in"))
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(work.at("in"))  # two batches
     tablestore.ingest(stream, table, work.at("marks")).awaitTermination()
     return table.read().select("path", "content_hash", "bytes")
 

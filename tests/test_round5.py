@@ -7,8 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import chunking, layout, search
-from docloom.plans import catalogue, retrieval
+from docloom.operators import chunking, layout, search, tablestore
+from docloom.plans import catalogue, retrieval, stores
 
 
 def plan(df) -> str:
@@ -64,3 +64,33 @@ def test_boxes_of_a_task_are_bounded(spark):
     dealt = layout.box_groups(boxes, in_task=100)
     assert dealt.rdd.getNumPartitions() == 60 and rows(dealt) == rows(layout.box_groups(boxes))
     assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Sort [") == 2  # it was three: each holds a task's boxes
+
+
+def test_buckets_are_no_tasks(spark, tmp_path):
+    table = tablestore.KeyedTable(spark, f"file://{tmp_path}/t", "k long, v string", ["k"], 2)
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.concat(*[F.sha2((F.col("id") * 9 + i).cast("string"), 256) for i in range(8)]).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        for add in (0, 2000):
+            table.merge(rows.select((F.col("k") + add).alias("k"), "v"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert all(len(list((tmp_path / "t" / f).glob("part-*.parquet"))) > 1 for f in table.folders().values())  # it was one each
+    want = rows.select((F.col("k") + 2000).alias("k"), "v").union(rows.where("k < 2000"))
+    assert table.read().count() == 6000 and table.read().exceptAll(want).count() == 0
+
+
+def test_ingested_files_grow_in_number(spark, tmp_path, monkeypatch):
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    rows.repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], stores.Scratch
+    monkeypatch.setattr(stores, "Scratch", lambda *a: made.append(real(*a)) or made[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        got = catalogue.queries()["ingested_documents"](spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    files, batches = (sum(n.startswith(x) or n.endswith(x) for n in made[0].names(f)) for f, x in (("in", "part-"), ("table/manifests", ".json")))
+    assert got.count() == 900 and files >= 9 and batches == 2  # it was four files, whatever their size
