@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from docloom.functions import scores
 from docloom.functions import text as t
 from docloom.operators import chunking, layout, search, tablestore
 from docloom.plans import catalogue, retrieval, stores
@@ -94,3 +95,14 @@ def test_ingested_files_grow_in_number(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     files, batches = (sum(n.startswith(x) or n.endswith(x) for n in made[0].names(f)) for f, x in (("in", "part-"), ("table/manifests", ".json")))
     assert got.count() == 900 and files >= 9 and batches == 2  # it was four files, whatever their size
+
+
+def test_quality_metrics_share_one_list_of_words(spark, tmp_path):
+    c, low, az = F.col("c"), F.lower("c"), scores.az_words(F.lower("c"))
+    rows = [(x,) for x in ("The plain words of it.", "Kelvin measured İstanbul.", "", "1 2 3", "café x_y the of")]
+    df = spark.createDataFrame(rows, "c string")
+    got = [tuple(r) for r in df.select(F.round(scores.content_density(az), 6), F.round(scores.readability(c, az), 6), scores.context_preservation(low, F.lit("plain words here"), az)).collect()]
+    assert got == [(0.32, 0.6, 0.6), (0.6, 0.5, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.3, 0.0)], got
+    spark.createDataFrame([(1, "some text here", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = plan(catalogue.queries()["quality_metric_means"](spark, str(tmp_path)))
+    assert made.count("_])[a-z]++") == 1 and "[a-z]{3,}+" not in made  # the text was matched anew for every metric
