@@ -13,8 +13,12 @@ from docloom.sources.shared import Scratch
 
 # Weights (vector, text) and threshold of each kind of caller.
 DEFAULTS = {"service": (0.7, 0.3, 0.5), "config": (0.6, 0.4, 0.7), "history": (0.5, 0.5, None), "similar": (0.9, 0.1, 0.6)}
-#: Vectors of one block.
+#: Vectors of one block in a comparison of documents.
 BLOCK = 2048
+#: Vectors, and queries, that meet in one group (about as many, being dealt by hash); the fewest vectors worth a group of their own; pairs that a group returns.
+SIDE, LEAST, PAIRS = 16_384, 512, 500_000
+#: Queries of a group that are scored at once.
+STRIPE = 32
 #: Lexemes of all queries that a scan looks for at once.
 FEW = 2000
 # English stop words of the text search.
@@ -41,25 +45,11 @@ def top(df: DataFrame, k: int | None, score: str, key: str, by: str = "query_id"
 def vector_hits(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
     """(query_id, chunk_id, similarity, rank) of ``queries`` (query_id, q) against ``vectors`` (chunk_id, embedding).
 
-    The stated queries meet all rows block by block, and each pair of blocks keeps the k best of each query.
+    The stated queries meet all rows block by block, and each block keeps the k best of each query.
     """
     return top(block_scores(vectors, queries, k, threshold, inclusive), k, "similarity", "chunk_id")
 
 
-def _packed(df: DataFrame, key: str, vector: str, pages: str | None = None) -> DataFrame:
-    """(keys, rows, pages): a batch of vectors in one row; null vectors drop out."""
-
-    def pack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns], ["keys", "rows", "pages"])
-
-    named = F.lit(None).cast("array<int>") if pages is None else F.col(pages).cast("array<int>")
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("keys"), F.col(vector).cast("array<double>").alias("rows"), named.alias("pages"))
-    return rows.mapInArrow(pack, "keys array<long>, rows array<array<double>>, pages array<array<int>>")
-
-
 def unit_rows(rows: pa.Array) -> np.ndarray:
     """The vectors of one block at length 1 (a zero vector stays zero, so its cosine is 0); vectors of different length are an error."""
     if len(set(pc.list_value_length(rows).to_pylist())) > 1:
@@ -79,38 +69,42 @@ def _shared(query_pages: list[int] | None, pages: pa.Array) -> np.ndarray:
 def block_scores(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None = None, inclusive: bool = False, boost: float | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity to nine places): of each query and block of vectors the k best (all with None) that pass the threshold.
 
-    Vectors and queries meet as packed blocks of at most ``BLOCK`` rows, all of one length (else an error).  With ``boost`` both sides have
-    ``pages``, and a vector that covers a page of the query gains so much before the k best are taken.
+    Vectors and queries are dealt by hash into blocks and chunks of bounded size, and each block meets each chunk in a group of its own, so that
+    a group is as large at any table size; all vectors have one length (else an error).  With ``boost`` both sides have ``pages``, and a vector
+    that covers a page of the query gains so much before the k best are taken.
     """
-    asked = _packed(queries, "query_id", "q", None if boost is None else "pages").toDF("query_keys", "query_rows", "query_pages")
-    pairs = _packed(vectors, "chunk_id", "embedding", None if boost is None else "pages").crossJoin(small(asked, 64))  # blocks by blocks
-
-    def score(batches):
-        met: tuple = (None, None)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, rows, pages, query_keys, query_rows, query_pages = (batch.column(c)[i].values for c in range(6))
-                if met[0] is None or not met[0].equals(rows):  # a block of vectors meets several of queries in turn
-                    met = (rows, unit_rows(rows))
-                asked_rows = unit_rows(query_rows)
-                if len(rows) and len(query_rows) and met[1].shape[1] != asked_rows.shape[1]:
-                    raise ValueError("vectors differ in length")
-                keys, query_keys = keys.to_numpy(), query_keys.to_numpy()
-                s = np.round(asked_rows @ met[1].T, 9) + 0.0
-                out = []
-                for q in range(len(query_keys)):
+    n = vectors.count()
+    blocks = max(1, -(-n // SIDE), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+    chunks = max(1, -(-queries.count() // min(SIDE, PAIRS // min(SIDE, max(1, SIDE if k is None else k)))))
+
+    def dealt(df: DataFrame, key: str, vector: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        pages = F.lit(None).cast("array<int>") if boost is None else F.col("pages").cast("array<int>")
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("row"), pages.alias("pages"))
+        placed = rows.withColumn(own, F.pmod(F.xxhash64("key", "row"), F.lit(parts)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def score(block: pa.Table, chunk: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if block.num_rows and chunk.num_rows:
+            (keys, rows, pages), (query_keys, query_rows, query_pages) = ([x.column(c).combine_chunks() for c in ("key", "row", "pages")] for x in (block, chunk))
+            keys, query_keys, rows, asked = keys.to_numpy(), query_keys.to_numpy(), unit_rows(rows), unit_rows(query_rows)
+            if rows.shape[1] != asked.shape[1]:
+                raise ValueError("vectors differ in length")
+            for first in range(0, len(asked), STRIPE):
+                for q, s in enumerate(np.round(asked[first : first + STRIPE] @ rows.T, 9) + 0.0, first):
                     if boost is not None:
-                        s[q] += boost * _shared(query_pages[q].as_py(), pages)
-                    at = np.arange(len(keys)) if threshold is None else np.flatnonzero(s[q] >= threshold if inclusive else s[q] > threshold)
+                        s += boost * _shared(query_pages[q].as_py(), pages)
+                    at = np.arange(len(keys)) if threshold is None else np.flatnonzero(s >= threshold if inclusive else s > threshold)
                     if k is not None and len(at) > k:
-                        least = np.partition(s[q][at], len(at) - k)[len(at) - k]
-                        at = at[s[q][at] >= least]
-                        at = at[np.lexsort((keys[at], -s[q][at]))[:k]]
-                    out.append((np.full(len(at), query_keys[q]), keys[at], s[q][at]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "chunk_id", "similarity"])
-
-    return pairs.mapInArrow(score, "query_id long, chunk_id long, similarity double")
+                        least = np.partition(s[at], len(at) - k)[len(at) - k]
+                        at = at[s[at] >= least]
+                        at = at[np.lexsort((keys[at], -s[at]))[:k]]
+                    out.append((np.full(len(at), query_keys[q]), keys[at], s[at]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "chunk_id", "similarity"])
+
+    left = dealt(vectors, "chunk_id", "embedding", "block", blocks, "chunk", chunks).groupBy("block", "chunk")
+    right = dealt(queries, "query_id", "q", "chunk", chunks, "block", blocks).groupBy("block", "chunk")
+    return left.cogroup(right).applyInArrow(score, "query_id long, chunk_id long, similarity double")
 
 
 def document_pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

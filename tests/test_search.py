@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,30 @@ def test_page_boost_counts_before_the_cut(spark):
     assert [c for c, _ in by[1]] == [c for c, _ in by[2]] == [0, 101, 1]
 
 
+@pytest.mark.parametrize(("k", "threshold"), [(20, 0.3), (None, 0.1)])
+def test_blocks_meet_without_copies_of_each_other(spark, k, threshold):
+    x = np.random.default_rng(5).integers(-3, 4, (2600, 5)).astype(float)  # many ties and some zero vectors
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(x.tolist())] + [(9000, None, None)], V)
+    asked = rows.where("chunk_id % 13 = 0 or chunk_id = 9000").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    hits = search.vector_hits(rows, asked, k, threshold)
+    made = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in made and "CoGroup" in made  # each block of vectors was repeated, in one batch, for every block of queries
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    want = []
+    for q in range(0, 2600, 13):
+        s = np.round(unit @ unit[q], 9)
+        at = [int(i) for i in np.lexsort((np.arange(2600), -s)) if threshold is None or s[i] > threshold]
+        want += [(q, i, r + 1) for r, i in enumerate(at[:k])]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in hits.collect()) == sorted(want)
+
+
+def test_one_side_may_be_empty(spark):
+    some, none = spark.createDataFrame([(1, [1.0, 2.0], None)], V), spark.createDataFrame([], V)
+    asked = spark.createDataFrame([(0, [1.0, 0.0], "")], Q)
+    assert search.vector_hits(none, asked, 3).count() == search.vector_hits(some, asked.where("query_id > 0"), 3).count() == 0
+
+
 @pytest.mark.parametrize("before", [False, True])
 def test_readers_keep_their_places(spark, before):
     matches = [(0, 5, k, k * 10, 1.0 - k // 2 / 10) for k in range(9)] + [(1, None, k, k * 10, 0.5) for k in range(4)]
