@@ -29,7 +29,7 @@ def test_page_boost_counts_before_the_cut(spark):
     assert [c for c, _ in by[1]] == [c for c, _ in by[2]] == [0, 101, 1]
 
 
-@pytest.mark.parametrize(("k", "threshold"), [(20, 0.3), (None, 0.1)])
+@pytest.mark.parametrize(("k", "threshold"), [(10, None), (20, 0.3), (None, 0.1)])
 def test_blocks_meet_without_copies_of_each_other(spark, k, threshold):
     x = np.random.default_rng(5).integers(-3, 4, (2600, 5)).astype(float)  # many ties and some zero vectors
     rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(x.tolist())] + [(9000, None, None)], V)
