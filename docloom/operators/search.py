@@ -15,8 +15,8 @@ from docloom.sources.shared import Scratch
 DEFAULTS = {"service": (0.7, 0.3, 0.5), "config": (0.6, 0.4, 0.7), "history": (0.5, 0.5, None), "similar": (0.9, 0.1, 0.6)}
 #: Vectors of one block in a comparison of documents.
 BLOCK = 2048
-#: Vectors, and queries, that meet in one group (about as many, being dealt by hash); the fewest vectors worth a group of their own; pairs that a group returns.
-SIDE, LEAST, PAIRS = 16_384, 512, 500_000
+#: Vectors, and queries, that meet in one group (about as many, being dealt by hash), and numbers in either; the fewest vectors worth a group of their own; pairs that a group returns.
+SIDE, NUMBERS, LEAST, PAIRS = 16_384, 1 << 22, 512, 500_000
 #: Queries of a group that are scored at once.
 STRIPE = 32
 #: Lexemes of all queries that a scan looks for at once.
@@ -70,12 +70,13 @@ def block_scores(vectors: DataFrame, queries: DataFrame, k: int | None, threshol
     """(query_id, chunk_id, similarity to nine places): of each query and block of vectors the k best (all with None) that pass the threshold.
 
     Vectors and queries are dealt by hash into blocks and chunks of bounded size, and each block meets each chunk in a group of its own, so that
-    a group is as large at any table size; all vectors have one length (else an error).  With ``boost`` both sides have ``pages``, and a vector
+    a group is as large at any table size and length of vectors; all vectors have one length (else an error).  With ``boost`` both sides have ``pages``, and a vector
     that covers a page of the query gains so much before the k best are taken.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // SIDE), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
-    chunks = max(1, -(-queries.count() // min(SIDE, PAIRS // min(SIDE, max(1, SIDE if k is None else k)))))
+    n, one = vectors.count(), vectors.where("embedding is not null").select(F.size("embedding")).first()
+    side = min(SIDE, max(1, NUMBERS // max(1, one[0] if one else 1)))
+    blocks = max(1, -(-n // side), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+    chunks = max(1, -(-queries.count() // min(side, PAIRS // min(side, max(1, side if k is None else k)))))
 
     def dealt(df: DataFrame, key: str, vector: str, own: str, parts: int, other: str, others: int) -> DataFrame:
         pages = F.lit(None).cast("array<int>") if boost is None else F.col("pages").cast("array<int>")

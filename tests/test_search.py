@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,19 @@ def test_blocks_meet_without_copies_of_each_other(spark, k, threshold):
     assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in hits.collect()) == sorted(want)
 
 
+def test_groups_of_long_vectors_hold_fewer(spark, monkeypatch):
+    vector = F.array_repeat(F.col("id").cast("double"), 1 << 17)  # 1 MB each: all 100 met in one group
+    rows, asked = spark.range(100).select(F.col("id").alias("chunk_id"), vector.alias("embedding")), spark.range(40).select(F.col("id").alias("query_id"), vector.alias("q"))
+    made = search.block_scores(rows, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(int, re.findall(r"pmod\(xxhash64\(.*?\), (\d+)\)", made))) == [2, 4]
+    x = np.random.default_rng(6).standard_normal((60, 8))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "chunk_id long, embedding array<double>")
+    asked = rows.toDF("query_id", "q")
+    whole = sorted(search.vector_hits(rows, asked, 7).collect())
+    monkeypatch.setattr(search, "NUMBERS", 8 * 11)
+    assert sorted(search.vector_hits(rows, asked, 7).collect()) == whole and len(whole) == 420
+
+
 def test_one_side_may_be_empty(spark):
     some, none = spark.createDataFrame([(1, [1.0, 2.0], None)], V), spark.createDataFrame([], V)
     asked = spark.createDataFrame([(0, [1.0, 0.0], "")], Q)
