@@ -21,6 +21,8 @@ SIDE, NUMBERS, LEAST, PAIRS = 16_384, 1 << 22, 512, 500_000
 STRIPE = 32
 #: Lexemes of all queries that a scan looks for at once.
 FEW = 2000
+#: Beyond: texts and queries of one group, bytes of either, and pairs that are checked at once.
+TEXTS, ASKED, BYTES, TOGETHER = 16_384, 65_536, 1 << 25, 1 << 21
 # English stop words of the text search.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
@@ -132,21 +134,24 @@ def document_pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.mapInArrow(best, "d1 long, d2 long, s double").groupBy("d1", "d2").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("similarity"))
 
 
-def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query, unranked.
+def text_matches(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, text_rank): every chunk that holds all lexemes of a query, unranked; with ``k`` at least the k best of each query.
 
-    ``chunks`` (chunk_id, chunk_text) meet a query only at its rarest lexeme and are then checked for all
-    others; rank is the sum of the frequencies over ``1 + ln(length)``.  Pairs that share some word only are never made: with long queries
-    they would be nearly all pairs.  Where the queries have few lexemes in all, the chunks are read once and only those lexemes go on.
+    Rank is the sum of the lexemes' frequencies in the chunk (chunk_id, chunk_text) over ``1 + ln(length)``.  Where the queries have few lexemes in all,
+    the chunks are read once and only those lexemes go on: chunks meet a query at its rarest lexeme and are then checked for all others.
+    Else blocks of chunks meet groups of queries (``_block_matches``).
     """
-    asked = queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l")).where(F.size("l") > 0)
+    work = Scratch(chunks.sparkSession, "lexemes")
+    asked = work.write(queries.select("query_id", F.array_distinct(lexemes(F.col("query"))).alias("l")).where(F.size("l") > 0), "asked")  # read several times
     each = asked.select("query_id", F.explode("l").alias("term"))
+    few = [r["term"] for r in each.select("term").distinct().limit(FEW + 1).collect()]
+    if len(few) > FEW:
+        found = _block_matches(chunks, asked, k)
+        return found.select("query_id", "chunk_id", (F.col("tf") / (1 + F.ln("n"))).alias("text_rank"))
     wanted = small(each.select("term").distinct(), 1_000_000)
     terms = chunks.select("chunk_id", lexemes(F.col("chunk_text")).alias("own")).withColumn("n", F.size("own"))
-    few = [r["term"] for r in each.select("term").distinct().limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        met_some = terms.withColumn("own", F.filter("own", lambda w: w.isin(few))).where(F.size("own") > 0)
-        terms = Scratch(chunks.sparkSession, "lexemes").write(met_some, "met")
+    met_some = terms.withColumn("own", F.filter("own", lambda w: w.isin(few))).where(F.size("own") > 0)
+    terms = work.write(met_some, "met")
     df = terms.select(F.explode(F.array_distinct("own")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     # a term that no chunk holds is the rarest: its query drops out with it
     rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
@@ -157,9 +162,114 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return whole.select("query_id", "chunk_id", (tf / (1 + F.ln("n"))).alias("text_rank"))
 
 
+def _block_matches(chunks: DataFrame, asked: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, chunk_id, tf, n) of the chunks that hold all of a query's lexemes ``l``: their frequencies added up, and the chunk's lexemes; with ``k`` each group gives at least its k best of a query.
+
+    The chunks are read once, cut to words and dealt by hash into blocks, the queries into groups, both of bounded size; a block meets each group once.
+    """
+    spark = chunks.sparkSession
+    # the lexemes of a text, of a query or of a chunk (stop words still among them), parted by one blank
+    packed = asked.select(F.col("query_id").alias("key"), F.array_join(F.array_sort("l"), " ").alias("t"))
+    texts = chunks.select(F.col("chunk_id").alias("key"), F.col("chunk_text").alias("t")).where("t is not null")
+    told = [x.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first() for x in (texts, packed)]
+    blocks = max(1, -(-told[0][0] // TEXTS), -(-told[0][1] // BYTES), min(spark.sparkContext.defaultParallelism, -(-told[0][0] // LEAST)))
+    groups = max(1, -(-told[1][0] // ASKED), -(-told[1][1] // BYTES))
+    texts = texts.withColumn("t", F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]+", " "))
+    kinds = [x.schema["key"].dataType.simpleString() for x in (packed, texts)]
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64("key", "t"), F.lit(parts)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("block", "group")
+
+    def meet(block: pa.Table, group: pa.Table) -> pa.Table:
+        (ids, body), (query_ids, query) = ([x.column(c).combine_chunks() for c in ("key", "t")] for x in (block, group))
+        q, row, tf, n = held_together(body, query, ids, k)
+        return pa.table([query_ids.take(pa.array(q)), ids.take(pa.array(row)), pa.array(tf), pa.array(n)], ["query_id", "chunk_id", "tf", "n"])
+
+    return dealt(texts, "block", blocks, "group", groups).cogroup(dealt(packed, "group", groups, "block", blocks)).applyInArrow(meet, f"query_id {kinds[0]}, chunk_id {kinds[1]}, tf long, n long")
+
+
+def held_together(texts: pa.Array, queries: pa.Array, ids: pa.Array, k: int | None) -> tuple[np.ndarray, ...]:
+    """(query, text, frequencies, lexemes of the text) of the texts that hold all words of a query, as places in the arrays; words are parted by blanks, a query's are distinct.
+
+    A query starts from the texts that hold its rarest word and drops those without the next, all queries at once.  With ``k`` at least the k best of a
+    query stay, and of those alike in frequencies and length no more than k, those of the smallest ``ids``.
+    """
+    alike = queries.dictionary_encode()  # the same query is answered once
+    each = pc.split_pattern(alike.dictionary, " ")
+    need = pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = each.flatten().dictionary_encode()
+    term, rows = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(texts))
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(term):
+        return none
+    parted = pc.split_pattern(texts, " ")
+    size = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, flat = np.repeat(np.arange(len(size)), size), parted.flatten()
+    n = size - np.bincount(row[np.asarray(pc.is_in(flat, pa.array(["", *STOP])), bool)], minlength=len(size))
+    at = pc.index_in(flat, coded.dictionary)
+    has = np.flatnonzero(np.asarray(pc.is_valid(at), bool))
+    entry = np.sort(np.asarray(at.take(pa.array(has))).astype(np.int64) * rows + row[has])
+    del row, flat, at, has, parted
+    if not len(entry):
+        return none
+    first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+    often, entry = np.diff(np.append(first, len(entry))), entry[first]  # a word in a text, and how often
+    df = np.bincount(entry // rows, minlength=len(coded.dictionary))
+    begin = np.cumsum(df) - df
+    start = np.cumsum(need) - need
+    term = term[np.lexsort((df[term], np.repeat(np.arange(len(need)), need)))]  # a query's words, rarest first
+    met = df[term[start]]
+    asked = np.flatnonzero(met)
+    stripe = np.cumsum(met[asked]) // TOGETHER
+    found = []
+    for some in np.split(asked, np.flatnonzero(stripe[1:] != stripe[:-1]) + 1):
+        many = met[some]
+        q = np.repeat(some, many)
+        place = np.repeat(begin[term[start[some]]] - (np.cumsum(many) - many), many) + np.arange(len(q))
+        r, tf = entry[place] % rows, often[place]
+        for t_ in range(1, int(need[some].max())):
+            more = np.flatnonzero(need[q] > t_)
+            if not len(more):
+                break
+            sought = term[start[q[more]] + t_] * rows + r[more]
+            place = np.minimum(np.searchsorted(entry, sought), len(entry) - 1)
+            hit = entry[place] == sought
+            tf[more] += often[place]  # of those without the word too: they go
+            stay = np.ones(len(q), bool)
+            stay[more[~hit]] = False
+            q, r, tf = q[stay], r[stay], tf[stay]
+        found.append(_leading(q, r, tf, n[r], ids, k))
+    q, r, tf = (np.concatenate(x) for x in zip(*found, strict=True))
+    # each asker of a query gets its texts
+    many, code = np.bincount(q, minlength=len(need)), alike.indices.to_numpy(zero_copy_only=False)
+    where, of = (np.cumsum(many) - many)[code], many[code]
+    place = np.repeat(where - (np.cumsum(of) - of), of) + np.arange(of.sum())
+    return np.repeat(np.arange(len(code)), of), r[place], tf[place], n[r[place]]
+
+
+def _leading(q: np.ndarray, r: np.ndarray, tf: np.ndarray, n: np.ndarray, ids: pa.Array, k: int | None) -> tuple[np.ndarray, ...]:
+    """(query, text, frequencies) in order of the query; with ``k`` what may be among its k best: the exact cut, with the plan's own logarithm, follows there."""
+    if k is None or not len(q):
+        return q, r, tf
+    score = tf / (1 + np.log(n))
+    sortable = pa.types.is_integer(ids.type) and not ids.null_count
+    order = np.lexsort((ids.to_numpy()[r] if sortable else r, n, tf, -score, q))
+    q, r, tf, n, score = (x[order] for x in (q, r, tf, n, score))
+    new = np.concatenate([[True], q[1:] != q[:-1]])
+    group = np.concatenate([[True], (q[1:] != q[:-1]) | (tf[1:] != tf[:-1]) | (n[1:] != n[:-1])])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(q)))
+    least = np.where(size >= k, score[np.minimum(begin + k - 1, len(q) - 1)], -np.inf)
+    stay = score >= np.repeat(least, size) - 1e-8
+    if sortable:
+        stay &= np.arange(len(q)) - np.maximum.accumulate(np.where(group, np.arange(len(q)), 0)) < k
+    return q[stay], r[stay], tf[stay]
+
+
 def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, text_rank, rank): the k best of ``text_matches``."""
-    return top(text_matches(chunks, queries), k, "text_rank", "chunk_id")
+    return top(text_matches(chunks, queries, k), k, "text_rank", "chunk_id")
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int, weights: tuple[float, float]) -> DataFrame:
