@@ -40,6 +40,8 @@ K1, B, BLOCK, BUCKETS, SPREAD = 1.2, 0.75, 4096, 64, 4
 POSTINGS = "term string, block bigint, df bigint, tokens bigint, most int, least int, chunks array<bigint>, lengths array<int>, ns array<int>, ends array<int>, places array<int>"
 #: Blocks that a BM25 search reads first, best bound first.
 SEEDS = 2
+#: Without an index: bytes of text in a block of chunks, (query, word) pairs in a group of queries, groups that are still broadcast, and blocks in a file of the scan.
+BYTES, PAIRS, FEW_GROUPS, ROWS = 12_000_000, 65_536, 4, 4
 
 
 def words(c: Column) -> Column:
@@ -152,15 +154,18 @@ def asked_terms(queries: DataFrame, language: Column | None = None) -> DataFrame
     return stay.join(small(stay.groupBy("query_id").agg(F.countDistinct("term").alias("need"))), "query_id")
 
 
-def _blocks(index: Index, asked: DataFrame, wanted: DataFrame, lists: list[str], each: Callable[[_Block, pa.Table, int, int], dict | None], schema: str) -> DataFrame:
+def _blocks(index: Index, asked: DataFrame, wanted: DataFrame, lists: list[str], each: Callable[[_Block, pa.Table, int, int], dict | None], schema: str, some: bool = False) -> DataFrame:
     """What ``each`` finds for every query in every block, where all its words meet without a row for each pair of query and entry.
 
     ``wanted`` (block, query_id, term, more) are short rows; the postings of the asked terms, with their array columns ``lists``, are shuffled
-    once by block, however many queries share a term.  A block is at most ``BLOCK`` chunks, so its postings are small.
+    once by block, however many queries share a term.  A block is at most ``BLOCK`` chunks, so its postings are small.  With ``some``, postings of blocks
+    that are not wanted are left out first.
     """
     kind = wanted.schema["query_id"].dataType.simpleString()
-    empty = index.spark.createDataFrame([], f"query_id {kind}, {schema}").toArrow()  # the columns of no rows
+    empty = index.spark.createDataFrame([], f"query_id {kind}, {schema}").limit(0).toArrow()  # the columns of no rows, without a task
     rows = index.postings(asked).select("block", "term", "chunks", "ends", *lists)
+    if some:
+        rows = rows.join(small(wanted.select("block").distinct()), "block", "left_semi")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -191,15 +196,17 @@ class _Block:
         self.tf = np.diff(self.ends, prepend=0)
         begin = self.bounds[:-1][self.bounds[:-1] < self.bounds[1:]]
         self.tf[begin] = self.ends[begin]
+        self._of: dict[str, np.ndarray] = {}
 
     def flat(self, column: str) -> np.ndarray:
         return self.rows[column].combine_chunks().flatten().to_numpy()
 
     def of(self, column: str) -> np.ndarray:
-        """An entry's number that is the same in all entries of a chunk, by chunk."""
-        out = np.zeros(len(self.ids), np.int64)
-        out[self.code] = self.flat(column)
-        return out
+        """An entry's number that is the same in all entries of a chunk, by chunk; made once for all queries."""
+        if column not in self._of:
+            self._of[column] = np.zeros(len(self.ids), np.int64)
+            self._of[column][self.code] = self.flat(column)
+        return self._of[column]
 
     def places(self, row: int, entry: int) -> list[int]:
         if not hasattr(self, "_places"):
@@ -316,8 +323,8 @@ def _room(index: Index, length: Column) -> Column:
     return K1 * (1 - B + B * length / max(index.facts["mean_length"], 1e-9))
 
 
-def _scores(index: Index, weighted: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score) of the chunks of the (query_id, block) ``pairs``: at least the k best of each pair."""
+def _scores(index: Index, weighted: DataFrame, pairs: DataFrame, k: int, some: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score) of the chunks of the (query_id, block) ``pairs``: at least the k best of each pair; ``some`` as in ``_blocks``."""
     wanted = weighted.join(pairs, "query_id").select("query_id", "term", "block", "weight")
     mean = max(index.facts["mean_length"], 1e-9)
 
@@ -331,7 +338,7 @@ def _scores(index: Index, weighted: DataFrame, pairs: DataFrame, k: int) -> Data
         codes = codes[_best(score[codes], k)]
         return {"chunk_id": pa.array(held.ids[codes]), "score": pa.array(score[codes])}
 
-    return _blocks(index, weighted, wanted, ["lengths"], each, "chunk_id long, score double").withColumn("score", F.round("score", 9))
+    return _blocks(index, weighted, wanted, ["lengths"], each, "chunk_id long, score double", some).withColumn("score", F.round("score", 9))
 
 
 def bm25(index: Index, queries: DataFrame, k: int, language: Column | None = None, seeds: int = SEEDS, told: dict | None = None) -> DataFrame:
@@ -344,9 +351,113 @@ def bm25(index: Index, queries: DataFrame, k: int, language: Column | None = Non
     weighted = work.write(_weighted(index, queries, language), "weighted")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     placed = work.write(bm25_bounds(index, weighted).withColumn("place", F.row_number().over(order)), "bounds")
-    first = work.write(top(_scores(index, weighted, placed.where(F.col("place") <= seeds).select("query_id", "block"), k), k, "score", "chunk_id"), "seeded")
+    first = work.write(top(_scores(index, weighted, placed.where(F.col("place") <= seeds).select("query_id", "block"), k, True), k, "score", "chunk_id"), "seeded")
     least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = placed.where(F.col("place") > seeds).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
     if told is not None:
         told["pairs"], told["read"] = placed.count(), rest.count() + placed.where(F.col("place") <= seeds).count()
     return top(_scores(index, weighted, rest.select("query_id", "block"), k).unionByName(first.drop("rank")), k, "score", "chunk_id")
+
+
+def bm25_scan(chunks: DataFrame, queries: DataFrame, k: int, language: Column | None = None, size: int | None = None) -> DataFrame:
+    """What ``bm25`` gives over an index of ``chunks`` (chunk_id, chunk_text, language), without one: the chunks are cut to words once, and only the words of the queries go on.
+
+    Queries are dealt into groups, chunks into blocks, both of bounded size.  A block meets the words of each group and becomes one row of its places;
+    frequencies and the mean length follow from these rows, and the scores from them and the weights.  ``size`` is about the bytes of all texts, where the
+    caller knows it (else they are added up, which may cost as much as to make the chunks).
+    """
+    spark, work = chunks.sparkSession, Scratch(chunks.sparkSession, "bm25")
+    pairs = work.write(asked_terms(queries, language).select("query_id", "term").distinct(), "asked")
+    groups = max(1, -(-pairs.count() // PAIRS))
+    pairs = pairs.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    texts = chunks.select("chunk_id", F.col("language").cast("string").alias("language"), F.coalesce(F.regexp_replace(F.lower("chunk_text"), r"[^\p{L}\p{N}]+", " "), F.lit("")).alias("t"))
+    size = chunks.agg(F.sum(F.octet_length("chunk_text"))).first()[0] if size is None else size
+    blocks = max(1, spark.sparkContext.defaultParallelism, -(-(size or 0) // BYTES))
+    each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = each(texts.withColumn("block", F.pmod(F.xxhash64("chunk_id", "t"), F.lit(blocks)).cast("int")), "group", groups)
+    right = each(pairs.select("group", "term").distinct(), "block", blocks)
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((pairs, "query_id"), (texts, "chunk_id"))]
+    schema = f"block int, group int, chunks long, tokens long, terms array<string>, dfs array<int>, ids array<{kinds[1]}>, lengths array<int>, rows array<int>, tfs array<int>"
+    met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(_scanned, schema)
+    met.write.option("maxRecordsPerFile", ROWS).parquet(work.at("blocks"))  # a file is read as a whole
+    rows = spark.read.schema(met.schema).parquet(work.at("blocks"))
+    told = rows.where("group = 0").agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    mean = max(told[1] / max(told[0], 1), 1e-9)
+    df = rows.select("group", F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy("group", F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
+    idf = F.ln(1 + (told[0] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = pairs.join(df, ["group", "term"]).select("group", F.struct("query_id", "term", (idf * (K1 + 1)).alias("weight")).alias("x"))
+    packed = weighted.groupBy("group").agg(F.array_sort(F.collect_list("x")).alias("asked"))
+    packed = F.broadcast(packed) if groups <= FEW_GROUPS else each(packed, "block", blocks)  # at most PAIRS short rows each
+    met = rows.select("block", "group", "terms", "dfs", "ids", "lengths", "rows", "tfs").join(packed, ["group"] if groups <= FEW_GROUPS else ["block", "group"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, dfs, ids, lengths, at, tfs, asked = (batch.column(c)[i].values for c in ("terms", "dfs", "ids", "lengths", "rows", "tfs", "asked"))
+                query, term, weight = (asked.field(c) for c in ("query_id", "term", "weight"))
+                held = pc.index_in(term, terms)
+                stay = pc.is_valid(held)
+                query, held, weight = query.filter(stay), held.filter(stay).to_numpy(), weight.filter(stay).to_numpy()
+                if not len(held):
+                    continue
+                at, tfs, ends = at.to_numpy(), tfs.to_numpy(), np.cumsum(dfs.to_numpy())
+                part = tfs / (tfs + K1 * (1 - B + B * lengths.to_numpy()[at] / mean))
+                edges = np.flatnonzero(np.asarray(pc.not_equal(query[1:], query[:-1]), bool)) + 1
+                firsts, places, found = [0, *edges.tolist()], [], []
+                for a, b in zip(firsts, [*firsts[1:], len(held)], strict=True):
+                    total = np.zeros(len(ids))
+                    for t, w in zip(held[a:b].tolist(), weight[a:b].tolist(), strict=True):
+                        x = slice(ends[t - 1] if t else 0, ends[t])
+                        total[at[x]] += w * part[x]
+                    best = np.flatnonzero(total)
+                    best = _first_alike(best[_best(total[best], k)], total, ids, k)
+                    places.append(best)
+                    found.append(total[best])
+                many = np.repeat(firsts, [len(x) for x in places])
+                yield pa.RecordBatch.from_arrays([query.take(pa.array(many)), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(found))], names=["query_id", "chunk_id", "score"])
+
+    scored = met.select("terms", "dfs", "ids", "lengths", "rows", "tfs", "asked").mapInArrow(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return top(scored.withColumn("score", F.round("score", 9)), k, "score", "chunk_id")
+
+
+def _scanned(block: pa.Table, group: pa.Table) -> pa.Table:
+    """One row of a block of chunks (chunk_id, language, t: words parted by blanks) and a group of words (term): the words that stand in it one after the other, with the chunks that hold them (as places in ``ids``) and how often.
+
+    ``lengths`` counts a chunk's words that are no stop words of its language, ``tokens`` adds them up; ``chunks`` counts the chunks.
+    """
+    keys = next(x for x in (block, group) if x.num_rows)
+    ids, language, texts = (block.column(c).combine_chunks() for c in ("chunk_id", "language", "t"))
+    terms, n = group.column("term").combine_chunks(), max(1, len(ids))
+    parted = pc.split_pattern(texts, " ")
+    row = np.repeat(np.arange(len(ids)), pc.list_value_length(parted).to_numpy(zero_copy_only=False))
+    flat = parted.flatten()
+    dropped = np.asarray(pc.equal(flat, ""), bool)
+    for k, words_ in LANGUAGES.items():
+        dropped |= np.asarray(pc.is_in(flat, pa.array(words_)), bool) & np.asarray(pc.fill_null(pc.equal(language, k), False), bool)[row]
+    lengths = np.bincount(row[~dropped], minlength=len(ids))
+    at = pc.index_in(flat, terms)
+    has = np.flatnonzero(np.asarray(pc.is_valid(at), bool))
+    entry = np.sort(np.asarray(at.take(pa.array(has))).astype(np.int64) * n + row[has])
+    first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+    tfs, entry = np.diff(np.append(first, len(entry))), entry[first]
+    df = np.bincount(entry // n, minlength=len(terms))
+    held = np.flatnonzero(df)
+
+    def one(x: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    ints = [one(pa.array(x, pa.int32())) for x in (df[held], lengths, entry % n, tfs)]
+    return pa.table(
+        [keys.column("block")[:1], keys.column("group")[:1], pa.array([len(ids)]), pa.array([int(lengths.sum())]), one(terms.take(pa.array(held))), ints[0], one(ids), *ints[1:]],
+        ["block", "group", "chunks", "tokens", "terms", "dfs", "ids", "lengths", "rows", "tfs"],
+    )
+
+
+def _first_alike(places: np.ndarray, score: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Of places with the very same score no more than k, those of the smallest ids."""
+    if len(places) <= k or not pa.types.is_integer(ids.type) or ids.null_count:
+        return places
+    places = places[np.lexsort((ids.to_numpy()[places], score[places]))]
+    same = np.concatenate([[False], score[places[1:]] == score[places[:-1]]])
+    at = np.arange(len(places))
+    return places[at - np.maximum.accumulate(np.where(same, 0, at)) < k]

@@ -13,8 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import search
-from docloom.plans import catalogue
+from docloom.operators import search, textindex
+from docloom.plans import catalogue, retrieval
 
 
 def plan(df):
@@ -86,3 +86,51 @@ def test_common_words_make_no_rows_of_pairs(spark, monkeypatch):
 def test_similar_documents_reads_its_hits_again_not_the_texts(spark, sf_small):
     made = plan(catalogue.queries()["similar_documents"](spark, sf_small))
     assert "regexp" not in made and "FlatMapCoGroups" not in made and "MapInArrow" not in made
+
+
+def bm25_rows(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], round(r["score"], 7)))
+    return {q: sorted(x) for q, x in out.items()}
+
+
+def test_bm25_by_a_scan_is_that_of_an_index(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["alpha", "Beta", "le", "the", "rare", *[f"w{i}" for i in range(30)]]) for _ in range(n))
+    rows = [(k, text(rng.randrange(0, 40)), rng.choice(["en", "fr", "xx", None])) for k in range(400)] + [(k, None, "en") for k in range(400, 420)] + [(k, "alpha - copied", "en") for k in range(420, 470)] + [(470, "", "en"), (471, " -- ", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_text string, language string")
+    asked = spark.createDataFrame([(k, text(rng.randrange(1, 9))) for k in range(30)] + [(30, "copied"), (31, "the"), (32, None), (33, ""), (34, "nowhere"), (35, "copied copied nowhere"), (None, "alpha")], "query_id long, query string")
+    monkeypatch.setattr(textindex, "BYTES", 3000)
+    index = textindex.build(chunks, f"file://{tmp_path}/i", block=50, buckets=4)
+    for language in (None, F.lit("fr")):
+        want = bm25_rows(textindex.bm25(index, asked, 5, language).collect())
+        assert want and bm25_rows(textindex.bm25_scan(chunks, asked, 5, language).collect()) == want
+        monkeypatch.setattr(textindex, "PAIRS", 9)  # many groups of queries, beyond those that are broadcast
+        assert bm25_rows(textindex.bm25_scan(chunks, asked, 5, language, size=1).collect()) == want
+        monkeypatch.undo()
+    assert [c for _, c, _ in want[30]] == [420, 421, 422, 423, 424]
+    for none in (chunks.limit(0), chunks.where("chunk_text is null")):
+        assert textindex.bm25_scan(none, asked, 3).count() == 0
+    assert textindex.bm25_scan(chunks, asked.limit(0), 3).count() == 0
+
+
+def test_alike_scores_are_cut_by_their_ids():
+    ids, score = pa.array([9, 4, 7, 1, 3]), np.array([1.0, 1.0, 1.0, 2.0, 1.0])
+    assert sorted(ids.to_numpy()[textindex._first_alike(np.arange(5), score, ids, 2)].tolist()) == [1, 3, 4]
+
+
+def test_bm25_alone_builds_no_index(spark, sf_small, monkeypatch):
+    built, real = [], textindex.build
+    monkeypatch.setattr(textindex, "build", lambda *a, **k: built.append(1) or real(*a, **k))
+    monkeypatch.setattr(retrieval, "_index_place", lambda spark, sf, place=retrieval._index_place: f"{place(spark, sf)}-alone")
+    alone = catalogue.queries()["bm25_topk"](spark, sf_small).collect()
+    assert not built and alone
+    retrieval.index(spark, sf_small)
+    assert built and set(map(str, catalogue.queries()["bm25_topk"](spark, sf_small).collect())) == set(map(str, alone))
+
+
+def test_a_block_looks_up_its_lengths_once():
+    rows = pa.table({"chunks": pa.array([[5, 8], [8]]), "ends": pa.array([[1, 3], [1]], pa.list_(pa.int32())), "lengths": pa.array([[10, 20], [20]], pa.list_(pa.int32()))})
+    held = textindex._Block(rows)
+    assert held.of("lengths").tolist() == [10, 20] and held.of("lengths") is held.of("lengths")  # it was made anew for every query
